@@ -15,7 +15,11 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-_PLACEHOLDER = re.compile(r"\{(\w+)\}")
+_PLACEHOLDER = re.compile("\\{(" + "|".join([*TABLES, *VIEWS]) + ")\\}")
+
+
+def _references(text: str) -> list[str]:
+    return _PLACEHOLDER.findall(text)
 
 
 class Tables:
@@ -37,7 +41,12 @@ class Tables:
         return self._cache[name]
 
     def sql(self, text: str) -> DataFrame:
-        return self.spark.sql(text, **{name: getattr(self, name) for name in set(_PLACEHOLDER.findall(text))})
+        names = set(_references(text))
+        parts = _PLACEHOLDER.split(text)
+        # Braces of JSON texts are doubled, so that only table references are substituted.
+        quoted = "".join(
+            f"{{{part}}}" if i % 2 else part.replace("{", "{{").replace("}", "}}") for i, part in enumerate(parts))
+        return self.spark.sql(quoted, **{name: getattr(self, name) for name in names})
 
 
 def query(name: str, oracle: str | None = None):
@@ -55,7 +64,7 @@ def query(name: str, oracle: str | None = None):
 
 
 def _needed(text: str, found: list[str]) -> None:
-    for name in _PLACEHOLDER.findall(text):
+    for name in _references(text):
         if name in VIEWS and name not in found:
             _needed(VIEWS[name], found)
             found.append(name)

@@ -104,4 +104,37 @@ VIEWS: dict[str, str] = {
             CASE WHEN o_orderkey > 1 AND o_orderkey % 5 <> 0
                 THEN concat('m', CAST(CAST(floor(o_orderkey / 2) AS BIGINT) AS STRING)) END AS parent_id
         FROM {orders}""",
+    # What a model may answer: one of eight kinds per document.  chr(92) is a backslash, chr(96) a back quote.
+    "answer_objects": """
+        SELECT doc_id AS ex_id, doc_id % 8 AS kind, concat('{"commits":[{"subject":"', CASE doc_id % 3 WHEN 0 THEN 'feat'
+            WHEN 1 THEN 'fix' ELSE 'docs' END, '(core): change ', CAST(doc_id AS STRING), '","files":["src/f',
+            CAST(doc_id AS STRING), '.py","README.md"],"body":"say ', chr(92), '"hi', chr(92), '" {x} ', snippet,
+            '","issues":[]}],"gitignore":["*.pyc"]}') AS obj, snippet, text
+        FROM (SELECT doc_id, text, replace(replace(replace(substr(text, 1, 60), '"', ''), chr(10), ' '), chr(92), '')
+                AS snippet FROM {documents}) d""",
+    "answers": """
+        SELECT ex_id, kind, CASE kind
+                WHEN 0 THEN obj
+                WHEN 1 THEN concat(fence, 'json', chr(10), obj, chr(10), fence, chr(10))
+                WHEN 2 THEN concat('Sure: ', obj, ' and {more} text', chr(10))
+                WHEN 3 THEN text
+                WHEN 4 THEN concat(fence, chr(10), substr(obj, 1, length(obj) - 2))
+                WHEN 5 THEN '{"commits":"none"}'
+                WHEN 6 THEN concat('{"commits":[],"note":"', snippet, '"}')
+                ELSE concat('x {commits: [', CAST(ex_id AS STRING), ']} y') END AS content,
+            CASE WHEN kind IN (0, 1, 2) THEN obj WHEN kind = 5 THEN '{"commits":"none"}'
+                WHEN kind = 6 THEN concat('{"commits":[],"note":"', snippet, '"}')
+                WHEN kind = 7 THEN concat('{commits: [', CAST(ex_id AS STRING), ']}') END AS expected,
+            CASE kind WHEN 3 THEN 'none' WHEN 4 THEN 'incomplete' WHEN 5 THEN 'not_a_list' WHEN 6 THEN 'empty'
+                WHEN 7 THEN 'invalid' END AS problem, obj
+        FROM (SELECT *, concat(chr(96), chr(96), chr(96)) AS fence FROM {answer_objects}) a""",
+    # Raw API answers that carry those texts; every fifth puts the text into the reasoning field.
+    "responses": """
+        SELECT ex_id, kind, content, expected, problem, concat('{"choices":[{"message":{"role":"assistant","content":',
+            CASE WHEN ex_id % 5 = 0 THEN '" ","reasoning_content":' ELSE '' END, '"', escaped, '"}}],"usage":{',
+            '"prompt_tokens":', CAST(ex_id % 1000 AS STRING), CASE WHEN ex_id % 7 = 0 THEN '' ELSE
+            concat(',"completion_tokens":', CAST(ex_id % 77 AS STRING)) END, ',"total_tokens":',
+            CAST(ex_id % 1000 + ex_id % 77 AS STRING), '}}') AS response
+        FROM (SELECT *, replace(replace(replace(content, chr(92), concat(chr(92), chr(92))), '"', concat(chr(92), '"')),
+                chr(10), concat(chr(92), 'n')) AS escaped FROM {answers}) r""",
 }

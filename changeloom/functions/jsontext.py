@@ -39,27 +39,41 @@ def _first_object_end(pieces: Column) -> Column:
     return F.aggregate(pieces, start, step, lambda state: state["end"])
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it in ``body`` any number of times."""
+    return F.transform(F.array(value), body)[0]
+
+
+def first_object(text: Column) -> Column:
+    """struct<raw, error>: the first balanced ``{...}``, honouring strings and escapes."""
+
+    def pieces_of(clean):
+        brace = F.locate("{", clean)
+        body = F.when(brace > 0, F.substring(clean, brace, F.length(clean)))
+        return F.regexp_extract_all(body, F.lit(_PIECES), 0)
+
+    def outcome(pieces):
+        return let(_first_object_end(pieces), lambda end: F.struct(
+            F.when(end > 0, F.array_join(F.slice(pieces, F.lit(1), F.greatest(end, F.lit(0))), "")).alias("raw"),
+            F.when(pieces.isNull(), "none").when(end == 0, "incomplete").alias("error")))
+
+    return let(strip_fences(F.coalesce(text, F.lit(""))), lambda clean: let(pieces_of(clean), outcome))
+
+
 def extract_json_object(df: DataFrame, text: str, raw: str = "raw_json", error: str = "json_error") -> DataFrame:
-    """First balanced ``{...}`` of a text, honouring strings and escapes.
+    """Adds the first JSON object of a text.  ``error`` is 'none' without any, 'incomplete' if it never closes.
 
-    ``error`` is 'none' without any object, 'incomplete' if it never closes, NULL otherwise.
+    The scan sits in a generator, which no later filter can pull apart and run again.
     """
-    brace = F.locate("{", F.col("_clean"))
-    body = F.when(brace > 0, F.substring(F.col("_clean"), brace, F.length("_clean")))
-    found = F.col("_end") > 0
-    return (
-        df.withColumn("_clean", strip_fences(F.coalesce(F.col(text), F.lit(""))))
-        .withColumn("_pieces", F.regexp_extract_all(body, F.lit(_PIECES), 0))
-        .withColumn("_end", _first_object_end(F.col("_pieces")))
-        .withColumn(raw, F.when(found, F.array_join(F.slice("_pieces", F.lit(1), F.greatest("_end", F.lit(0))), "")))
-        .withColumn(error, F.when(F.col("_pieces").isNull(), "none").when(~found, "incomplete"))
-        .drop("_clean", "_pieces", "_end")
-    )
+    return df.select("*", F.inline(F.array(first_object(F.col(text)))).alias(raw, error))
 
 
 def commit_list_error(raw: Column | str, allow_empty: bool = False) -> Column:
     """Why a JSON object is no usable label: 'invalid', 'not_a_list', 'empty'; NULL if it is usable."""
-    parsed = F.try_parse_json(raw)
-    commits = F.try_variant_get(parsed, "$.commits", "array<variant>")
-    reason = F.when(parsed.isNull(), "invalid").when(commits.isNull(), "not_a_list")
-    return reason if allow_empty else reason.when(F.size(commits) == 0, "empty")
+
+    def reason(parsed):
+        commits = F.try_variant_get(parsed, "$.commits", "array<variant>")
+        found = F.when(parsed.isNull(), "invalid").when(commits.isNull(), "not_a_list")
+        return found if allow_empty else found.when(F.size(commits) == 0, "empty")
+
+    return let(F.try_parse_json(raw), reason)

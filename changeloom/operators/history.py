@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changeloom.functions import constants as K
-from changeloom.functions.scale import first_row, sum_before
+from changeloom.functions.scale import first_row, hash_block, numbered
 from changeloom.functions.text import (LINE_BREAK, as_col, base_name, parent_dir, seeded_hash, split_lines,
                                        strip, suffix)
 from changeloom.session import durable
@@ -188,16 +188,21 @@ def balanced_draw(candidates: DataFrame, count: int, repo: str = "repo", draw: s
                   max_per_repo: int | None = None) -> DataFrame:
     """Up to ``count`` candidates; every repository gives its first pick before any gives a second.
 
-    ``pick`` is the rank within the repository.  Nothing is sorted globally: picks are counted per level, and only
-    the level in which the count runs out is ranked by hash.
+    ``pick`` is the rank within the repository.  Nothing is sorted globally: rows are counted per pick, whole levels
+    are taken while they fit, and only the level in which the count runs out is ranked by hash, block by block.
     """
     limit = count if max_per_repo is None else min(count, max_per_repo)
     window = Window.partitionBy(repo).orderBy(draw)
     picked = candidates.withColumn("pick", F.row_number().over(window)).where(F.col("pick") <= limit)
-    ranked = picked.withColumn("_order", F.concat(F.lpad(F.col("pick").cast("string"), 10, "0"), F.col(draw)))
-    block = F.substring("_order", 1, 12)
-    placed = sum_before(ranked, [], block, [F.col("_order")], F.lit(1), "_place")
-    return placed.where(F.col("_place") < count).drop("_order", "_place")
+    # At most ``limit`` rows, whatever the number of candidates.
+    levels = picked.groupBy("pick").agg(F.count(F.lit(1)).alias("_rows")).withColumn(
+        "_start", F.coalesce(F.sum("_rows").over(Window.orderBy("pick").rowsBetween(Window.unboundedPreceding, -1)),
+                              F.lit(0)))
+    levelled = picked.join(levels.where(F.col("_start") < count), "pick")
+    fits = F.col("_start") + F.col("_rows") <= count
+    last = numbered(levelled.where(~fits), [], hash_block(draw), [F.col(draw)], "_place")
+    chosen = last.where(F.col("_start") + F.col("_place") <= count).drop("_place")
+    return levelled.where(fits).unionByName(chosen).drop("_start", "_rows")
 
 
 def original_commits(ranges: DataFrame, chain: DataFrame, commits: DataFrame, commit_files: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from changeloom.functions import constants as K
 from changeloom.functions.jsontext import commit_list_error, extract_json_object
-from changeloom.functions.scale import first_row, sum_before
+from changeloom.functions.scale import first_row, hash_block, position_block, sum_before
 from changeloom.functions.text import (as_col, bernoulli, hash_int, is_blank, seeded_hash, split_lines,
                                        truncate)
 
@@ -28,17 +28,17 @@ def pending_keys(examples: DataFrame, labelled: DataFrame, limit: int | None = N
     Works on keys only.  The limit takes the first keys by input position, or by hash without one; the count is cut
     per hash block, so that no task sorts them all.
     """
-    order = F.min(position) if position in examples.columns else F.lit(0)
-    wanted = examples.groupBy(key).agg(order.cast("bigint").alias("first_pos"))
+    positioned = position in examples.columns
+    order = F.min(position).cast("bigint") if positioned else F.lit(0).cast("bigint")
+    wanted = examples.groupBy(key).agg(order.alias("first_pos"))
     done = labelled.where(F.col("label").isNotNull()).select(key)
     pending = wanted.join(done, key, "left_anti")
     if limit is None:
         return pending
-    ranked = pending.withColumn("_order", F.concat(F.lpad(F.col("first_pos").cast("string"), 19, "0"),
-                                                   seeded_hash(seed, key)))
-    block = F.substring("_order", 1, 14)
-    placed = sum_before(ranked, [], block, [F.col("_order")], F.lit(1), "_place")
-    return placed.where(F.col("_place") < limit).drop("_order", "_place")
+    drawn = pending.withColumn("_draw", seeded_hash(seed, key))
+    block = position_block("first_pos") if positioned else hash_block("_draw")
+    placed = sum_before(drawn, [], block, [F.col("first_pos"), F.col("_draw")], F.lit(1), "_place")
+    return placed.where(F.col("_place") < limit).drop("_draw", "_place")
 
 
 def pending_examples(examples: DataFrame, labelled: DataFrame, limit: int | None = None, key: str = "example_key",
