@@ -276,7 +276,8 @@ def balanced_draw(t):
              AND NOT (h.parent1 IS NOT NULL AND h.parent2 IS NOT NULL) GROUP BY 1, 2, 3)
     SELECT concat('repo', CAST(p.repo AS STRING)) AS repo_url, 'main' AS branch, p.base_commit, p.head_commit,
         CAST(p.n_commits AS BIGINT) AS n_commits, md5(d.diff) AS diff_md5, d.path AS changed_files,
-        CASE WHEN d.path LIKE '%.py' THEN 'python' ELSE 'rust' END AS languages
+        CASE WHEN d.path LIKE '%.py' THEN 'python' WHEN d.path LIKE '%.js' THEN 'javascript' ELSE 'rust' END
+            AS languages
     FROM picked p JOIN kept k ON k.repo = p.repo AND k.head_commit = p.head_commit AND k.n_commits = p.n_commits
     JOIN d ON d.repo = p.repo AND d.sha = p.head_commit
     WHERE length(d.diff) <= 8000 AND NOT coalesce(d.quality = 0, FALSE)""")

@@ -61,25 +61,39 @@ VIEWS: dict[str, str] = {
         FROM {history} h JOIN {lineitem} l ON l.l_orderkey = h.oid JOIN {paths} p ON l.l_partkey = p.p_partkey""",
     # One unified diff per document: added lines, removed lines, and for some a second file.  Removed lines of every
     # seventh start with dashes, so that they look like a file header.
-    "file_diffs": """
-        SELECT ex_id, path, n, concat('diff --git a/', path, ' b/', path, chr(10), 'index 1111111..2222222 100644',
-            chr(10), '--- a/', path, chr(10), '+++ b/', path, chr(10),
-            '@@ -', CAST(s AS STRING), CASE WHEN ex_id % 4 = 0 THEN '' ELSE ',1' END, ' +', CAST(s AS STRING), ',',
-            CAST(n + 1 AS STRING), ' @@ fn', chr(10), ' ctx', chr(10), '+', replace(text, chr(10), concat(chr(10), '+')),
-            chr(10), '@@ -', CAST(s + 9 AS STRING), ',', CAST(n + 1 AS STRING), ' +', CAST(s + 9 + n AS STRING),
-            ',1 @@', chr(10), ' tail', chr(10), '-', dash, replace(text, chr(10), concat(chr(10), '-', dash)), chr(10))
-            AS diff
+    "diff_parts": """
+        SELECT ex_id, path, n, dash, concat('diff --git a/', path, ' b/', path, chr(10),
+            'index 1111111..2222222 100644', chr(10), '--- a/', path, chr(10), '+++ b/', path, chr(10)) AS header,
+            concat('@@ -', CAST(s AS STRING), CASE WHEN ex_id % 4 = 0 THEN '' ELSE ',1' END, ' +', CAST(s AS STRING),
+                ',', CAST(n + 1 AS STRING), ' @@ fn', chr(10), ' ctx', chr(10), '+',
+                replace(text, chr(10), concat(chr(10), '+')), chr(10)) AS body1,
+            concat('@@ -', CAST(s + 9 AS STRING), ',', CAST(n + 1 AS STRING), ' +', CAST(s + 9 + n AS STRING), ',1 @@',
+                chr(10), ' tail', chr(10)) AS open2,
+            concat('-', dash, replace(text, chr(10), concat(chr(10), '-', dash)), chr(10)) AS removed2,
+            concat('diff --git a/old.txt b/docs/new', CAST(ex_id AS STRING), '.txt', chr(10),
+                'index 3333333..4444444 100644', chr(10), '--- a/old.txt', chr(10), '+++ b/docs/new.txt', chr(10))
+                AS header3,
+            concat('@@ -5,2 +5,1 @@', chr(10), ' keep', chr(10), '-drop', chr(10)) AS body3
         FROM (SELECT doc_id AS ex_id, text, 5 + doc_id % 100 AS s,
                 CASE WHEN doc_id % 7 = 0 THEN '-- ' ELSE '' END AS dash,
-                concat('src/f', CAST(doc_id AS STRING), CASE WHEN doc_id % 2 = 0 THEN '.py' ELSE '.rs' END) AS path,
+                concat('src/f', CAST(doc_id AS STRING), CASE doc_id % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.rs'
+                    WHEN 2 THEN '.py' ELSE '.min.js' END) AS path,
                 length(text) - length(replace(text, chr(10), '')) + 1 AS n
               FROM {documents}) d""",
+    "file_diffs": """
+        SELECT ex_id, path, concat(header, body1, open2, removed2) AS diff FROM {diff_parts}""",
     "range_diffs": """
-        SELECT ex_id, concat(diff, CASE WHEN ex_id % 3 = 0 THEN concat('diff --git a/old.txt b/docs/new', 
-            CAST(ex_id AS STRING), '.txt', chr(10), 'index 3333333..4444444 100644', chr(10), '--- a/old.txt', chr(10),
-            '+++ b/docs/new.txt', chr(10), '@@ -5,2 +5,1 @@', chr(10), ' keep', chr(10), '-drop', chr(10)) ELSE '' END)
-            AS diff
-        FROM {file_diffs}""",
+        SELECT ex_id, concat(header, body1, open2, removed2, CASE WHEN ex_id % 3 = 0 THEN concat(header3, body3) ELSE ''
+            END) AS diff
+        FROM {diff_parts}""",
+    # Hunks of those diffs; every tenth file is untracked and every eleventh is binary.
+    "hunks": """
+        SELECT ex_id, concat(path, '::', CAST(hunk_no AS STRING)) AS hunk_id, path AS file_path, hunk_no,
+            CASE WHEN ex_id % 10 = 3 OR ex_id % 11 = 3 THEN '' ELSE patch END AS patch, ex_id % 10 = 3 AS is_untracked,
+            ex_id % 10 <> 3 AND ex_id % 11 = 3 AS is_binary
+        FROM (SELECT ex_id, path, 1 AS hunk_no, concat(header, body1) AS patch FROM {diff_parts}
+              UNION ALL SELECT ex_id, path, 2, concat(header, open2, removed2) FROM {diff_parts}) h
+        WHERE hunk_no = 1 OR NOT (ex_id % 10 = 3 OR ex_id % 11 = 3)""",
     # Label and predicted commit of each file.
     "grouping": """
         SELECT DISTINCT l_orderkey AS ex_id, l_partkey AS file, l_suppkey % 3 AS label_ix, l_linenumber % 3 AS pred_ix
