@@ -151,4 +151,22 @@ VIEWS: dict[str, str] = {
             CAST(ex_id % 1000 + ex_id % 77 AS STRING), '}}') AS response
         FROM (SELECT *, replace(replace(replace(content, chr(92), concat(chr(92), chr(92))), '"', concat(chr(92), '"')),
                 chr(10), concat(chr(92), 'n')) AS escaped FROM {answers}) r""",
+    # Agent responses in two dialects, one of six kinds per event; props holds the tool arguments.
+    "agent_responses": """
+        SELECT event_id, user_id, kind, k, CASE WHEN kind IN (0, 2, 4) THEN 'native' ELSE 'chat' END AS dialect, CASE kind
+            WHEN 0 THEN concat('{"message":{"role":"assistant","content":"","thinking":"  plan ', k,
+                ' ","tool_calls":[{"function":{"name":"', event_type, '","arguments":', props, '}}]},"prompt_eval_count":',
+                CAST(event_id % 500 AS STRING), ',"eval_count":', CAST(event_id % 50 AS STRING), '}')
+            WHEN 1 THEN concat('{"choices":[{"message":{"content":null,"thinking":" ","reasoning":"why ', k,
+                '","tool_calls":[{"id":"call_', CAST(event_id AS STRING), '","function":{"name":"', event_type,
+                '","arguments":"', replace(props, '"', concat(chr(92), '"')), '"}}]}}],"usage":{"prompt_tokens":',
+                CAST(event_id % 500 AS STRING), ',"completion_tokens":', CAST(event_id % 50 AS STRING), '}}')
+            WHEN 2 THEN concat('{"message":{"content":"', fence, 'json', chr(92), 'n',
+                replace(props, '"', concat(chr(92), '"')), chr(92), 'n', fence, '","reasoning_content":"late ', k,
+                '"},"eval_count":7}')
+            WHEN 3 THEN concat('{"choices":[{"message":{"content":" not json ', k, ' ","reasoning":7}}]}')
+            WHEN 4 THEN '{"message":{"content":" "}}'
+            ELSE '{"choices":[],"usage":{"prompt_tokens":3}}' END AS response, props, event_type
+        FROM (SELECT event_id, user_id, event_type, props, event_id % 6 AS kind, CAST(event_id % 90 AS STRING) AS k,
+                concat(chr(96), chr(96), chr(96)) AS fence FROM {events}) e""",
 }
