@@ -129,12 +129,12 @@ RESULT_CTES = f"""
     res AS (
         SELECT {KEY_SQL} AS example_key, repo_url, language, e.ex_id % 3 = 0 AS noise_injected,
             coalesce(a.problem, '') IN ('', 'empty') AS parsed,
-            CASE WHEN coalesce(a.problem, '') IN ('', 'empty') THEN 0.0 END AS file_grouping_f1,
-            CASE WHEN a.problem IS NULL THEN CASE WHEN (CASE e.ex_id % 3 WHEN 0 THEN 'feat' WHEN 1 THEN 'fix' ELSE 'docs'
+            CASE WHEN coalesce(a.problem, '') IN ('', 'empty') THEN CAST(0 AS DOUBLE) END AS file_grouping_f1,
+            CAST(CASE WHEN a.problem IS NULL THEN CASE WHEN (CASE e.ex_id % 3 WHEN 0 THEN 'feat' WHEN 1 THEN 'fix' ELSE 'docs'
                 END) = (CASE WHEN quality = 1 THEN 'feat' ELSE 'fix' END) THEN 1.0 ELSE 0.0 END
-                WHEN a.problem = 'empty' THEN 0.0 END AS type_accuracy,
-            CASE WHEN e.ex_id % 3 = 0 THEN CASE WHEN a.problem IS NULL THEN 0.5 WHEN a.problem = 'empty' THEN 0.0 END END
-                AS junk_routing
+                WHEN a.problem = 'empty' THEN 0.0 END AS DOUBLE) AS type_accuracy,
+            CAST(CASE WHEN e.ex_id % 3 = 0 THEN CASE WHEN a.problem IS NULL THEN 0.5 WHEN a.problem = 'empty' THEN 0.0
+                END END AS DOUBLE) AS junk_routing
         FROM {{examples}} e JOIN {{answers}} a ON e.ex_id = a.ex_id LEFT JOIN fl ON fl.ex_id = e.ex_id
         WHERE quality IS NOT NULL AND toxic = 0)"""
 
@@ -149,7 +149,7 @@ def result_rows(t):
 
 @query("e7_report_totals", oracle=f"""
     WITH {RESULT_CTES}
-    SELECT count(*) AS n, count_if(parsed) AS n_parsed, avg(CASE WHEN parsed THEN 1.0 ELSE 0.0 END) AS parse_rate,
+    SELECT count(*) AS n, CAST(count_if(parsed) AS BIGINT) AS n_parsed, avg(CASE WHEN parsed THEN 1.0 ELSE 0.0 END) AS parse_rate,
         avg(file_grouping_f1) AS avg_file_grouping_f1, count(file_grouping_f1) AS n_file_grouping_f1,
         avg(type_accuracy) AS avg_type_accuracy, count(type_accuracy) AS n_type_accuracy,
         avg(junk_routing) AS avg_junk_routing, count(junk_routing) AS n_junk_routing FROM res""")

@@ -166,7 +166,7 @@ def build_messages(t):
 
 
 @query("l7_request_body", oracle="""
-    SELECT ex_id, 'teacher' AS model, 0.2 AS temperature, 4096 AS max_tokens,
+    SELECT ex_id, 'teacher' AS model, CAST(0.2 AS DOUBLE) AS temperature, 4096 AS max_tokens,
         CASE WHEN ex_id % 2 = 0 THEN 'high' END AS effort, ex_id % 2 = 0 AS has_effort, md5(diff) AS diff_md5
     FROM {examples}""")
 def request_body(t):
@@ -216,7 +216,7 @@ def _attempts(t):
 
 
 @query("l11_retry_set", oracle="""
-    SELECT concat('k', CAST(ex_id AS STRING)) AS example_key, ex_id % 3 + 2 AS attempt, 2 AS n_messages,
+    SELECT concat('k', CAST(ex_id AS STRING)) AS example_key, CAST(ex_id % 3 + 2 AS INT) AS attempt, 2 AS n_messages,
         concat('The last answer was not usable JSON: ', problem, ' | content: ', substr(content, 1, 300), chr(10),
             'Answer with one JSON object that matches the schema, without explanation or markdown.') AS last_turn
     FROM {answers} WHERE problem IS NOT NULL AND ex_id % 3 + 1 < 3""")
@@ -242,20 +242,20 @@ def attach_label(t):
 
 
 @query("l13_progress", oracle="""
-    SELECT user_id % 5 AS model, count_if(event_type <> 'error') AS ok, count_if(event_type = 'error') AS failed,
-        100.0 * count(*) / (SELECT count(*) FROM events) AS pct,
+    SELECT user_id % 5 AS model, CAST(count_if(event_type <> 'error') AS BIGINT) AS ok,
+        CAST(count_if(event_type = 'error') AS BIGINT) AS failed,
+        round(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM events) * 100, 6) AS pct,
         CAST(sum(CASE WHEN event_type <> 'error' THEN floor(value) ELSE 0 END) AS BIGINT) AS total_tokens
     FROM events GROUP BY user_id % 5""")
 def progress(t):
-    total = t.events.agg(F.count(F.lit(1)).alias("n_total"))
     attempts = t.events.select((F.col("user_id") % 5).alias("model"), (F.col("event_type") != "error").alias("ok"),
                                F.floor("value").alias("tokens"))
-    return L.progress(attempts.crossJoin(F.broadcast(total)), F.col("n_total"), ["model"])
+    return L.progress(attempts, t.events, ["model"]).withColumn("pct", F.round("pct", 6))
 
 
 @query("l14_dry_run_counts", oracle="""
     SELECT count(*) AS total, count(DISTINCT CASE WHEN e.quality IS NOT NULL THEN h.example_key END) AS labelled,
-        count_if(e.quality IS NULL) AS to_label
+        CAST(count_if(e.quality IS NULL) AS BIGINT) AS to_label
     FROM {harvested} h JOIN {examples} e ON h.ex_id = e.ex_id""")
 def dry_run_counts(t):
     return L.dry_run_counts(t.harvested, _labels(t))

@@ -132,10 +132,11 @@ def pack_plan(t):
 
 @query("p10_prep_counters", oracle=f"""
     WITH {SPLIT_CTES}
-    SELECT (SELECT count(*) FROM base) AS loaded, (SELECT count_if(quality IS NULL OR toxic = 1) FROM base) AS skipped,
+    SELECT (SELECT count(*) FROM base) AS loaded, CAST((SELECT count_if(quality IS NULL OR toxic = 1) FROM base) AS BIGINT) AS skipped,
         (SELECT count(*) FROM {{examples}} WHERE ex_id % 5 = 4) AS augmented,
-        (SELECT count_if(split = 'train') FROM split) + (SELECT count(*) FROM {{examples}} WHERE ex_id % 5 = 4) AS train,
-        (SELECT count_if(split = 'val') FROM split) AS val""")
+        CAST((SELECT count_if(split = 'train') FROM split) + (SELECT count(*) FROM {{examples}} WHERE ex_id % 5 = 4)
+            AS BIGINT) AS train,
+        CAST((SELECT count_if(split = 'val') FROM split) AS BIGINT) AS val""")
 def prep_counters(t):
     state = labelled(t).select("example_key", P.label_problem().alias("problem"),
                                (F.col("ex_id") % 5 == 4).alias("is_augmented"))
@@ -153,7 +154,7 @@ def leakage_check(t):
     return P.leaked_keys(prepared.withColumnRenamed("example_key", "base_key"))
 
 
-@query("p11_no_leakage", oracle="SELECT ex_id AS base_key FROM {examples} WHERE FALSE")
+@query("p11_no_leakage", oracle="SELECT repo_url AS base_key FROM {examples} WHERE FALSE")
 def no_leakage(t):
     usable = labelled(t).where(P.label_problem().isNull()).withColumn("stratum", P.stratum())
     prepared = P.split_then_augment(usable)

@@ -156,7 +156,8 @@ def incremental_intake(t):
 
 
 @query("t2_running_counters", oracle="""
-    SELECT user_id % 5 AS model, count_if(event_type <> 'error') AS ok, count_if(event_type = 'error') AS failed,
+    SELECT user_id % 5 AS model, CAST(count_if(event_type <> 'error') AS BIGINT) AS ok,
+        CAST(count_if(event_type = 'error') AS BIGINT) AS failed,
         CAST(sum(CASE WHEN event_type <> 'error' THEN floor(value) ELSE 0 END) AS BIGINT) AS total_tokens
     FROM events GROUP BY user_id % 5""")
 def running_counters(t):

@@ -100,7 +100,8 @@ VIEWS: dict[str, str] = {
         FROM {lineitem}""",
     # Line ranges of hunks, assigned to commits of one plan.
     "hunk_ranges": """
-        SELECT plan, file, commit_ix, row_number() OVER (PARTITION BY plan, file ORDER BY commit_ix, s, c, k) AS pos,
+        SELECT plan, file, commit_ix, CAST(row_number() OVER (PARTITION BY plan, file ORDER BY commit_ix, s, c, k) AS BIGINT)
+                AS pos,
             s AS start_line, c AS line_count
         FROM (SELECT DISTINCT 0 AS plan, l_partkey AS file, l_suppkey % 4 AS commit_ix, l_orderkey % 2000 AS s,
                 CAST(l_quantity AS BIGINT) % 40 AS c, l_orderkey AS k FROM {lineitem}) r""",

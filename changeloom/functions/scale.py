@@ -22,6 +22,15 @@ def position_block(position: Column | str, rows: int = BLOCK_ROWS) -> Column:
     return F.floor(position / F.lit(rows)).cast("bigint")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out to all cores when a scan has far fewer splits than there are cores.
+
+    A file of one row group is one task, however heavy the work per row.  Tables with enough splits are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() * 2 > cores else df.repartition(cores)
+
+
 def hash_block(digest: Column | str, digits: int = 3) -> Column:
     """16**digits equal blocks of a hex digest."""
     return F.substring(digest, 1, digits)

@@ -20,16 +20,42 @@ def _no_lines() -> Column:
     return F.array().cast("array<string>")
 
 
+# A noncharacter: marks cut points in texts that do not hold it themselves.
+CUT = "\ufdd0"
+UNUSUAL = ["\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029", CUT]
+
+
+def unusual_breaks(text: Column) -> Column:
+    """Whether a text has line breaks other than '\\n' (or the cut mark).  Almost none has, and those that do not are
+    split by plain byte searches.  Ten such searches cost a tenth of one character class."""
+    found = F.lit(False)
+    for mark in UNUSUAL:
+        found = found | F.contains(text, F.lit(mark))
+    return found
+
+
 def split_lines(text: Column | str) -> Column:
     """Lines without their ends; '' has no lines, and a final line break opens no extra line."""
     text = as_col(text)
-    body = F.regexp_replace(text, f"(?:{LINE_BREAK})\\z", "")
-    return F.when(text == "", _no_lines()).otherwise(F.split(body, LINE_BREAK, -1))
+    plain = F.split(F.when(text.endswith("\n"), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text), "\n", -1)
+    any_break = F.split(F.regexp_replace(text, f"(?:{LINE_BREAK})\\z", ""), LINE_BREAK, -1)
+    return F.when(text == "", _no_lines()).when(unusual_breaks(text), any_break).otherwise(plain)
+
+
+def split_before(text: Column, marks: list[str], pattern: str) -> Column:
+    """Cut a text at every line start that is followed by one of the marks; ``pattern`` does the same for any breaks."""
+    cut = text
+    for mark in marks:
+        cut = F.replace(cut, F.lit("\n" + mark), F.lit("\n" + CUT + mark))
+    return F.when(unusual_breaks(text), F.split(text, pattern, -1)).otherwise(F.split(cut, CUT, -1))
 
 
 def split_lines_keep_ends(text: Column | str) -> Column:
     text = as_col(text)
-    return F.when(text == "", _no_lines()).otherwise(F.split(text, f"(?:{AFTER_LINE_BREAK})(?!\\z)", -1))
+    cut = F.replace(text, F.lit("\n"), F.lit("\n" + CUT))
+    plain = F.split(F.when(text.endswith("\n"), F.substring(cut, F.lit(1), F.length(cut) - 1)).otherwise(cut), CUT, -1)
+    any_break = F.split(text, f"(?:{AFTER_LINE_BREAK})(?!\\z)", -1)
+    return F.when(text == "", _no_lines()).when(unusual_breaks(text), any_break).otherwise(plain)
 
 
 def strip(text: Column | str) -> Column:

@@ -15,13 +15,16 @@ from pyspark.sql import functions as F
 from changeloom.functions import constants as K
 from changeloom.functions.jsontext import let
 from changeloom.functions.scale import first_row, position_block, preceding_values, sum_before
-from changeloom.functions.text import as_col, base_name, count_of, split_lines, split_lines_keep_ends, strip, truncate
+from changeloom.functions.text import (as_col, base_name, count_of, split_before, split_lines, split_lines_keep_ends,
+                                       strip, truncate, unusual_breaks)
 
 _BREAKS = "\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x85\\u2028\\u2029"
 _LINE_START = f"(?:^|(?<=[{_BREAKS}]))"
 _AT_MARK = f"(?<=[{_BREAKS}])(?=@@|diff --git|index |--- |\\+\\+\\+ )"
 _AT_HUNK = f"(?<=[{_BREAKS}])(?=@@)"
 _AT_FILE = f"(?<=[{_BREAKS}])(?=diff --git)"
+# Prefixes of header lines and of hunk lines.
+_MARKS = ["@@", "diff --git", "index ", "--- ", "+++ "]
 _RANGE = "^@@ -\\d+(?:,(\\d+))? \\+\\d+(?:,(\\d+))? @@"
 
 # -- splitting ---------------------------------------------------------------------------------------------------
@@ -39,14 +42,15 @@ def split_hunks_compat(diff: Column | str) -> Column:
             F.when(is_hunk, header).otherwise(F.concat(header, piece)).alias("header"),
             F.when(is_hunk, F.concat(hunks, F.array(F.concat(header, piece)))).otherwise(hunks).alias("hunks"))
 
-    found = F.aggregate(F.split(diff, _AT_MARK, -1), start, step, lambda state: state["hunks"])
+    found = F.aggregate(split_before(diff, _MARKS, _AT_MARK), start, step, lambda state: state["hunks"])
     return let(found, lambda hunks: F.when(F.size(hunks) > 0, hunks).otherwise(F.array(diff)))
 
 
 def _last_file(header: Column, text: Column) -> Column:
     """Header after more header lines: a new ``diff --git`` starts over."""
-    return let(F.element_at(F.split(text, _AT_FILE, -1), -1), lambda last: F.when(
+    restarted = let(F.element_at(split_before(text, ["diff --git"], _AT_FILE), -1), lambda last: F.when(
         last.startswith("diff --git"), last).otherwise(F.concat(header, text)))
+    return F.when(text == "", header).otherwise(restarted)
 
 
 def _body_lines(lines: Column, old: Column, new: Column) -> Column:
@@ -76,15 +80,15 @@ def split_hunks(diff: Column | str) -> Column:
     diff = as_col(diff)
     start = F.struct(F.lit("").alias("header"), F.array().cast("array<string>").alias("hunks"))
 
-    def count(piece, group):
-        text = F.regexp_extract(piece, _RANGE, group)
+    def count(line, group):
+        text = F.regexp_extract(line, _RANGE, group)
         return F.when(text == "", 1).otherwise(text.cast("int"))
 
     def hunk(state, piece):
         def cut(lines):
-            counted = _body_lines(F.slice(lines, F.lit(2), F.greatest(F.size(lines), F.lit(1))), count(piece, 1),
-                                  count(piece, 2)) + 1
-            keep = F.when(piece.rlike(_RANGE), counted).otherwise(F.size(lines))
+            counted = _body_lines(F.slice(lines, F.lit(2), F.greatest(F.size(lines), F.lit(1))), count(lines[0], 1),
+                                  count(lines[0], 2)) + 1
+            keep = F.when(lines[0].rlike(_RANGE), counted).otherwise(F.size(lines))
             return let(keep, lambda n: F.struct(
                 F.array_join(F.slice(lines, F.lit(1), n), "").alias("body"),
                 F.array_join(F.slice(lines, n + 1, F.size(lines)), "").alias("rest")))
@@ -97,12 +101,15 @@ def split_hunks(diff: Column | str) -> Column:
         header_only = F.struct(_last_file(state["header"], piece).alias("header"), state["hunks"].alias("hunks"))
         return F.when(piece.startswith("@@"), hunk(state, piece)).otherwise(header_only)
 
-    found = F.aggregate(F.split(diff, _AT_HUNK, -1), start, step, lambda state: state["hunks"])
+    found = F.aggregate(split_before(diff, ["@@"], _AT_HUNK), start, step, lambda state: state["hunks"])
     return let(found, lambda hunks: F.when(F.size(hunks) > 0, hunks).otherwise(F.array(diff)))
 
 
 def is_binary_diff(diff: Column | str) -> Column:
-    return as_col(diff).rlike(
+    diff = as_col(diff)
+    # Two byte searches spare nearly all diffs the regular expression.
+    hint = F.contains(diff, F.lit("Binary files")) | F.contains(diff, F.lit("GIT binary patch"))
+    return hint & diff.rlike(
         f"{_LINE_START}(?:Binary files(?: [^{_BREAKS}]*)? differ(?=[{_BREAKS}]|\\z)|GIT binary patch)")
 
 
@@ -139,12 +146,18 @@ def old_range(patch: Column | str) -> Column:
         start.cast("int").alias("start"), F.when(count == "", 1).otherwise(count.cast("int")).alias("count")))
 
 
+def _lines_with(patch: Column, mark: str, pattern: str) -> Column:
+    lines = F.concat(F.lit("\n"), patch)
+    plain = count_of(lines, "\n" + mark) - count_of(lines, "\n" + mark * 3)
+    return F.when(unusual_breaks(patch), F.regexp_count(patch, F.lit(pattern)).cast("bigint")).otherwise(plain)
+
+
 def added_lines(patch: Column | str) -> Column:
-    return F.regexp_count(as_col(patch), F.lit(f"{_LINE_START}\\+(?!\\+\\+)"))
+    return _lines_with(as_col(patch), "+", f"{_LINE_START}\\+(?!\\+\\+)")
 
 
 def removed_lines(patch: Column | str) -> Column:
-    return F.regexp_count(as_col(patch), F.lit(f"{_LINE_START}-(?!--)"))
+    return _lines_with(as_col(patch), "-", f"{_LINE_START}-(?!--)")
 
 
 def quick_added(patch: Column | str) -> Column:

@@ -215,14 +215,17 @@ def attach_labels(examples: DataFrame, parsed: DataFrame, model: str, key: str =
 # -- counters ----------------------------------------------------------------------------------------------------
 
 
-def progress(attempts: DataFrame, total: Column, keys: list[str]) -> DataFrame:
-    """Done, failed, percentage and tokens of successful requests.  ``ok`` and ``tokens`` are given."""
+def progress(attempts: DataFrame, pending: DataFrame, keys: list[str]) -> DataFrame:
+    """Done, failed, percentage of all pending work, and tokens of successful requests.
+
+    ``attempts`` holds ``ok`` and ``tokens``.
+    """
     done = F.count_if("ok")
     failed = F.count_if(~F.col("ok"))
     tokens = F.coalesce(F.sum(F.when(F.col("ok"), F.col("tokens"))), F.lit(0)).cast("bigint")
-    return attempts.groupBy(*keys).agg(
-        done.alias("ok"), failed.alias("failed"), ((done + failed) / F.max(total) * 100).alias("pct"),
-        tokens.alias("total_tokens"))
+    total = pending.agg(F.count(F.lit(1))).scalar()
+    counted = attempts.groupBy(*keys).agg(done.alias("ok"), failed.alias("failed"), tokens.alias("total_tokens"))
+    return counted.withColumn("pct", (F.col("ok") + F.col("failed")) / total * 100)
 
 
 def dry_run_counts(examples: DataFrame, labelled: DataFrame, key: str = "example_key") -> DataFrame:

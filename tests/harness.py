@@ -20,6 +20,7 @@ from changeloom.catalog import load  # noqa: E402
 from changeloom.catalog.registry import TABLES  # noqa: E402
 from changeloom.session import with_defaults  # noqa: E402
 
+TYPES = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "BOOLEAN": "boolean"}
 DATA = Path(os.environ.get("TESTDATA", "/root/testdata"))
 
 
@@ -70,6 +71,9 @@ def compare(spark, connection, directory, build, sql):
     expected = rows_of(names, result.fetchall())
     if sorted(names) != sorted(df.columns):
         return f"columns {sorted(df.columns)} != {sorted(names)}", len(rows), seconds
+    oracle_types = {d[0]: TYPES.get(str(d[1]), str(d[1])) for d in result.description}
+    if oracle_types != dict(df.dtypes):
+        return f"types {sorted(df.dtypes)} != {sorted(oracle_types.items())}", len(rows), seconds
     actual = rows_of(df.columns, rows)
     if actual != expected:
         extra = [r for r in actual if r not in set(expected)][:3]
