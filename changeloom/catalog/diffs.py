@@ -40,13 +40,13 @@ def split_hunks_compat(t):
 
 
 @query("d2_collect_hunks", oracle="""
-    SELECT ex_id, hunk_id, file_path, hunk_no, patch, is_untracked, is_binary FROM {hunks} WHERE ex_id % 9 <> 5""")
+    SELECT ex_id, hunk_id, file_path, hunk_no, patch, is_untracked, is_binary FROM {hunks} WHERE is_untracked OR ex_id % 9 <> 5""")
 def collect_hunks(t):
     files = t.sql("""
         SELECT ex_id, path, ex_id % 10 = 3 AS is_untracked, CASE WHEN ex_id % 9 = 5 AND ex_id % 10 <> 3 THEN chr(10)
             WHEN ex_id % 10 = 3 THEN '' WHEN ex_id % 11 = 3 THEN concat('diff --git a/x b/x', chr(10),
             'Binary files a/x and b/x differ', chr(10)) ELSE diff END AS diff
-        FROM {file_diffs} WHERE NOT (ex_id % 9 = 5 AND ex_id % 10 = 3)""")
+        FROM {file_diffs}""")
     return D.collect_hunks(files, compat=False)
 
 

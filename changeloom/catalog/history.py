@@ -227,14 +227,13 @@ def binary_flag(t):
     mem AS (SELECT r.repo, r.head_commit, r.n_commits, c.pos, h.sha, h.subject, coalesce(fl.files, '') AS files
             FROM ranges r JOIN chain c ON c.repo = r.repo AND c.pos BETWEEN r.head_pos AND r.head_pos + r.n_commits - 1
             JOIN history h ON h.repo = c.repo AND h.sha = c.sha AND NOT (h.parent1 IS NOT NULL AND h.parent2 IS NOT NULL)
-            LEFT JOIN fl ON fl.repo = h.repo AND fl.sha = h.sha
-            WHERE r.n_commits <= 3)
+            LEFT JOIN fl ON fl.repo = h.repo AND fl.sha = h.sha)
     SELECT repo, head_commit, n_commits, count(*) AS n_original,
         string_agg(concat(sha, '|', subject, '|', files), chr(10) ORDER BY pos) AS commits
     FROM mem GROUP BY repo, head_commit, n_commits""")
 def original_commits(t):
     chain = _chain(t)
-    ranges = H.default_branch_ranges(chain, max_commits=3)
+    ranges = H.default_branch_ranges(chain)
     out = H.original_commits(ranges, chain, _commits(t), t.history_files)
     text = F.transform("original_commits", lambda c: F.concat_ws("|", c["sha"], c["subject"],
                                                                  F.array_join(c["files"], ";")))

@@ -60,11 +60,10 @@ def history_scan(t):
                      F.lit("main").alias("branch_head"), F.col("topo_pos").cast("bigint").alias("topo_pos")
                      ).write.parquet(f"{root}/commits")
     t.history_files.select(text, "sha", "path", F.lit(0).alias("pos")).write.parquet(f"{root}/commit_files")
-    t.history.limit(0).select(text, F.col("sha").alias("base_commit"), F.col("sha").alias("head_commit"),
-                              F.col("subject").alias("diff"), F.lit(False).alias("has_binary")
-                              ).write.parquet(f"{root}/range_diffs")
-    t.history.limit(0).select(text, "sha", F.col("subject").alias("path"), F.col("subject").alias("content")
-                              ).write.parquet(f"{root}/tree_files")
+    t.history.select(text, F.col("parent1").alias("base_commit"), F.col("sha").alias("head_commit"),
+                     F.col("subject").alias("diff"), F.lit(False).alias("has_binary")
+                     ).write.parquet(f"{root}/range_diffs")
+    t.history_files.select(text, "sha", "path", F.col("path").alias("content")).write.parquet(f"{root}/tree_files")
     return S.history_commits(S.read_history(t.spark, root)["commits"])
 
 

@@ -2,18 +2,20 @@
 
 A window over one key sorts all rows of that key in one task.  The helpers here cut every key into blocks of its
 ordering column first: block summaries are pre-aggregated (map-side combine), chained per key over the few summary
-rows, and added to a window that is local to (key, block).  The block expression must be monotone in the ordering,
+rows, and put in front of a window that is local to (key, block).  The block expression must be monotone in the ordering,
 for example ``position div 65536`` or a prefix of a hash.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 65536
+# Largest rank that Catalyst pushes below the shuffle by default.
+GROUP_LIMIT = 1000
 BLOCK = "_block"
 
 
@@ -42,54 +44,54 @@ def first_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Da
     return ranked.where("_rank = 1").drop("_rank")
 
 
-def _carry(df: DataFrame, keys: Sequence[str], block: Column, summaries: dict[str, Column], chain) -> DataFrame:
-    """Summaries of all earlier blocks of the same key, one row per (key, block)."""
-    totals = df.groupBy(*keys, block.alias(BLOCK)).agg(*[agg.alias(name) for name, agg in summaries.items()])
+def _chained(df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[Column], value: Column, name: str,
+             combine: Callable[[str], Column], until: int) -> DataFrame:
+    """Running ``combine`` of ``value`` within the key, over all rows up to ``until`` (0: this row, -1: the one before).
+
+    What earlier blocks add up to enters each block as one extra row in front, so rows are shuffled once, by
+    (key, block), and nothing is joined back.
+    """
+    valued = df.withColumn(BLOCK, block).withColumn("_value", value)
+    totals = valued.groupBy(*keys, BLOCK).agg(combine("_value").alias("_value"))
     # Without keys this is one window over at most as many rows as there are blocks.
     earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select(*keys, BLOCK, *[chain(F.col(name)).over(earlier).alias(name) for name in summaries])
-
-
-def _join_carry(df: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFrame:
-    right = carried.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(BLOCK).alias("_k_block"),
-                           *[c for c in carried.columns if c not in keys and c != BLOCK])
-    match = F.col(BLOCK) == F.col("_k_block")
-    for key in keys:
-        match = match & F.col(key).eqNullSafe(F.col(f"_k_{key}"))
-    return df.join(right, match, "left").drop("_k_block", *[f"_k_{k}" for k in keys])
+    carried = totals.select(*keys, BLOCK, combine("_value").over(earlier).alias("_value")).where("_value IS NOT NULL")
+    rows = valued.withColumn("_is_row", F.lit(True)).unionByName(
+        carried.withColumn("_is_row", F.lit(False)), allowMissingColumns=True)
+    local = Window.partitionBy(*keys, BLOCK).orderBy("_is_row", *order).rowsBetween(Window.unboundedPreceding, until)
+    return rows.withColumn(name, combine("_value").over(local)).where("_is_row").drop(BLOCK, "_value", "_is_row")
 
 
 def numbered(df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[Column], name: str) -> DataFrame:
     """1-based row number within the key, in the given order."""
-    carried = _carry(df, keys, block, {"_before": F.count(F.lit(1))}, F.sum)
-    local = Window.partitionBy(*keys, BLOCK).orderBy(*order)
-    ranked = df.withColumn(BLOCK, block).withColumn("_local", F.row_number().over(local))
-    out = _join_carry(ranked, carried, keys)
-    return out.withColumn(name, (F.col("_local") + F.coalesce("_before", F.lit(0))).cast("bigint")).drop(
-        "_local", "_before", BLOCK)
+    return _chained(df, keys, block, order, F.lit(1).cast("bigint"), name, F.sum, 0)
+
+
+def first_rows(df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[Column], n: int,
+               name: str) -> DataFrame:
+    """First ``n`` rows per key with their number.
+
+    Up to ``GROUP_LIMIT`` rows Catalyst cuts each map task's rows before the shuffle; for more the key is numbered
+    block by block.
+    """
+    if n <= GROUP_LIMIT:
+        ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
+    else:
+        ranked = numbered(df, keys, block, order, name)
+    return ranked.where(F.col(name) <= n)
 
 
 def sum_before(df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[Column], value: Column,
                name: str) -> DataFrame:
     """Exclusive running sum within the key: what all earlier rows add up to (0 for the first)."""
-    valued = df.withColumn("_value", value)
-    carried = _carry(valued, keys, block, {"_before": F.sum("_value")}, F.sum)
-    local = Window.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = valued.withColumn(BLOCK, block).withColumn("_local", F.sum("_value").over(local))
-    out = _join_carry(ranked, carried, keys)
-    total = F.coalesce("_local", F.lit(0)) + F.coalesce("_before", F.lit(0))
-    return out.withColumn(name, total.cast("bigint")).drop("_local", "_before", "_value", BLOCK)
+    summed = _chained(df, keys, block, order, value, name, F.sum, -1)
+    return summed.withColumn(name, F.coalesce(name, F.lit(0)).cast("bigint"))
 
 
 def max_so_far(df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[Column], value: Column,
                name: str) -> DataFrame:
     """Inclusive running maximum within the key; NULL while no value has been seen."""
-    valued = df.withColumn("_value", value)
-    carried = _carry(valued, keys, block, {"_before": F.max("_value")}, F.max)
-    local = Window.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = valued.withColumn(BLOCK, block).withColumn("_local", F.max("_value").over(local))
-    out = _join_carry(ranked, carried, keys)
-    return out.withColumn(name, F.greatest("_local", "_before")).drop("_local", "_before", "_value", BLOCK)
+    return _chained(df, keys, block, order, value, name, F.max, 0)
 
 
 def preceding_values(df: DataFrame, keys: Sequence[str], position: str, value: Column, count: int, name: str,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changeloom.functions import constants as K
-from changeloom.functions.scale import first_row, hash_block, numbered
+from changeloom.functions.scale import first_row, first_rows, hash_block, numbered, position_block
 from changeloom.functions.text import (LINE_BREAK, as_col, base_name, parent_dir, seeded_hash, split_lines,
                                        strip, suffix)
 from changeloom.session import durable
@@ -119,9 +119,8 @@ def is_merge(parents: Column | str) -> Column:
 
 def commit_pool(commits: DataFrame, repo: str = "repo", position: str = "topo_pos",
                 cap: int = K.COMMIT_POOL_CAP) -> DataFrame:
-    """Newest commits per repository over all branches.  Map tasks keep at most ``cap`` rows per repository."""
-    window = Window.partitionBy(repo).orderBy(position)
-    return commits.withColumn("_n", F.row_number().over(window)).where(F.col("_n") <= cap).drop("_n")
+    """Newest commits per repository over all branches."""
+    return first_rows(commits, [repo], position_block(position), [F.col(position)], cap, "_n").drop("_n")
 
 
 def first_parent_chain(commits: DataFrame, heads: DataFrame, repo: str = "repo", sha: str = "sha",
@@ -192,8 +191,7 @@ def balanced_draw(candidates: DataFrame, count: int, repo: str = "repo", draw: s
     are taken while they fit, and only the level in which the count runs out is ranked by hash, block by block.
     """
     limit = count if max_per_repo is None else min(count, max_per_repo)
-    window = Window.partitionBy(repo).orderBy(draw)
-    picked = candidates.withColumn("pick", F.row_number().over(window)).where(F.col("pick") <= limit)
+    picked = first_rows(candidates, [repo], hash_block(draw, 2), [F.col(draw)], limit, "pick")
     # At most ``limit`` rows, whatever the number of candidates.
     levels = picked.groupBy("pick").agg(F.count(F.lit(1)).alias("_rows")).withColumn(
         "_start", F.coalesce(F.sum("_rows").over(Window.orderBy("pick").rowsBetween(Window.unboundedPreceding, -1)),
