@@ -70,7 +70,7 @@ def old_range(t):
 
 
 STATS = """
-    SELECT h.hunk_id, h.hunk_no, p.n, p.dash, h.patch FROM {hunks} h JOIN {diff_parts} p ON h.ex_id = p.ex_id"""
+    SELECT h.hunk_id, h.hunk_no, p.n, p.dash, h.patch, h.is_untracked FROM {hunks} h JOIN {diff_parts} p ON h.ex_id = p.ex_id"""
 
 
 @query("d5_diff_stats", oracle=f"""
@@ -190,15 +190,17 @@ def combined_patch(t):
                       F.when(F.col("n_hunks") == 1, F.col("patch")).otherwise(F.md5("patch")).alias("patch"))
 
 
-@query("d15_change_stats", oracle=f"""
-    SELECT CASE WHEN hunk_no = 1 THEN 'Staged' ELSE 'Unstaged' END AS side, regexp_extract(hunk_id, '[^.]*$') AS kind,
+@query("d15_change_metadata", oracle=f"""
+    SELECT DISTINCT 'Untracked' AS side, regexp_extract(hunk_id, '[^.]*$') AS kind, CAST(NULL AS BIGINT) AS added,
+        CAST(NULL AS BIGINT) AS removed FROM {{hunks}} WHERE is_untracked
+    UNION ALL SELECT CASE WHEN hunk_no = 1 THEN 'Staged' ELSE 'Unstaged' END AS side, regexp_extract(hunk_id, '[^.]*$') AS kind,
         CAST(sum(CASE WHEN patch <> '' AND hunk_no = 1 THEN n ELSE 0 END) AS BIGINT) AS added,
         CAST(sum(CASE WHEN patch <> '' AND hunk_no = 2 AND dash = '' THEN n ELSE 0 END) AS BIGINT) AS removed
-    FROM ({STATS}) s GROUP BY 1, 2""")
-def change_stats(t):
+    FROM ({STATS}) s WHERE NOT is_untracked GROUP BY 1, 2""")
+def change_metadata(t):
     sided = t.hunks.withColumn("side", F.when(F.col("hunk_no") == 1, "Staged").otherwise("Unstaged")).withColumn(
         "kind", F.regexp_extract("hunk_id", "[^.]*$", 0))
-    return D.change_stats(sided, ("side", "kind"))
+    return D.change_metadata(sided, ("side", "kind"))
 
 
 @query("d16_ordered_union", oracle="""

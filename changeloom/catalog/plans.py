@@ -52,6 +52,13 @@ def overlap_components(t):
     return P.overlap_components(t.claims)
 
 
+@query("c5_merge_groups", oracle=f"""
+    WITH RECURSIVE {COMPONENT_CTES} SELECT plan, component, count(*) AS n_commits FROM comp GROUP BY plan, component
+    HAVING count(*) > 1""")
+def merge_groups(t):
+    return P.merge_groups(P.overlap_components(t.claims))
+
+
 @query("c6_component_hunks", oracle=f"""
     WITH RECURSIVE {COMPONENT_CTES},
     r AS (SELECT c.plan, comp.component, c.hunk, c.commit_ix AS first_commit, row_number() OVER (

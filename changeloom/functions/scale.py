@@ -45,8 +45,9 @@ def first_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Da
 
 
 def _chained(df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[Column], value: Column, name: str,
-             combine: Callable[[str], Column], until: int) -> DataFrame:
+             combine: Callable[[str], Column], until: int, total: str | None = None) -> DataFrame:
     """Running ``combine`` of ``value`` within the key, over all rows up to ``until`` (0: this row, -1: the one before).
+    With ``total``, also the value over all rows of the key.
 
     What earlier blocks add up to enters each block as one extra row in front, so rows are shuffled once, by
     (key, block), and nothing is joined back.
@@ -55,16 +56,23 @@ def _chained(df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[
     totals = valued.groupBy(*keys, BLOCK).agg(combine("_value").alias("_value"))
     # Without keys this is one window over at most as many rows as there are blocks.
     earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(*keys, BLOCK, combine("_value").over(earlier).alias("_value")).where("_value IS NOT NULL")
+    carried = totals.select(*keys, BLOCK, combine("_value").over(earlier).alias("_value"), *(
+        [combine("_value").over(Window.partitionBy(*keys)).alias("_total")] if total else []))
+    if not total:
+        carried = carried.where("_value IS NOT NULL")
     rows = valued.withColumn("_is_row", F.lit(True)).unionByName(
         carried.withColumn("_is_row", F.lit(False)), allowMissingColumns=True)
     local = Window.partitionBy(*keys, BLOCK).orderBy("_is_row", *order).rowsBetween(Window.unboundedPreceding, until)
-    return rows.withColumn(name, combine("_value").over(local)).where("_is_row").drop(BLOCK, "_value", "_is_row")
+    out = rows.withColumn(name, combine("_value").over(local))
+    if total:
+        out = out.withColumn(total, F.max("_total").over(Window.partitionBy(*keys, BLOCK))).drop("_total")
+    return out.where("_is_row").drop(BLOCK, "_value", "_is_row")
 
 
-def numbered(df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[Column], name: str) -> DataFrame:
-    """1-based row number within the key, in the given order."""
-    return _chained(df, keys, block, order, F.lit(1).cast("bigint"), name, F.sum, 0)
+def numbered(df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[Column], name: str,
+             total: str | None = None) -> DataFrame:
+    """1-based row number within the key, in the given order; ``total`` adds the number of rows of the key."""
+    return _chained(df, keys, block, order, F.lit(1).cast("bigint"), name, F.sum, 0, total)
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[Column], n: int,

@@ -181,6 +181,13 @@ def change_stats(hunks: DataFrame, keys: Sequence[str] = ("side", "file_path"))
                                     F.sum(removed_lines("patch")).cast("bigint").alias("removed"))
 
 
+def change_metadata(hunks: DataFrame, keys: Sequence[str] = ("side", "file_path")) -> DataFrame:
+    """Stats of changed files, then untracked files, which have none and their own side."""
+    stats = change_stats(hunks.where("NOT is_untracked"), keys)
+    fresh = hunks.where("is_untracked").withColumn("side", F.lit("Untracked")).select(*keys).distinct()
+    return stats.unionByName(fresh, allowMissingColumns=True)
+
+
 # -- context for a model -----------------------------------------------------------------------------------------
 
 

@@ -107,10 +107,11 @@ def prediction_status(responses: DataFrame, content: str = "content") -> DataFra
     return found.withColumn("parsed", usable).drop("json_error")
 
 
-def result_rows(examples: DataFrame, predictions: DataFrame, key: str = "example_key") -> DataFrame:
+def result_rows(examples: DataFrame, predictions: DataFrame, key: str = "example_key",
+                verbose: bool = False) -> DataFrame:
     """One result per example; metrics are NULL unless the prediction was parsed.
 
-    ``predictions`` holds (key, parsed, raw_json).
+    ``predictions`` holds (key, parsed, raw_json).  ``verbose`` keeps prediction and label.
     """
     from changeloom.schemas import LABEL_COMMIT
 
@@ -122,8 +123,9 @@ def result_rows(examples: DataFrame, predictions: DataFrame, key: str = "example
     want = F.coalesce("label.commits", none)
     rules = F.coalesce("_pred.gitignore", F.array().cast("array<string>"))
     injected = F.coalesce("injected_files", F.array().cast("array<string>"))
+    extra = [F.when(F.col("parsed"), F.col("_pred")).alias("predicted"), F.col("label")] if verbose else []
     return joined.select(
-        key, "repo_url", "languages", "noise_injected", "parsed",
+        key, "repo_url", "languages", "noise_injected", "parsed", *extra,
         F.when(F.col("parsed"), grouping_f1_of(got, want)).alias("file_grouping_f1"),
         F.when(F.col("parsed"), type_accuracy_of(got, want)).alias("type_accuracy"),
         F.when(F.col("parsed"), junk_routing_of(got, rules, injected)).alias("junk_routing"))

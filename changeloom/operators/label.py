@@ -181,13 +181,22 @@ def parse_responses(responses: DataFrame, response: str = "response") -> DataFra
     return found.withColumn("error", F.coalesce("json_error", commit_list_error("raw_json"))).drop("json_error")
 
 
-def retry_requests(attempts: DataFrame, max_attempts: int = K.MAX_ATTEMPTS, key: str = "example_key") -> DataFrame:
-    """Next request of every example whose latest attempt failed: the original messages and one error turn."""
+RETRY_TEXT = (
+    "The last answer was not usable JSON: {error}\n"
+    "Answer with one JSON object that matches the schema, without explanation or markdown."
+)
+
+
+def retry_requests(attempts: DataFrame, max_attempts: int = K.MAX_ATTEMPTS, key: str = "example_key",
+                   text: str = RETRY_TEXT) -> DataFrame:
+    """Next request of every example whose latest attempt failed: the original messages and one error turn.
+
+    ``text`` words that turn; its ``{error}`` becomes the reason and the first 300 characters of the answer.
+    """
     latest = first_row(attempts, [key], [F.desc("attempt")])
     detail = F.concat(F.col("error"), F.lit(" | content: "), F.substring("content", 1, 300))
-    turn = message("user", F.concat(
-        F.lit("The last answer was not usable JSON: "), detail,
-        F.lit("\nAnswer with one JSON object that matches the schema, without explanation or markdown.")))
+    before, after = text.split("{error}")
+    turn = message("user", F.concat(F.lit(before), detail, F.lit(after)))
     return latest.where(F.col("error").isNotNull() & (F.col("attempt") < max_attempts)).select(
         key, (F.col("attempt") + 1).alias("attempt"), F.concat("messages", F.array(turn)).alias("messages"))
 

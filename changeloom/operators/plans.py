@@ -104,6 +104,11 @@ def overlap_components(claims: DataFrame, max_rounds: int = 50) -> DataFrame:
         "plan", F.col("v").alias("commit_ix"), F.coalesce("u", "v").alias("component"))
 
 
+def merge_groups(components: DataFrame) -> DataFrame:
+    """Components of several commits, each of which needs a merged message; others stay as they are."""
+    return components.groupBy("plan", "component").agg(F.count(F.lit(1)).alias("n_commits")).where("n_commits > 1")
+
+
 def component_hunks(claims: DataFrame, components: DataFrame, position: str = "pos") -> DataFrame:
     """Distinct hunks of each component with the place where each was first seen.
 

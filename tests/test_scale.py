@@ -33,17 +33,17 @@ def test_numbered_and_running_values(spark):
     rows = hot_rows(1)
     df = spark.createDataFrame(rows, "key string, pos bigint, value bigint").repartition(7)
     block, order = position_block("pos", 8), [F.col("pos")]
-    out = numbered(df, ["key"], block, order, "no")
+    out = numbered(df, ["key"], block, order, "no", total="n")
     out = sum_before(out, ["key"], block, order, F.coalesce("value", F.lit(0)), "before")
     out = max_so_far(out, ["key"], block, order, F.col("value"), "top")
-    got = {(r.key, r.pos): (r.no, r.before, r.top) for r in out.collect()}
+    got = {(r.key, r.pos): (r.no, r.before, r.top, r.n) for r in out.collect()}
     assert len(got) == len(rows)
     for key, group in by_key(rows).items():
         before, top = 0, None
         for no, (_, pos, value) in enumerate(group, 1):
             if value is not None:
                 top = value if top is None else max(top, value)
-            assert got[key, pos] == (no, before, top)
+            assert got[key, pos] == (no, before, top, len(group))
             before += value or 0
 
 
