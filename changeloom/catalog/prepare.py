@@ -41,6 +41,14 @@ def sft_triple(t):
                       F.col("m")[2]["content"].alias("assistant_text"))
 
 
+@query("p1_assistant_from_json", oracle="""
+    SELECT ex_id, CASE WHEN kind = 6 THEN '{"commits":[],"gitignore":[]}' ELSE obj END AS assistant_text FROM {answers}
+    WHERE problem IS NULL OR problem = 'empty'""")
+def assistant_from_json(t):
+    return t.answers.where("problem IS NULL OR problem = 'empty'").select(
+        "ex_id", P.assistant_text_of_json("expected").alias("assistant_text"))
+
+
 @query("p2_truncate", oracle="""
     SELECT ex_id, CASE WHEN length(diff) > 1500 THEN concat(substr(diff, 1, 1500), chr(10), chr(10),
         '... (diff truncated at 1500 chars)') ELSE diff END AS shown FROM {examples}""")

@@ -209,7 +209,7 @@ def usage_of(response: Column | str) -> Column:
 
 
 def attach_labels(examples: DataFrame, parsed: DataFrame, model: str, key: str = "example_key") -> DataFrame:
-    """Examples with a usable response get their label; failed ones give no row."""
+    """Examples with a usable response get ``label`` and its JSON ``label_json``; failed ones give no row."""
     from changeloom.schemas import LABEL_COMMIT
 
     body = F.from_json("raw_json", f"commits array<{LABEL_COMMIT}>, gitignore array<string>")
@@ -218,7 +218,7 @@ def attach_labels(examples: DataFrame, parsed: DataFrame, model: str, key: str =
     rules = F.coalesce("_body.gitignore", F.array().cast("array<string>"))
     return examples.join(label, key).withColumn("label", F.struct(
         F.col("_body.commits").alias("commits"), rules.alias("gitignore"), F.lit(model).alias("model"),
-        F.col("_usage").alias("usage"))).drop("raw_json", "_body", "_usage")
+        F.col("_usage").alias("usage"))).withColumnRenamed("raw_json", "label_json").drop("_body", "_usage")
 
 
 # -- counters ----------------------------------------------------------------------------------------------------

@@ -23,8 +23,20 @@ def assistant_text(commits: Column, gitignore: Column) -> Column:
         gitignore, F.array().cast("array<string>")).alias("gitignore")))
 
 
-def sft_messages(prompt: PromptSet = SFT_PROMPT, label: str = "label") -> Column:
-    answer = message("assistant", assistant_text(F.col(label)["commits"], F.col(label)["gitignore"]))
+def assistant_text_of_json(raw: Column | str) -> Column:
+    """The same from the label's own JSON, which keeps fields that no schema names and the order of all."""
+    def part(name):
+        return F.get_json_object(raw, f"$.{name}")
+
+    return F.concat(F.lit('{"commits":'), part("commits"), F.lit(',"gitignore":'),
+                    F.coalesce(part("gitignore"), F.lit("[]")), F.lit("}"))
+
+
+def sft_messages(prompt: PromptSet = SFT_PROMPT, label: str = "label", label_json: str | None = None) -> Column:
+    """Chat triple.  The answer comes from ``label``, or from the raw ``label_json`` where that column is named."""
+    text = assistant_text_of_json(label_json) if label_json else assistant_text(
+        F.col(label)["commits"], F.col(label)["gitignore"])
+    answer = message("assistant", text)
     return F.concat(build_messages(prompt), F.array(answer))
 
 

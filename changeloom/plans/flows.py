@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from changeloom.operators import diffs as D
+from changeloom.operators import evaluate as E
 from changeloom.operators import label as L
+from changeloom.operators import plans as C
 from changeloom.operators import prepare as P
 
 
@@ -42,3 +45,33 @@ def sft_records(labelled: DataFrame, variants: int = 1, fraction: float = 0.1, s
     usable = keyed.where(P.label_problem().isNull())
     split = P.split_then_augment(usable, variants, fraction, seed, reference_compat=reference_compat)
     return split.withColumn("messages", P.sft_messages(prompt))
+
+
+def model_context(hunks: DataFrame, keys: list[str], position: str, summary: str | None = None) -> DataFrame:
+    """What a model is shown of each change set: rendered hunks up to the character budget, one row each.
+
+    Rows flagged ``needs_summary`` wait for an answer to ``diffs.summary_requests``; a notice about omitted hunks
+    follows the row flagged ``closes``.
+    """
+    return D.budget_cut(D.render_context(hunks, summary), keys, position)
+
+
+def check_plan(claims: DataFrame, hunks: DataFrame, skipped: DataFrame) -> DataFrame:
+    """All problems of submitted plans as (plan, hunk, problem)."""
+    on = ["plan", "hunk"]
+
+    def named(df, problem):
+        return df.select(*on, F.lit(problem).alias("problem"))
+
+    return (
+        named(C.unknown_hunks(claims, hunks), "unknown").unionByName(named(C.double_assigned(claims), "double"))
+        .unionByName(named(C.invalid_skips(skipped, hunks), "invalid_skip"))
+        .unionByName(named(C.unassigned_hunks(hunks, claims, skipped), "unassigned"))
+    )
+
+
+def score_predictions(examples: DataFrame, responses: DataFrame, key: str = "example_key") -> tuple[DataFrame, ...]:
+    """(result rows, totals, breakdown by language) of raw responses against labelled examples."""
+    answered = responses.select(key, L.response_content("response").alias("content"))
+    results = E.result_rows(examples, E.prediction_status(answered), key)
+    return results, E.report_totals(results), E.report_by_language(results)
