@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from changeloom.catalog.registry import query
+from changeloom.functions.scale import numbered, position_block
 from changeloom.operators import diffs as D
 
 
@@ -232,7 +233,8 @@ HUNK_SETS = """
         END, 'Hunk ', CAST(h.hunk_no AS STRING), ':', chr(10), h.patch)) AS request_md5
     FROM h JOIN c ON h.file_path = c.fp LEFT JOIN p ON p.file_path = h.file_path AND p.hunk_no = h.hunk_no""")
 def summary_requests(t):
-    hunks = t.sql(HUNK_SETS)
+    rows = t.sql("SELECT source AS file_path, doc_id, text AS patch, substr(text, 1, 12) AS summary FROM {documents}")
+    hunks = numbered(rows, ["file_path"], position_block("doc_id"), [F.col("doc_id")], "hunk_no")
     counts = hunks.groupBy("file_path").agg(F.count(F.lit(1)).alias("n_hunks"))
     out = D.summary_requests(hunks.join(counts, "file_path"), ["file_path"])
     return out.select("file_path", F.col("hunk_no").cast("bigint").alias("hunk_no"), F.md5("request").alias("request_md5"))
@@ -245,7 +247,7 @@ def summary_requests(t):
     SELECT file_path, CAST(s AS INT) AS start_hunk, CAST(least(s + bs - 1, n) AS INT) AS end_hunk
     FROM (SELECT *, unnest(generate_series(1, n, bs)) AS s FROM f WHERE remaining > 0 AND total > 12000) x""")
 def batch_plan(t):
-    files = t.sql(HUNK_SETS).groupBy("file_path").agg(
+    files = t.sql("SELECT source AS file_path, text AS patch, length(text) AS chars FROM {documents}").groupBy("file_path").agg(
         F.count(F.lit(1)).cast("int").alias("n_hunks"), F.sum("chars").alias("total_chars"),
         F.when(F.max("patch") > "M", 20000).otherwise(0).alias("remaining"))
     return D.batch_plan(files).select("file_path", "start_hunk", "end_hunk")

@@ -8,6 +8,7 @@ from changeloom.catalog.label import KEY_SQL
 from changeloom.catalog.prepare import labelled
 from changeloom.catalog.registry import query
 from changeloom.operators import evaluate as E
+from changeloom.operators import history as H
 
 F1_CTES = """
     lab AS (SELECT DISTINCT ex_id, label_ix, file FROM g), pre AS (SELECT DISTINCT ex_id, pred_ix, file FROM g),
@@ -48,8 +49,10 @@ def file_grouping_f1(t):
 
 def nested(t):
     """Label and predicted commits of each example as arrays of (subject, files)."""
+    small = H.within_file_gate(t.grouping, "ex_id", "file")
+
     def side(ix):
-        return (t.grouping.groupBy("ex_id", ix).agg(F.collect_set(F.col("file").cast("string")).alias("files"))
+        return (small.groupBy("ex_id", ix).agg(F.collect_set(F.col("file").cast("string")).alias("files"))
                 .withColumn("subject", F.expr(TYPES.format(f"(ex_id + {ix})")))
                 .groupBy("ex_id").agg(F.collect_list(F.struct("subject", "files")).alias(ix)))
 
@@ -108,7 +111,7 @@ def is_gitignored(t):
     SELECT ex_id, round(avg(CASE WHEN ignored AND NOT path LIKE '%1.%' THEN 1.0 ELSE 0.0 END), 9) AS junk_routing
     FROM r GROUP BY ex_id""")
 def junk_routing(t):
-    files = t.ex_files.groupBy("ex_id").agg(F.collect_set("path").alias("injected"))
+    files = H.within_file_gate(t.ex_files, "ex_id").groupBy("ex_id").agg(F.collect_set("path").alias("injected"))
     rules = F.array(F.expr("CASE ex_id % 3 WHEN 0 THEN '*.pyc' WHEN 1 THEN 'build/' ELSE '.DS_Store' END"))
     committed = F.filter("injected", lambda f: F.contains(f, F.lit("1.")))
     commits = F.array(F.struct(committed.alias("files")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from changeloom.catalog.registry import query
 from changeloom.functions import constants as K
 from changeloom.functions.jsontext import commit_list_error, extract_json_object
+from changeloom.operators import history as H
 from changeloom.operators import label as L
 
 KEY_SQL = "concat(repo_url, '@', base_commit, '..', head_commit)"
@@ -14,7 +15,8 @@ KEY_SQL = "concat(repo_url, '@', base_commit, '..', head_commit)"
 
 def records(t):
     """Examples with key, changed files and, where a labels row exists, a label."""
-    files = t.ex_files.groupBy("ex_id").agg(F.sort_array(F.collect_set("path")).alias("changed_files"))
+    files = H.within_file_gate(t.ex_files, "ex_id").groupBy("ex_id").agg(
+        F.sort_array(F.collect_set("path")).alias("changed_files"))
     empty = F.array().cast("array<string>")
     return (
         t.examples.join(files, "ex_id", "left")

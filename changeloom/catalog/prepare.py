@@ -118,12 +118,11 @@ def strip_metadata(t):
 
 
 @query("p8_render_chat", oracle="""
-    SELECT conv_id, string_agg(concat('<|im_start|>', role, chr(10), text, '<|im_end|>', chr(10)), '' ORDER BY turn)
-        AS text FROM conversations GROUP BY conv_id""")
+    SELECT conv_id, turn, concat('<|im_start|>', role, chr(10), text, '<|im_end|>', chr(10), '<|im_start|>assistant', chr(10),
+        'ok<|im_end|>', chr(10)) AS text FROM conversations""")
 def render_chat(t):
-    turns = t.conversations.groupBy("conv_id").agg(
-        F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))
-    return turns.select("conv_id", P.render_chat("m").alias("text"))
+    messages = F.array(F.struct("role", F.col("text").alias("content")), L.message("assistant", F.lit("ok")))
+    return t.conversations.select("conv_id", "turn", P.render_chat(messages).alias("text"))
 
 
 @query("p9_pack_plan", oracle="""

@@ -39,22 +39,27 @@ VIEWS: dict[str, str] = {
         UNION ALL
         SELECT ex_id, 1 AS draw, concat(repo_url, '@', base_commit, '..', head_commit) AS example_key, repo_url,
             language FROM {examples} WHERE ex_id % 3 = 0""",
-    # Commit history: customers are repositories, orders are commits in topological order; every sixth is a merge
-    # and every ninth sits on a side branch.
+    # Commit history: orders are commits.  Every third one belongs to repository 0, which so holds a third of all rows
+    # in one long chain; the others fall into 200 repositories of two branches per 60,000 orders.  Every fifth commit
+    # skips one on its branch, every seventh is a merge.  Parents are found by arithmetic, without any window.
     "history": """
-        SELECT repo, sha, parent1, CASE WHEN oid % 6 = 0 THEN parent2 END AS parent2, subject, topo_pos, oid FROM (
-            SELECT o_custkey AS repo, o_orderkey AS oid, md5(concat('c', CAST(o_orderkey AS STRING))) AS sha,
-                CASE WHEN o_orderkey % 9 = 0 THEN lead(md5(concat('c', CAST(o_orderkey AS STRING))), 2)
-                    OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC)
-                ELSE lead(md5(concat('c', CAST(o_orderkey AS STRING))), 1)
-                    OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) END AS parent1,
-                lead(md5(concat('c', CAST(o_orderkey AS STRING))), 3)
-                    OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS parent2,
-                concat(CASE o_orderkey % 5 WHEN 0 THEN 'feat' WHEN 1 THEN 'fix' WHEN 2 THEN 'chore' WHEN 3 THEN 'docs'
-                    ELSE 'misc change' END, CASE WHEN o_orderkey % 5 < 4 THEN '(core): ' ELSE ' ' END,
-                    o_orderpriority) AS subject,
-                row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS topo_pos
-            FROM {orders}) h""",
+        SELECT repo, oid, md5(concat('c', CAST(oid AS STRING))) AS sha,
+            CASE WHEN room >= first_step THEN md5(concat('c', CAST(oid - first_step AS STRING))) END AS parent1,
+            CASE WHEN oid % 7 = 0 AND room >= 3 * step THEN md5(concat('c', CAST(oid - 3 * step AS STRING))) END AS parent2,
+            concat(CASE oid % 5 WHEN 0 THEN 'feat' WHEN 1 THEN 'fix' WHEN 2 THEN 'chore' WHEN 3 THEN 'docs'
+                ELSE 'misc change' END, CASE WHEN oid % 5 < 4 THEN '(core): ' ELSE ' ' END, o_orderpriority) AS subject,
+            newest - oid AS topo_pos
+        FROM (SELECT *, CASE WHEN oid % 5 = 0 THEN 2 * step ELSE step END AS first_step FROM (
+            SELECT o_orderkey AS oid, o_orderpriority, (SELECT max(o_orderkey) + 1 FROM {orders}) AS newest,
+                CASE WHEN o_orderkey % 3 = 0 THEN 0
+                    ELSE 1 + o_orderkey % 200 + 200 * CAST(floor(o_orderkey / 60000) AS BIGINT) END AS repo,
+                CASE WHEN o_orderkey % 3 = 0 THEN 3 ELSE 600 END AS step,
+                CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey ELSE o_orderkey % 60000 END AS room
+            FROM {orders}) o) h""",
+    # The newest commit of each repository is the head of its default branch.
+    "heads": """
+        SELECT h.repo, h.sha FROM {history} h JOIN (SELECT repo, min(topo_pos) AS topo_pos FROM {history} GROUP BY repo) n
+        ON h.repo = n.repo AND h.topo_pos = n.topo_pos""",
     # Files per commit.
     "history_files": """
         SELECT DISTINCT h.repo, h.sha, p.path
@@ -100,11 +105,10 @@ VIEWS: dict[str, str] = {
         FROM {lineitem}""",
     # Line ranges of hunks, assigned to commits of one plan.
     "hunk_ranges": """
-        SELECT plan, file, commit_ix, CAST(row_number() OVER (PARTITION BY plan, file ORDER BY commit_ix, s, c, k) AS BIGINT)
-                AS pos,
-            s AS start_line, c AS line_count
-        FROM (SELECT DISTINCT 0 AS plan, l_partkey AS file, l_suppkey % 4 AS commit_ix, l_orderkey % 2000 AS s,
-                CAST(l_quantity AS BIGINT) % 40 AS c, l_orderkey AS k FROM {lineitem}) r""",
+        SELECT DISTINCT 0 AS plan, l_partkey AS file, l_suppkey % 4 AS commit_ix,
+            l_orderkey * 1000 + l_suppkey % 4 * 100 + CAST(l_quantity AS BIGINT) % 40 AS pos,
+            l_orderkey % 2000 AS start_line, CAST(l_quantity AS BIGINT) % 40 AS line_count
+        FROM {lineitem}""",
     # Hunks claimed by commits; customer = plan, order = commit.
     "claims": """
         SELECT DISTINCT o.o_custkey AS plan, o.o_orderkey AS commit_ix, l.l_partkey % 60 AS hunk

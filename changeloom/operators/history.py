@@ -75,6 +75,19 @@ def detect_languages(files: Column | str) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.transform(as_col(files), of_file)))))
 
 
+def languages_by(files: DataFrame, keys: list[str], path: str = "path") -> DataFrame:
+    """Languages per key of a long file table.  What is collected are languages, of which there are a few dozen, so a
+    key with any number of files stays small."""
+    spoken = files.select(*keys, F.explode_outer(detect_languages(F.array(path))).alias("_language"))
+    return spoken.groupBy(*keys).agg(F.sort_array(F.collect_set("_language")).alias("languages"))
+
+
+def within_file_gate(files: DataFrame, key: str, path: str = "path", max_files: int = K.MAX_FILES) -> DataFrame:
+    """Files of the keys that pass the file gate, so that collecting them is bounded."""
+    small = files.groupBy(key).agg(F.count(path).alias("_n")).where(F.col("_n") <= max_files).select(key)
+    return files.join(small, key, "left_semi")
+
+
 def gitignore_rules(tree_files: DataFrame, keys: list[str], path: str = "path", content: str = "content") -> DataFrame:
     """Ignore rules of every .gitignore in a tree, one row each, prefixed with the file's directory."""
     lines = (
@@ -277,8 +290,7 @@ def top_repos(examples: DataFrame, n: int = 15) -> DataFrame:
 def repo_profile(commits: DataFrame, files: DataFrame, branches: DataFrame, repo: str = "repo") -> DataFrame:
     """Per repository: commits, branch, languages of its files.  Files are reduced to languages before the shuffle."""
     counted = commits.groupBy(repo).agg(F.count(F.lit(1)).alias("n_commits"))
-    spoken = files.select(repo, F.explode(detect_languages(F.array("path"))).alias("_language")).groupBy(repo).agg(
-        F.array_join(F.sort_array(F.collect_set("_language")), ", ").alias("languages"))
+    spoken = languages_by(files, [repo]).withColumn("languages", F.nullif(F.array_join("languages", ", "), F.lit("")))
     return (
         counted.join(branches, repo, "left").join(spoken, repo, "left")
         .select(repo, "n_commits", F.coalesce("branch", F.lit("?")).alias("branch"),
