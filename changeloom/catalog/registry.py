@@ -8,14 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from changeloom.catalog.views import VIEWS
-from changeloom.functions.scale import spread
+from changeloom.session import ship_package
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
 
-# Rows of these carry texts that operators work on row by row.
-TEXT_TABLES = ("documents", "pages", "conversations", "events")
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -30,6 +27,7 @@ class Tables:
     """Tables of one directory, and views over them, as DataFrames."""
 
     def __init__(self, spark: SparkSession, directory: str):
+        ship_package(spark)
         self.spark = spark
         self.directory = directory
         self._cache: dict[str, DataFrame] = {}
@@ -39,8 +37,7 @@ class Tables:
             raise AttributeError(name)
         if name not in self._cache:
             if name in TABLES:
-                table = self.spark.read.parquet(f"{self.directory}/{name}.parquet")
-                self._cache[name] = spread(table) if name in TEXT_TABLES else table
+                self._cache[name] = self.spark.read.parquet(f"{self.directory}/{name}.parquet")
             else:
                 self._cache[name] = self.sql(VIEWS[name])
         return self._cache[name]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +40,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers, once per Spark application.
+
+    The driver may have it on its own path only.  Spark copies the archive to every executor, also to later ones.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_changeloom_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="changeloom-package-")) / "changeloom.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._changeloom_shipped = True
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage through reliable storage, so that a lost executor cannot lose the result."""
     ensure_checkpoint_dir(df.sparkSession)
