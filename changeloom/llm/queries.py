@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from changeloom.llm import bpe, line_dedup, ngram_join
+from changeloom.llm import bpe, language, line_dedup, ngram_join, quality, toxicity
 from changeloom.session import ship_package
 
 QUERIES = {}
@@ -31,11 +31,26 @@ def op1(spark: SparkSession, directory: str) -> DataFrame:
     return bpe.digests(table(spark, directory, "documents"))
 
 
+@query("op6_quality_rules")
+def op6(spark: SparkSession, directory: str) -> DataFrame:
+    return quality.document_quality(table(spark, directory, "documents"))
+
+
 @query("op7_line_dedup")
 def op7(spark: SparkSession, directory: str) -> DataFrame:
     return line_dedup.removed_lines(table(spark, directory, "documents"))
 
 
+@query("op8_language_id")
+def op8(spark: SparkSession, directory: str) -> DataFrame:
+    return language.document_languages(table(spark, directory, "documents"))
+
+
 @query("op9_ngram_join")
 def op9(spark: SparkSession, directory: str) -> DataFrame:
     return ngram_join.document_components(table(spark, directory, "documents"))
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, directory: str) -> DataFrame:
+    return toxicity.document_toxicity(table(spark, directory, "documents"), table(spark, directory, "labels"))

@@ -68,10 +68,10 @@ def runs(column: pa.Array, most: int = RUN_BYTES) -> Iterator[tuple[int, int, np
 
 class Words:
     """Words of one run: ``start`` and ``end`` (byte positions), and ``bounds``: text i has the words
-    ``bounds[i]:bounds[i + 1]``.  With ``lines``, ``\\n`` ends a text just as the end of the text does."""
+    ``bounds[i]:bounds[i + 1]``.  ``gap`` tells which bytes lie between words."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        inside = np.concatenate(([False], ~SPACE[data], [False]))
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE):
+        inside = np.concatenate(([False], ~gap[data], [False]))
         # A text begins anew even if the one before ends in the middle of a word.
         edge = inside[1:] != inside[:-1]
         starts = np.zeros(len(data) + 1, bool)
