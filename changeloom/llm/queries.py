@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from changeloom.llm import bpe, language, line_dedup, ngram_join, quality, toxicity
+from changeloom.llm import (bpe, embedding_dedup, html_text, language, line_dedup, ngram_join, packing, quality, toxicity,
+                            url_filter)
 from changeloom.session import ship_package
 
 QUERIES = {}
@@ -31,6 +32,49 @@ def op1(spark: SparkSession, directory: str) -> DataFrame:
     return bpe.digests(table(spark, directory, "documents"))
 
 
+HOST_RULES = [url_filter.Rule(verdict, text) for verdict, text in (
+    ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))]
+
+# The patterns of url_filter.PATTERNS as one regular expression over host and path.
+PATTERNS_SQL = (r"-pills\.|\.pills\.|/pills/|spam-farm\.|-casino\.|\.casino\.|/casino/|-poker\.|/poker/|-loans\.|\.porn\.|/porn/|"
+                r"\.xxx/|-escorts\.|/phishing/|/malware/")
+
+
+@query("op2_url_filters", oracle=f"""
+    WITH located AS (
+        SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    cut AS (
+        SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host,
+            regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM located),
+    ruled AS (
+        SELECT page_id, host, path, CASE
+            WHEN ('.' || host) LIKE '%.www.example.com' AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+            WHEN ('.' || host) LIKE '%.example.com' AND starts_with(path, '/en/') THEN 'example.com/en/'
+            WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/es/') THEN 'net/es/'
+            WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/fr/') THEN 'net/fr/'
+            WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/') THEN 'com/' END AS rule FROM cut)
+    SELECT page_id, host, path, rule, CASE
+        WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+        WHEN regexp_matches(host || path, '{PATTERNS_SQL}') THEN 'block' ELSE 'allow' END AS verdict FROM ruled""")
+def op2(spark: SparkSession, directory: str) -> DataFrame:
+    return url_filter.judged(table(spark, directory, "pages"), HOST_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op3_html_extraction")
+def op3(spark: SparkSession, directory: str) -> DataFrame:
+    return html_text.page_texts(table(spark, directory, "pages"))
+
+
+@query("op4_packing")
+def op4(spark: SparkSession, directory: str) -> DataFrame:
+    return packing.packed(table(spark, directory, "documents"))
+
+
+@query("op5_embedding_dedup")
+def op5(spark: SparkSession, directory: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, directory, "embeddings"))
+
+
 @query("op6_quality_rules")
 def op6(spark: SparkSession, directory: str) -> DataFrame:
     return quality.document_quality(table(spark, directory, "documents"))
