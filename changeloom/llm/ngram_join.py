@@ -127,18 +127,12 @@ def _postings(batches: Iterator[pa.RecordBatch], counts: np.ndarray) -> Iterator
             yield out()
 
 
-def _sets(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Whole sets of the documents in the bit map."""
-    for batch in batches:
-        ids = np.asarray(batch.column(0))
-        batch = batch.filter(pa.array(in_map(bits, ids), pa.bool_()))
-        if batch.num_rows:
-            tokens = [t.tobytes() for _, t in shingle_sets(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.binary())], names=["doc_id", "tokens"])
+def _token_sets(column: pa.Array) -> Iterator[np.ndarray]:
+    return (tokens for _, tokens in shingle_sets(column))
 
 
-def _rest(found: DataFrame, linked: DataFrame) -> DataFrame:
-    """Pairs that share a signature, may match, and are not connected yet."""
+def _rest(found: DataFrame, linked: DataFrame, tried: DataFrame) -> DataFrame:
+    """Pairs that share a signature, may match, weren't tried and are not connected yet."""
     placed = found.join(linked.select(F.col("v").alias("doc_id"), "u"), "doc_id", "left").select(
         "sig", "doc_id", "shape", F.coalesce("u", "doc_id").alias("own"))
     open_ = placed.groupBy("sig").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo < hi").select("sig")
@@ -146,7 +140,7 @@ def _rest(found: DataFrame, linked: DataFrame) -> DataFrame:
     left = open_.select("sig", F.col("doc_id").alias("x"), F.col("shape").alias("shape_x"), F.col("own").alias("own_x"))
     right = open_.select("sig", F.col("doc_id").alias("y"), F.col("shape").alias("shape_y"), F.col("own").alias("own_y"))
     return left.join(right, "sig").where("own_x <> own_y AND x < y").where(may_match("shape_x", "shape_y")).select(
-        F.struct(F.col("x").alias("doc_id")).alias("a"), F.struct(F.col("y").alias("doc_id")).alias("b")).distinct()
+        F.struct(F.col("x").alias("doc_id")).alias("a"), F.struct(F.col("y").alias("doc_id")).alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
 
 
 def near_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -159,8 +153,9 @@ def near_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = texts.where("doc_id IS NOT NULL")
     found = shared(known.mapInArrow(partial(_postings, counts=counts), "sig bigint, doc_id bigint, shape bigint"), UNIT)
 
-    def sets(bits):
-        return known.mapInArrow(partial(_sets, bits=bits), "doc_id bigint, tokens binary")
+    def fetch(bits):
+        wanted = F.arrow_udf(lambda ids: pa.array(in_map(bits, np.asarray(ids))), "boolean")
+        return known.where(wanted("doc_id"))
 
     def ends(pairs):
         return pairs.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"))
@@ -169,11 +164,12 @@ def near_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     owner = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     smallest = owner.groupBy("digest").agg(F.min("doc_id").alias("a"))
     copies = durable(owner.join(smallest, "digest").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct())
-    links = ends(verified(first_pairs(found, UNIT), sets, UNIT)).unionByName(copies)
+    pairs = durable(first_pairs(found, UNIT))
+    links = ends(verified(pairs, fetch, UNIT, _token_sets)).unionByName(copies)
     linked = components(links)
-    more = durable(_rest(found, linked))
+    more = durable(_rest(found, linked, pairs))
     if not more.isEmpty():
-        links = linked.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(ends(verified(more, sets, UNIT)))
+        links = linked.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(ends(verified(more, fetch, UNIT, _token_sets)))
         linked = components(links)
     return rows, linked
 

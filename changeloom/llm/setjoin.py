@@ -74,45 +74,45 @@ def may_match(a: str, b: str) -> Column:
 
 
 def shared(postings: DataFrame, unit: Sequence[str]) -> DataFrame:
-    """Postings of signatures that more units than one have, each with the unit before it and the first one."""
+    """Postings of signatures that more units than one have."""
     by = Window.partitionBy("sig").orderBy(*unit)
-    row = F.struct(*unit, "shape")
-    found = postings.select("sig", *unit, "shape", F.lag(row).over(by).alias("before"), F.lead("shape").over(by).alias("_next"),
-                            F.first(row).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("first"))
-    return durable(found.where("before IS NOT NULL OR _next IS NOT NULL").drop("_next"))
+    marked = postings.select("sig", *unit, "shape", F.lag("shape").over(by).alias("_before"), F.lead("shape").over(by).alias("_after"))
+    return durable(marked.where("_before IS NOT NULL OR _after IS NOT NULL").drop("_before", "_after"))
 
 
 def first_pairs(found: DataFrame, unit: Sequence[str]) -> DataFrame:
-    """Distinct (a, b), a < b: every unit with the first one of its signature and with the one before it."""
-    both = found.where("before IS NOT NULL").select(
-        F.explode(F.array_distinct(F.array("first", "before"))).alias("other"), *unit, "shape")
-    both = both.select(F.struct(*[F.col(f"other.{c}") for c in unit]).alias("a"), F.struct(*unit).alias("b"), "shape",
-                       F.col("other.shape").alias("other"))
-    return both.where("a < b").where(may_match("other", "shape")).select("a", "b").distinct()
-
-
-def verified(pairs: DataFrame, sets: Callable[[np.ndarray], DataFrame], unit: Sequence[str]) -> DataFrame:
-    """Pairs (a, b) whose sets have a similarity of 0.75 or more.  ``sets(bit map)`` gives (unit, tokens) of all units in
-    the map at least."""
-    pairs = durable(pairs)
+    """One pair (a, b), a < b, for each unit b at most: the earlier unit that is most often first in b's signatures or just
+    before b in them."""
+    by = Window.partitionBy("sig").orderBy(*unit)
+    row = F.struct(F.struct(*unit).alias("a"), "shape")
+    near = found.select(F.struct(*unit).alias("b"), "shape", F.lag(row).over(by).alias("before"), F.first(row).over(
+        by.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("first"))
+    both = near.where("before IS NOT NULL").select("b", "shape", F.explode(F.array_distinct(F.array("first", "before"))).alias("other"))
+    pairs = both.where("other.a < b").where(may_match("other.shape", "shape")).groupBy(F.col("other.a").alias("a"), "b").count()
+    return pairs.groupBy("b").agg(F.min_by("a", F.struct(-F.col("count"), "a")).alias("a")).select("a", "b")
+
+
+def verified(pairs: DataFrame, texts: Callable[[np.ndarray], DataFrame], unit: Sequence[str],
+             sets: Callable[[pa.Array], Iterator[np.ndarray]]) -> DataFrame:
+    """Pairs (a, b) whose sets have a similarity of 0.75 or more.
+
+    ``texts(bit map)`` gives (unit, text) of all units in the map at least; ``sets`` the sorted tokens of each text.  Texts
+    take less room in a shuffle than their hashes.
+    """
     place = F.pmod(F.xxhash64("u"), F.lit(1 << MAP_BITS))
     needed = pairs.select(F.explode(F.array("a", "b")).alias("u"))
     bits = np.zeros(1 << MAP_BITS, bool)
-    where = needed.select(place.alias("p")).distinct()
-    bits[[row[0] for row in where.collect()]] = True
-    fetched = durable(sets(bits))
-    with_a = pairs.join(fetched.select(F.struct(*unit).alias("a"), F.col("tokens").alias("tokens_a")), "a")
-    with_b = with_a.join(fetched.select(F.struct(*unit).alias("b"), F.col("tokens").alias("tokens_b")), "b")
+    bits[[row[0] for row in needed.select(place.alias("p")).distinct().collect()]] = True
+    fetched = texts(bits).select(F.struct(*unit).alias("u"), "text").dropDuplicates(["u"])
+    with_a = pairs.join(fetched.select(F.col("u").alias("a"), F.col("text").alias("text_a")), "a")
+    with_b = with_a.join(fetched.select(F.col("u").alias("b"), F.col("text").alias("text_b")), "b")
 
-    @F.pandas_udf("boolean")
-    def similar(a, b):
-        def same(x, y):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            return SHARE * len(np.intersect1d(x, y, assume_unique=True)) >= OF_SUM * (len(x) + len(y))
-        import pandas as pd
-        return pd.Series([same(x, y) for x, y in zip(a, b)], dtype=bool)
+    @F.arrow_udf("boolean")
+    def similar(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([SHARE * len(np.intersect1d(x, y, assume_unique=True)) >= OF_SUM * (len(x) + len(y))
+                         for x, y in zip(sets(a), sets(b))], pa.bool_())
 
-    return durable(with_b.where(similar("tokens_a", "tokens_b")).select("a", "b").distinct())
+    return durable(with_b.where(similar("text_a", "text_b")).select("a", "b").distinct())
 
 
 def in_map(bits: np.ndarray, *unit: np.ndarray) -> np.ndarray:
@@ -137,9 +137,3 @@ def _xxhash64_long(value: np.ndarray, seed: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * p2
     h = (h ^ (h >> np.uint64(29))) * p3
     return h ^ (h >> np.uint64(32))
-
-
-def batches_of(names: Sequence[str], types: Sequence[pa.DataType], rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-    """Record batches from tuples of arrays."""
-    for arrays in rows:
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(arrays, types)], names=list(names))
