@@ -107,8 +107,8 @@ def pinned_split(t):
 
 
 @query("m11_summary_acceptance", oracle="""
-    WITH s AS (SELECT conv_id, turn, content, CASE WHEN turn % 3 = 0 THEN substr(content, 1, 40) ELSE concat(content, 'x!!!')
-                   END AS a, CASE WHEN turn % 3 = 1 THEN substr(content, 1, 20) ELSE content END AS b FROM {messages}),
+    WITH s AS (SELECT conv_id, turn, content, CASE WHEN turn % 3 = 0 THEN md5(content) ELSE concat(content, 'x!!!')
+                   END AS a, CASE WHEN turn % 3 = 1 THEN concat(' ', CAST(length(content) AS STRING), ' ') ELSE content END AS b FROM {messages}),
     l AS (SELECT *, CASE WHEN length(trim(a)) // 4 < length(content) // 4 THEN 1
               WHEN length(trim(b)) // 4 < length(content) // 4 THEN 2 ELSE 3 END AS level FROM s)
     SELECT conv_id, turn, level, concat('pin', '[Summarized — id: ''m', CAST(turn AS STRING),
@@ -118,8 +118,8 @@ def pinned_split(t):
     FROM l""")
 def summary_acceptance(t):
     made = t.sql("""
-        SELECT conv_id, turn, content, concat('m', turn) AS msg_id, CASE WHEN turn % 3 = 0 THEN substr(content, 1, 40)
-            ELSE concat(content, 'x!!!') END AS a, CASE WHEN turn % 3 = 1 THEN substr(content, 1, 20) ELSE content END AS b
+        SELECT conv_id, turn, content, concat('m', turn) AS msg_id, CASE WHEN turn % 3 = 0 THEN md5(content)
+            ELSE concat(content, 'x!!!') END AS a, CASE WHEN turn % 3 = 1 THEN concat(' ', CAST(length(content) AS STRING), ' ') ELSE content END AS b
         FROM {messages}""")
     chosen = M.accept_summary("msg_id", "content", "a", "b", F.lit("pin"))
     return made.select("conv_id", "turn", chosen.alias("s")).select("conv_id", "turn", "s.level", "s.content")

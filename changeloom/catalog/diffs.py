@@ -218,7 +218,7 @@ def ordered_union(t):
 
 HUNK_SETS = """
     SELECT source AS file_path, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS hunk_no, text AS patch,
-        substr(text, 1, 12) AS summary, length(text) AS chars FROM {documents}"""
+        md5(text) AS summary, length(text) AS chars FROM {documents}"""
 
 
 @query("d17_summary_requests", oracle=f"""
@@ -233,7 +233,7 @@ HUNK_SETS = """
         END, 'Hunk ', CAST(h.hunk_no AS STRING), ':', chr(10), h.patch)) AS request_md5
     FROM h JOIN c ON h.file_path = c.fp LEFT JOIN p ON p.file_path = h.file_path AND p.hunk_no = h.hunk_no""")
 def summary_requests(t):
-    rows = t.sql("SELECT source AS file_path, doc_id, text AS patch, substr(text, 1, 12) AS summary FROM {documents}")
+    rows = t.sql("SELECT source AS file_path, doc_id, text AS patch, md5(text) AS summary FROM {documents}")
     hunks = numbered(rows, ["file_path"], position_block("doc_id"), [F.col("doc_id")], "hunk_no")
     counts = hunks.groupBy("file_path").agg(F.count(F.lit(1)).alias("n_hunks"))
     out = D.summary_requests(hunks.join(counts, "file_path"), ["file_path"])

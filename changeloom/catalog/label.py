@@ -15,7 +15,7 @@ KEY_SQL = "concat(repo_url, '@', base_commit, '..', head_commit)"
 
 def records(t):
     """Examples with key, changed files and, where a labels row exists, a label."""
-    files = H.within_file_gate(t.ex_files, "ex_id").groupBy("ex_id").agg(
+    files = t.ex_files.groupBy("ex_id").agg(
         F.sort_array(F.collect_set("path")).alias("changed_files"))
     empty = F.array().cast("array<string>")
     return (

@@ -129,8 +129,8 @@ VIEWS: dict[str, str] = {
             WHEN 1 THEN 'fix' ELSE 'docs' END, '(core): change ', CAST(doc_id AS STRING), '","files":["src/f',
             CAST(doc_id AS STRING), '.py","README.md"],"body":"say ', chr(92), '"hi', chr(92), '" {x} ', snippet,
             '","issues":[]}],"gitignore":["*.pyc"]}') AS obj, snippet, text
-        FROM (SELECT doc_id, text, replace(replace(replace(substr(text, 1, 60), '"', ''), chr(10), ' '), chr(92), '')
-                AS snippet FROM {documents}) d""",
+        FROM (SELECT doc_id, text, replace(replace(replace(text, chr(92), concat(chr(92), chr(92))), '"', concat(chr(92), '"')),
+                chr(10), concat(chr(92), 'n')) AS snippet FROM {documents}) d""",
     "answers": """
         SELECT ex_id, kind, CASE kind
                 WHEN 0 THEN obj

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 65536
-# Largest rank that Catalyst pushes below the shuffle by default.
-GROUP_LIMIT = 1000
+# Hex digits of a digest that name a block: 16 ** 4 blocks of a key.
+BLOCK_DIGITS = 4
 BLOCK = "_block"
 
 
@@ -24,16 +24,7 @@ def position_block(position: Column | str, rows: int = BLOCK_ROWS) -> Column:
     return F.floor(position / F.lit(rows)).cast("bigint")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out to all cores when a scan has far fewer splits than there are cores.
-
-    A file of one row group is one task, however heavy the work per row.  Tables with enough splits are left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() * 2 > cores else df.repartition(cores)
-
-
-def hash_block(digest: Column | str, digits: int = 3) -> Column:
+def hash_block(digest: Column | str, digits: int = BLOCK_DIGITS) -> Column:
     """16**digits equal blocks of a hex digest."""
     return F.substring(digest, 1, digits)
 
@@ -79,13 +70,11 @@ def first_rows(df: DataFrame, keys: Sequence[str], block: Column, order: Sequenc
                name: str) -> DataFrame:
     """First ``n`` rows per key with their number.
 
-    Up to ``GROUP_LIMIT`` rows Catalyst cuts each map task's rows before the shuffle; for more the key is numbered
-    block by block.
+    Of one row per key each map task hands on one at most; for more the key is numbered block by block.
     """
-    if n <= GROUP_LIMIT:
-        ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
-    else:
-        ranked = numbered(df, keys, block, order, name)
+    if n == 1:
+        return first_row(df, keys, order).withColumn(name, F.lit(1).cast("bigint"))
+    ranked = numbered(df, keys, block, order, name)
     return ranked.where(F.col(name) <= n)
 
 

@@ -22,10 +22,11 @@ def commit_type(subject: Column | str) -> Column:
 
 
 def grouping_f1(label_files: DataFrame, pred_files: DataFrame, example: str = "ex_id", label_ix: str = "label_ix",
-                pred_ix: str = "pred_ix", file: str = "file") -> DataFrame:
+                pred_ix: str = "pred_ix", file: str = "file", examples: DataFrame | None = None) -> DataFrame:
     """Mean over label commits of the best Jaccard overlap with any predicted commit.
 
-    Only (label, predicted) pairs with a common file are ever formed; the rest score 0.
+    One row per example of ``examples``, or of either side where it is not given.  Without label commits the score is 0, or 1
+    if there are no predicted ones either.  Only (label, predicted) pairs with a common file are ever formed; the rest score 0.
     """
     labels = label_files.select(example, label_ix, file).distinct()
     preds = pred_files.select(example, pred_ix, file).distinct()
@@ -36,17 +37,30 @@ def grouping_f1(label_files: DataFrame, pred_files: DataFrame, example: str = "e
     overlap = common.join(pred_size, [example, pred_ix]).join(label_size, [example, label_ix])
     best = overlap.groupBy(example, label_ix).agg(
         F.max(F.col("_both") / (F.col("_nl") + F.col("_np") - F.col("_both"))).alias("_best"))
-    return label_size.join(best, [example, label_ix], "left").groupBy(example).agg(
-        F.avg(F.coalesce("_best", F.lit(0.0))).alias("file_grouping_f1"))
+    scored = label_size.join(best, [example, label_ix], "left").groupBy(example).agg(
+        F.avg(F.coalesce("_best", F.lit(0.0))).alias("_score"))
+    every = labels.select(example, F.lit(0).alias("_pred")).unionByName(preds.select(example, F.lit(1).alias("_pred")))
+    if examples is not None:
+        every = every.unionByName(examples.select(example, F.lit(0).alias("_pred")))
+    every = every.groupBy(example).agg(F.max("_pred").alias("_pred"))
+    return every.join(scored, example, "left").select(
+        example, F.coalesce("_score", F.when(F.col("_pred") == 1, 0.0).otherwise(1.0)).alias("file_grouping_f1"))
 
 
 def type_accuracy(label_commits: DataFrame, pred_commits: DataFrame, example: str = "ex_id",
-                  subject: str = "subject") -> DataFrame:
-    """Share of label commits whose type occurs in any predicted commit; untyped ones count as misses."""
+                  subject: str = "subject", examples: DataFrame | None = None) -> DataFrame:
+    """Share of label commits whose type occurs in any predicted commit; untyped ones count as misses.
+
+    One row per example of ``examples``, or of either side where it is not given; 1 without label commits.
+    """
     wanted = label_commits.select(example, commit_type(subject).alias("_type"))
     seen = pred_commits.select(example, commit_type(subject).alias("_type")).where("_type <> ''").distinct()
-    return wanted.join(seen.withColumn("_hit", F.lit(1.0)), [example, "_type"], "left").groupBy(example).agg(
-        F.avg(F.coalesce("_hit", F.lit(0.0))).alias("type_accuracy"))
+    scored = wanted.join(seen.withColumn("_hit", F.lit(1.0)), [example, "_type"], "left").groupBy(example).agg(
+        F.avg(F.coalesce("_hit", F.lit(0.0))).alias("_score"))
+    every = label_commits.select(example).unionByName(pred_commits.select(example))
+    if examples is not None:
+        every = every.unionByName(examples.select(example))
+    return every.distinct().join(scored, example, "left").select(example, F.coalesce("_score", F.lit(1.0)).alias("type_accuracy"))
 
 
 # -- nested records ----------------------------------------------------------------------------------------------

@@ -82,12 +82,6 @@ def languages_by(files: DataFrame, keys: list[str], path: str = "path") -> DataF
     return spoken.groupBy(*keys).agg(F.sort_array(F.collect_set("_language")).alias("languages"))
 
 
-def within_file_gate(files: DataFrame, key: str, path: str = "path", max_files: int = K.MAX_FILES) -> DataFrame:
-    """Files of the keys that pass the file gate, so that collecting them is bounded."""
-    small = files.groupBy(key).agg(F.count(path).alias("_n")).where(F.col("_n") <= max_files).select(key)
-    return files.join(small, key, "left_semi")
-
-
 def gitignore_rules(tree_files: DataFrame, keys: list[str], path: str = "path", content: str = "content") -> DataFrame:
     """Ignore rules of every .gitignore in a tree, one row each, prefixed with the file's directory."""
     lines = (
@@ -204,7 +198,7 @@ def balanced_draw(candidates: DataFrame, count: int, repo: str = "repo", draw: s
     are taken while they fit, and only the level in which the count runs out is ranked by hash, block by block.
     """
     limit = count if max_per_repo is None else min(count, max_per_repo)
-    picked = first_rows(candidates, [repo], hash_block(draw, 2), [F.col(draw)], limit, "pick")
+    picked = first_rows(candidates, [repo], hash_block(draw), [F.col(draw)], limit, "pick")
     # At most ``limit`` rows, whatever the number of candidates.
     levels = picked.groupBy("pick").agg(F.count(F.lit(1)).alias("_rows")).withColumn(
         "_start", F.coalesce(F.sum("_rows").over(Window.orderBy("pick").rowsBetween(Window.unboundedPreceding, -1)),

@@ -69,7 +69,7 @@ def stratified_split(examples: DataFrame, fraction: float = 0.1, seed: int = 42,
     narrow = examples.select(key, stratum_col, *([augmented] if augmented else []))
     base = narrow.where(~F.col(augmented)) if augmented else narrow
     drawn = base.select(key, stratum_col).withColumn("_draw", seeded_hash(seed, key))
-    ranked = numbered(drawn, [stratum_col], hash_block("_draw", 2), [F.col("_draw"), F.col(key)], "_rank", total="_n")
+    ranked = numbered(drawn, [stratum_col], hash_block("_draw"), [F.col("_draw"), F.col(key)], "_rank", total="_n")
     to_val = (F.col("_n") > 1) & (F.col("_rank") <= F.greatest(F.lit(1), F.rint(F.col("_n") * fraction)))
     split = ranked.select(key, stratum_col, F.when(to_val, "val").otherwise("train").alias("split"))
     if augmented:

@@ -11,14 +11,14 @@ from pyspark.sql.types import StringType
 
 from changeloom.functions import constants as K
 from changeloom.functions.jsontext import let
-from changeloom.functions.text import as_col, is_blank, split_lines, suffix
+from changeloom.functions.text import as_col, is_blank, split_lines, split_lines_keep_ends, suffix
 
 JS_SUFFIXES = (".js", ".ts", ".jsx", ".tsx", ".mjs", ".cjs")
 # Line patterns of script files.
-JS_IMPORT = "(?md)^(?:import|export\\s+\\{[^}]*\\}|export\\s+\\*)\\s+.*"
-JS_FUNCTION = "(?md)^(?:export\\s+)?(?:async\\s+)?function\\s+(\\w+)\\s*\\("
-JS_CLASS = "(?md)^(?:export\\s+)?class\\s+(\\w+)"
-JS_ARROW = "(?md)^(?:export\\s+)?const\\s+(\\w+)\\s*=\\s*(?:async\\s+)?(?:\\(|[\\w]+\\s*=>)"
+JS_IMPORT = "(?mdU)^(?:import|export\\s+\\{[^}]*\\}|export\\s+\\*)\\s+.*"
+JS_FUNCTION = "(?mdU)^(?:export\\s+)?(?:async\\s+)?function\\s+(\\w+)\\s*\\("
+JS_CLASS = "(?mdU)^(?:export\\s+)?class\\s+(\\w+)"
+JS_ARROW = "(?mdU)^(?:export\\s+)?const\\s+(\\w+)\\s*=\\s*(?:async\\s+)?(?:\\(|[\\w]+\\s*=>)"
 
 
 def _grouped(number: Column) -> Column:
@@ -43,20 +43,36 @@ def _type_name(value: Column, text: Column) -> Column:
     )
 
 
+def _quoted(name: Column) -> Column:
+    """A name in quotes as the reader shows it: single quotes unless only those occur inside, escapes for the rest."""
+    shown = F.replace(name, F.lit("\\"), F.lit("\\\\"))
+    for code in [*range(32), 127]:
+        shown = F.replace(shown, F.lit(chr(code)), F.lit({9: "\\t", 10: "\\n", 13: "\\r"}.get(code, f"\\x{code:02x}")))
+    single = F.concat(F.lit("'"), F.replace(shown, F.lit("'"), F.lit("\\'")), F.lit("'"))
+    return F.when(F.contains(name, F.lit("'")) & ~F.contains(name, F.lit('"')), F.concat(F.lit('"'), shown, F.lit('"'))).otherwise(single)
+
+
 def describe_json(document: Column, note: Column) -> Column:
     """Keys and types of an object, or length and element type of an array; NULL for anything else."""
 
     def of_object(values, texts):
-        keys = F.map_keys(values)
+        # A repeated key keeps its first place and its last value.
+        keys = F.array_distinct(F.map_keys(values))
+        backwards = F.reverse(F.map_keys(values))
+
+        def last(entries, key):
+            return F.get(F.reverse(F.map_values(entries)), F.array_position(backwards, key).cast("int") - 1)
+
         shown = F.transform(F.slice(keys, 1, 20), lambda k: F.concat(
-            F.lit("'"), k, F.lit("' ("), _type_name(F.element_at(values, k), F.element_at(texts, k)), F.lit(")")))
+            _quoted(k), F.lit(" ("), _type_name(last(values, k), last(texts, k)), F.lit(")")))
         more = F.when(F.size(keys) > 20, F.concat(F.lit(" … (+"), (F.size(keys) - 20).cast("string"), F.lit(" more)")))
         return F.concat(F.lit("Object with "), F.size(keys).cast("string"), F.lit(" keys"), note, F.lit(": "),
                         F.array_join(shown, ", "), F.coalesce(more, F.lit("")))
 
     def of_array(items):
-        first = F.get(items, F.lit(0))
-        each = F.concat(F.lit(" (each: "), _type_name(first, first.cast("string")), F.lit(")"))
+        # The element's own text: a variant no longer tells 1.0 from 1.
+        text = F.get(F.from_json(document, "array<string>"), F.lit(0))
+        each = F.concat(F.lit(" (each: "), _type_name(F.get(items, F.lit(0)), text), F.lit(")"))
         return F.concat(F.lit("Array of "), _grouped(F.size(items)), F.lit(" items"), note,
                         F.when(F.size(items) > 0, each).otherwise(""))
 
@@ -81,10 +97,18 @@ def _jsonl(content: Column) -> Column:
 
 
 def _csv(content: Column) -> Column:
-    head = F.get(split_lines(F.substring(content, 1, 8192)), F.lit(0))
-    # Quoted header cells keep their commas; doubled quotes stand for one.
+    # A line break inside quotes belongs to the header: lines are added until the quotes are even.
+    def add(head, line):
+        more = F.concat(head["text"], line)
+        quotes = F.length(more) - F.length(F.replace(more, F.lit('"')))
+        return F.when(head["done"], head).otherwise(F.struct(more.alias("text"), (quotes % 2 == 0).alias("done")))
+
+    lines = split_lines_keep_ends(F.substring(content, 1, 8192))
+    start = F.struct(F.lit("").alias("text"), F.lit(False).alias("done"))
+    head = F.when(F.size(lines) > 0, F.rtrim(F.aggregate(lines, start, add)["text"], F.lit("\r\n")))
+    # Quoted header cells keep their commas; doubled quotes stand for one.  Every cell follows a comma, the first one too.
     cells = F.transform(
-        F.regexp_extract_all(head, F.lit('(?:^|,)("(?:[^"]|"")*"|[^,]*)'), 1),
+        F.regexp_extract_all(F.concat(F.lit(","), head), F.lit(',("(?:[^"]++|"")*+"|[^,]*)'), 1),
         lambda c: F.when(c.startswith('"'), F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c))
     rows = F.length(content) - F.length(F.replace(content, F.lit("\n")))
 
@@ -119,9 +143,13 @@ def _signature(node) -> str:
 
 def _sections(source: str) -> str | None:
     try:
-        body = ast.parse(source).body
-    except (SyntaxError, ValueError):
+        return _outline(ast.parse(source).body)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        # The last two are what the parser raises on very deep nesting.
         return None
+
+
+def _outline(body) -> str:
     imports = dict.fromkeys(ast.unparse(n) for n in body if isinstance(n, (ast.Import, ast.ImportFrom)))
     named = {}
     for n in body:
