@@ -39,13 +39,15 @@ def tolerant_jsonl(t):
 
 @query("s2_jsonl_sink", oracle="""
     SELECT event_id, event_type, props AS tags FROM events WHERE event_id % 2 = 0
-    UNION ALL SELECT event_id, event_type, props FROM events WHERE event_id % 3 = 0""")
+    UNION ALL SELECT event_id, event_type, props FROM events WHERE event_id % 3 = 0
+    UNION ALL SELECT event_id, event_type, props FROM events WHERE event_id % 2 <> 0 AND event_id % 3 <> 0""")
 def jsonl_sink(t):
     path = S.scratch_path(t.spark, "sink")
     rows = t.events.select("event_id", "event_type", F.array("props").alias("tags"))
     S.write_jsonl(rows.where("event_id % 5 = 0"), path)
     S.write_jsonl(rows.where("event_id % 2 = 0"), path)
     S.write_jsonl(rows.where("event_id % 3 = 0"), path, append=True)
+    S.write_jsonl(rows.where("event_id % 2 <> 0 AND event_id % 3 <> 0"), path, append=True)
     good, _ = S.read_jsonl(t.spark, path, SCHEMA)
     return good.withColumn("tags", F.array_join("tags", ";"))
 

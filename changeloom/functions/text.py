@@ -110,3 +110,20 @@ def bernoulli(digest: Column, probability: float) -> Column:
 def truncate(text: Column | str, limit: int, marker: str) -> Column:
     text = as_col(text)
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit(marker))).otherwise(text)
+
+
+def escape_non_ascii(text: Column | str) -> Column:
+    """Other characters than ASCII as \\uXXXX (two of them beyond the first 65,536), as JSON writers do by default."""
+    def unit(code):
+        return F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(code)), 4, "0"))
+
+    def shown(character):
+        code = F.ascii(character).cast("bigint")
+        rest = code - 0x10000
+        pair = F.concat(unit(F.shiftright(rest, 10) + 0xD800), unit(rest.bitwiseAND(F.lit(0x3FF)) + 0xDC00))
+        return F.when(F.length(character) == 6, F.lower(character)).when(code < 128, character).when(rest < 0, unit(code)).otherwise(pair)
+
+    text = as_col(text)
+    # Escapes that are there already are written alike; an escaped backslash begins none.
+    characters = F.regexp_extract_all(text, F.lit("(?s)\\\\\\\\|\\\\u[0-9A-Fa-f]{4}|."), 0)
+    return F.when(text.rlike("^\\p{ASCII}*$") & ~F.contains(text, F.lit("\\u")), text).otherwise(F.array_join(F.transform(characters, shown), ""))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from changeloom.functions import constants as K
 from changeloom.functions.jsontext import let
 from changeloom.functions.scale import max_so_far, numbered, position_block, sum_before
-from changeloom.functions.text import as_col, blank_to_null, strip
+from changeloom.functions.text import as_col, blank_to_null, escape_non_ascii, strip
 from changeloom.session import durable
 
 SUMMARY_MARK = "[Summarized"
@@ -42,16 +42,18 @@ def root_originals(store: DataFrame, keys: Sequence[str] = (), msg: str = "msg_i
     # NULL stands for a missing parent; roots point to themselves.
     linked = store.select(*keys, F.col(msg).alias("msg_id"), F.coalesce(parent, msg).alias("_up")).join(
         ids.withColumnRenamed("_id", "_up"), [*keys, "_up"], "left")
-    hops = durable(linked.select(*keys, "msg_id", F.when(F.col("_stored"), F.col("_up")).alias("root_id")))
+    root = F.when(F.col("_stored"), F.col("_up"))
+    hops = durable(linked.select(*keys, "msg_id", root.alias("root_id"), (root.isNull() | (root == F.col("msg_id"))).alias("_done")))
+    # Rows at their root leave the loop, so that no key gathers a whole tree again and again.
+    finished, open_ = hops.where("_done"), hops.where("NOT _done")
     for _ in range(max_rounds):
-        further = hops.select(*keys, F.col("msg_id").alias("root_id"), F.col("root_id").alias("_next"))
-        stepped = durable(
-            hops.where("root_id <> msg_id").join(further, [*keys, "root_id"])
-            .select(*keys, "msg_id", F.col("root_id").alias("_old"), F.col("_next").alias("root_id"))
-            .unionByName(hops.where("root_id IS NULL OR root_id = msg_id").withColumn("_old", F.col("root_id"))))
-        hops = stepped.drop("_old")
-        if stepped.where("NOT (_old <=> root_id)").isEmpty():
-            return hops
+        if open_.isEmpty():
+            return finished.drop("_done")
+        further = finished.unionByName(open_).select(
+            *keys, F.col("msg_id").alias("root_id"), F.col("root_id").alias("_next"), F.col("_done").alias("_final"))
+        stepped = durable(open_.select(*keys, "msg_id", "root_id").join(further, [*keys, "root_id"]).select(
+            *keys, "msg_id", F.col("_next").alias("root_id"), F.col("_final").alias("_done")))
+        finished, open_ = finished.unionByName(stepped.where("_done")), stepped.where("NOT _done")
     raise RuntimeError("parent links form a cycle")
 
 
@@ -229,9 +231,10 @@ def tool_args_of(message: Column | str) -> Column:
     return F.coalesce(tool_call_of(message)["arguments"], from_text)
 
 
-def brief_args(arguments: Column | str, limit: int = 80) -> Column:
-    """Compact JSON of the arguments, cut to ``limit`` characters."""
-    return let(F.get_json_object(as_col(arguments), "$"), lambda text: F.when(
+def brief_args(arguments: Column | str, limit: int = 80, ascii_only: bool = False) -> Column:
+    """Compact JSON of the arguments, cut to ``limit`` characters; optionally with other characters than ASCII escaped."""
+    text = F.get_json_object(as_col(arguments), "$")
+    return let(escape_non_ascii(text) if ascii_only else text, lambda text: F.when(
         F.length(text) > limit, F.concat(F.substring(text, 1, limit - 3), F.lit("..."))).otherwise(text))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from changeloom.functions import constants as K
 from changeloom.functions.scale import hash_block, numbered, sum_before
-from changeloom.functions.text import as_col, seeded_hash
+from changeloom.functions.text import as_col, escape_non_ascii, seeded_hash
 from changeloom.operators.label import SFT_PROMPT, PromptSet, append_noise, build_messages, draw_templates, message
 
 
@@ -32,11 +32,13 @@ def assistant_text_of_json(raw: Column | str) -> Column:
                     F.coalesce(part("gitignore"), F.lit("[]")), F.lit("}"))
 
 
-def sft_messages(prompt: PromptSet = SFT_PROMPT, label: str = "label", label_json: str | None = None) -> Column:
-    """Chat triple.  The answer comes from ``label``, or from the raw ``label_json`` where that column is named."""
+def sft_messages(prompt: PromptSet = SFT_PROMPT, label: str = "label", label_json: str | None = None,
+                 ascii_only: bool = False) -> Column:
+    """Chat triple.  The answer comes from ``label``, or from the raw ``label_json`` where that column is named; optionally with
+    other characters than ASCII escaped."""
     text = assistant_text_of_json(label_json) if label_json else assistant_text(
         F.col(label)["commits"], F.col(label)["gitignore"])
-    answer = message("assistant", text)
+    answer = message("assistant", escape_non_ascii(text) if ascii_only else text)
     return F.concat(build_messages(prompt), F.array(answer))
 
 

@@ -19,7 +19,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local["):
         return f"{tempfile.mkdtemp(prefix='changeloom-')}/{name}"
     raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 

@@ -2,40 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _processed(spark: SparkSession, output: str, batch_id: int, key: str) -> DataFrame | None:
-    """Keys written by earlier batches; a retried batch does not see its own half."""
-    try:
-        return spark.read.parquet(output).where(F.col("batch_id") != batch_id).select(key)
-    except AnalysisException:
-        return None  # nothing written yet
+# Keys are written in so many buckets of their hash; a batch reads back only the buckets that it touches.
+KEY_BUCKETS = 64
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def _processed(spark: SparkSession, output: str, run: str, batch_id: int, key: str, buckets: list[int]) -> DataFrame | None:
+    """Keys of these buckets written by earlier batches; a retried batch does not see its own half."""
+    if not _exists(spark, output):
+        return None
+    own = (F.col("run_id") == run) & (F.col("batch_id") == batch_id)
+    return spark.read.parquet(output).where(F.col("key_bucket").isin(buckets) & ~own).select(key)
 
 
 def start_intake(stream: DataFrame, output: str, checkpoint: str, key: str = "example_key",
                  labelled: DataFrame | None = None):
-    """Write every key once, across batches and restarts.
+    """Write every key once, across batches, restarts and new checkpoints.
 
     The written table itself is the memory: a batch is deduplicated, anti-joined against it and against the labelled
-    keys, and stored as its own partition.  So no operator state grows with the stream, and a retried batch replaces
-    its partition instead of adding to it.
+    keys, and stored as its own partition (run_id, batch_id).  The run is the stream's id, which lives in the checkpoint, so a
+    retried batch replaces its partition, and a stream with a fresh checkpoint never touches older ones.  No operator
+    state grows with the stream.  Keys whose ``label`` is NULL are not labelled.
     """
+    started, run = threading.Event(), []
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        started.wait()
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
+        fresh = batch.dropDuplicates([key]).withColumn("key_bucket", F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int"))
         if labelled is not None:
-            fresh = fresh.join(labelled.select(key), key, "left_anti")
-        earlier = _processed(spark, output, batch_id, key)
+            known = labelled.where("label IS NOT NULL") if "label" in labelled.columns else labelled
+            fresh = fresh.join(known.select(key), key, "left_anti")
+        # At most KEY_BUCKETS rows.
+        buckets = [row[0] for row in fresh.select("key_bucket").distinct().collect()]
+        earlier = _processed(spark, output, run[0], batch_id, key, buckets) if buckets else None
         if earlier is not None:
             fresh = fresh.join(earlier, key, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("key_bucket").parquet(
+            f"{output}/run_id={run[0]}/batch_id={batch_id}")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(
         availableNow=True).start()
+    run.append(str(query.id))
+    started.set()
+    return query
 
 
 def running_counters(attempts: DataFrame, keys: list[str]) -> DataFrame:

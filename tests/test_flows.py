@@ -36,6 +36,16 @@ def test_intake_takes_each_key_once_across_restarts(spark, tmp_path):
     assert run() == ["a", "b", "c"]
 
 
+def test_intake_with_a_fresh_checkpoint_loses_and_repeats_nothing(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    labelled = spark.createDataFrame([("done", 1), ("open", None)], "example_key string, label int")
+    for run, rows in enumerate(([("a", "1"), ("b", "2"), ("open", "9")], [("b", "2"), ("c", "3"), ("done", "4")])):
+        write_batch(spark, f"{source}{run}", rows)
+        stream = spark.readStream.schema(KEYS).parquet(f"{source}{run}")
+        intake.start_intake(stream, out, str(tmp_path / f"checkpoint{run}"), labelled=labelled).awaitTermination()
+    assert sorted(r.example_key for r in spark.read.parquet(out).collect()) == ["a", "b", "c", "open"]
+
+
 def test_counters_across_batches(spark, tmp_path):
     source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
     ddl = "model string, ok boolean, tokens bigint"
