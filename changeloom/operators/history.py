@@ -211,24 +211,27 @@ def balanced_draw(candidates: DataFrame, count: int, repo: str = "repo", draw: s
 
 
 def original_commits(ranges: DataFrame, chain: DataFrame, commits: DataFrame, commit_files: DataFrame) -> DataFrame:
-    """Non-merge commits of each range, newest first, with subject and files.  Ranges of merges only are dropped."""
-    members = (
-        ranges.select("repo", "head_commit", "n_commits", "head_pos")
-        .withColumn("pos", F.explode(F.sequence("head_pos", F.col("head_pos") + F.col("n_commits") - 1)))
-        .join(chain.select("repo", "pos", "sha"), ["repo", "pos"])
-    )
+    """Non-merge commits of each range, newest first, with subject and files.  Ranges of merges only are dropped.
+
+    The list of a head is made once, for its longest range; shorter ranges are its beginnings.  Files are grouped for
+    commits on those lists only.
+    """
+    heads = ranges.groupBy("repo", "head_commit", "head_pos").agg(F.max("n_commits").alias("_most"))
+    members = heads.withColumn("pos", F.explode(F.sequence("head_pos", F.col("head_pos") + F.col("_most") - 1))).join(
+        chain.select("repo", "pos", "sha"), ["repo", "pos"])
     plain = commits.where(~F.col("is_merge")).select("repo", "sha", "subject")
-    files = commit_files.groupBy("repo", "sha").agg(F.sort_array(F.collect_list("path")).alias("files"))
-    described = plain.join(files, ["repo", "sha"], "left").withColumn(
+    wanted = members.select("repo", "sha").distinct().join(plain, ["repo", "sha"])
+    files = commit_files.join(wanted, ["repo", "sha"], "left_semi").groupBy("repo", "sha").agg(
+        F.sort_array(F.collect_list("path")).alias("files"))
+    described = wanted.join(files, ["repo", "sha"], "left").withColumn(
         "files", F.coalesce("files", F.array().cast("array<string>")))
-    joined = members.join(described, ["repo", "sha"])
-    entry = F.struct("pos", "sha", "subject", "files")
-    return (
-        joined.groupBy("repo", "head_commit", "n_commits").agg(F.sort_array(F.collect_list(entry)).alias("_entries"))
-        .select("repo", "head_commit", "n_commits",
-                F.transform("_entries", lambda e: F.struct(e["sha"].alias("sha"), e["subject"].alias("subject"),
-                                                           e["files"].alias("files"))).alias("original_commits"))
-    )
+    lists = members.join(described, ["repo", "sha"]).groupBy("repo", "head_commit", "head_pos").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "sha", "subject", "files"))).alias("_entries"))
+    inside = F.filter("_entries", lambda e: e["pos"] < F.col("head_pos") + F.col("n_commits"))
+    listed = ranges.select("repo", "head_commit", "n_commits", "head_pos").distinct().join(
+        lists, ["repo", "head_commit", "head_pos"]).withColumn("_entries", inside).where(F.size("_entries") > 0)
+    return listed.select("repo", "head_commit", "n_commits", F.transform("_entries", lambda e: F.struct(
+        e["sha"].alias("sha"), e["subject"].alias("subject"), e["files"].alias("files"))).alias("original_commits"))
 
 
 def assemble_examples(ranges: DataFrame, diffs: DataFrame, originals: DataFrame, ignores: DataFrame,
