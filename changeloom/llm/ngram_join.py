@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changeloom.llm.components import components
-from changeloom.llm.setjoin import (GROUPS, bucket, errors_allowed, first_pairs, in_map, may_match, shared, sketch_of,
-                                    verified)
+from changeloom.llm.setjoin import (GROUPS, HEAVY, bucket, cluster_links, errors_allowed, first_pairs, in_map, may_match,
+                                    shared, sketch_of, verified)
 from changeloom.llm.texts import LOWER, Words, digest, mix, runs, windows
 from changeloom.session import durable
 
@@ -99,8 +99,9 @@ def signatures(tokens: np.ndarray, counts: np.ndarray, frequent: float) -> tuple
 
 
 def _postings(batches: Iterator[pa.RecordBatch], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Signatures of every set; of equal sets only the first of the task."""
-    seen: set[bytes] = set()
+    """Signatures of every set; of equal sets in a task only those of smaller ids than all before, so that the smallest
+    id of the corpus is always there."""
+    seen: dict[bytes, int] = {}
     frequent = FREQUENT * max(1.0, counts.mean())
     for batch in batches:
         ids = batch.column(0)
@@ -112,13 +113,14 @@ def _postings(batches: Iterator[pa.RecordBatch], counts: np.ndarray) -> Iterator
                  pa.array(np.concatenate(shapes))], names=["sig", "doc_id", "shape"])
 
         for row, tokens in shingle_sets(batch.column(1)):
-            if not len(tokens) or (key := digest(tokens)) in seen:
+            doc_id = ids[row].as_py()
+            if not len(tokens) or seen.get(key := digest(tokens), doc_id + 1) <= doc_id:
                 continue
-            seen.add(key)
+            seen[key] = doc_id
             sig, shape = signatures(tokens, counts, frequent)
             sigs.append(sig)
             shapes.append(shape)
-            docs.append(np.full(len(sig), ids[row].as_py(), np.int64))
+            docs.append(np.full(len(sig), doc_id, np.int64))
             held += len(sig)
             if held > 200_000:
                 yield out()
@@ -131,16 +133,23 @@ def _token_sets(column: pa.Array) -> Iterator[np.ndarray]:
     return (tokens for _, tokens in shingle_sets(column))
 
 
-def _rest(found: DataFrame, linked: DataFrame, tried: DataFrame) -> DataFrame:
-    """Pairs that share a signature, may match, weren't tried and are not connected yet."""
+def _open(found: DataFrame, linked: DataFrame) -> DataFrame:
+    """Postings of signatures that more components than one share, with the signature's size and the unit's component."""
     placed = found.join(linked.select(F.col("v").alias("doc_id"), "u"), "doc_id", "left").select(
         "sig", "doc_id", "shape", F.coalesce("u", "doc_id").alias("own"))
-    open_ = placed.groupBy("sig").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo < hi").select("sig")
-    open_ = durable(placed.join(open_, "sig", "left_semi"))
-    left = open_.select("sig", F.col("doc_id").alias("x"), F.col("shape").alias("shape_x"), F.col("own").alias("own_x"))
-    right = open_.select("sig", F.col("doc_id").alias("y"), F.col("shape").alias("shape_y"), F.col("own").alias("own_y"))
+    apart = placed.groupBy("sig").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count(F.lit(1)).alias("size")).where(
+        "lo < hi").select("sig", "size")
+    return durable(placed.join(apart, "sig"))
+
+
+def _light_pairs(open_: DataFrame, tried: DataFrame) -> DataFrame:
+    """Pairs that share a small signature, may match, weren't tried and are not connected yet."""
+    light = open_.where(F.col("size") <= HEAVY)
+    left = light.select("sig", F.col("doc_id").alias("x"), F.col("shape").alias("shape_x"), F.col("own").alias("own_x"))
+    right = light.select("sig", F.col("doc_id").alias("y"), F.col("shape").alias("shape_y"), F.col("own").alias("own_y"))
     return left.join(right, "sig").where("own_x <> own_y AND x < y").where(may_match("shape_x", "shape_y")).select(
-        F.struct(F.col("x").alias("doc_id")).alias("a"), F.struct(F.col("y").alias("doc_id")).alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        F.struct(F.col("x").alias("doc_id")).alias("a"), F.struct(F.col("y").alias("doc_id")).alias("b")).distinct().join(
+        tried, ["a", "b"], "left_anti")
 
 
 def near_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -151,7 +160,12 @@ def near_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = survey.where("bucket IS NULL").select("doc_id", "n_shingles", "digest")
     counts = sketch_of(survey.where("bucket IS NOT NULL").select("bucket", "n"))
     known = texts.where("doc_id IS NOT NULL")
-    found = shared(known.mapInArrow(partial(_postings, counts=counts), "sig bigint, doc_id bigint, shape bigint"), UNIT)
+    # Equal sets hang under their first document.
+    owner = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    smallest = owner.groupBy("digest").agg(F.min("doc_id").alias("a"))
+    copies = durable(owner.join(smallest, "digest").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct())
+    found = shared(known.mapInArrow(partial(_postings, counts=counts), "sig bigint, doc_id bigint, shape bigint"), UNIT,
+                   copies.select(F.col("b").alias("doc_id")))
 
     def fetch(bits):
         wanted = F.arrow_udf(lambda ids: pa.array(in_map(bits, np.asarray(ids))), "boolean")
@@ -160,17 +174,15 @@ def near_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     def ends(pairs):
         return pairs.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"))
 
-    # Equal sets hang under their first document.
-    owner = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    smallest = owner.groupBy("digest").agg(F.min("doc_id").alias("a"))
-    copies = durable(owner.join(smallest, "digest").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct())
     pairs = durable(first_pairs(found, UNIT))
     links = ends(verified(pairs, fetch, UNIT, _token_sets)).unionByName(copies)
     linked = components(links)
-    more = durable(_rest(found, linked, pairs))
-    if not more.isEmpty():
-        links = linked.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(ends(verified(more, fetch, UNIT, _token_sets)))
-        linked = components(links)
+    open_ = _open(found, linked)
+    if not open_.isEmpty():
+        heavy = cluster_links(open_.where(F.col("size") > HEAVY).select("sig", "doc_id", "shape"), fetch, UNIT, _token_sets)
+        light = verified(durable(_light_pairs(open_, pairs)), fetch, UNIT, _token_sets)
+        linked = components(linked.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(ends(light)).unionByName(
+            ends(heavy.select(F.col("root").alias("a"), "b"))))
     return rows, linked
 
 

@@ -6,8 +6,9 @@ against their whole sets:
 
 1. Signatures of one unit only are dropped.  Each unit is paired with the first unit of the signature and with the one
    before it, which is linear in the postings; these pairs are verified.
-2. What is still open after that is paired in full, so that no link is lost.  In groups of near copies the first round
-   leaves nothing open.
+2. What is still open after that is paired in full, so that no link is lost: signatures of a few units by a join.  Units
+   of larger signatures come together in clusters (the components that these signatures make), and a cluster is verified
+   tile by tile in memory, from the overlaps of all its sets at once; a tile gives back one row per unit, never its pairs.
 
 Sets are fetched by a second pass over the texts, from those units only that occur in a pair.  A bit map of fixed size
 leaves out the others before anything is shuffled.
@@ -25,14 +26,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from changeloom.llm.components import components
 from changeloom.session import durable
 
 # Token frequencies are counted in this many buckets (2**16 rows at most reach the driver, 512 KB are broadcast).
 SKETCH_BITS = 16
-# Bits of the map of units whose sets are fetched (128 KB; more bits let fewer needless sets through).
-MAP_BITS = 20
+# Bits of the map of units whose texts are fetched (512 KB; more bits let fewer needless texts through).  It is collected as words
+# of 64 bits, 2**16 rows at most.
+MAP_BITS = 22
 # Similarity 3/4: overlap / (a + b - overlap) >= 3/4 is the same as 7 * overlap >= 3 * (a + b).
 SHARE, OF_SUM = 7, 3
+# Signatures of more open units than this are verified by clusters, in tiles of so many units.
+HEAVY, TILE = 24, 1024
+# Within a tile, tokens of more units than this are counted by a matrix product, others one by one.
+DENSE = 12
 # Frequent tokens fall into so many groups.
 GROUPS = 8
 
@@ -73,11 +80,12 @@ def may_match(a: str, b: str) -> Column:
     return F.lit(SHARE) * (rest + before) >= F.lit(OF_SUM) * (size_of(a) + size_of(b))
 
 
-def shared(postings: DataFrame, unit: Sequence[str]) -> DataFrame:
-    """Postings of signatures that more units than one have."""
+def shared(postings: DataFrame, unit: Sequence[str], copies: DataFrame) -> DataFrame:
+    """Postings of signatures that more units than one have, without the units in ``copies``."""
     by = Window.partitionBy("sig").orderBy(*unit)
     marked = postings.select("sig", *unit, "shape", F.lag("shape").over(by).alias("_before"), F.lead("shape").over(by).alias("_after"))
-    return durable(marked.where("_before IS NOT NULL OR _after IS NOT NULL").drop("_before", "_after"))
+    found = marked.where("_before IS NOT NULL OR _after IS NOT NULL").drop("_before", "_after")
+    return durable(found.join(copies, list(unit), "left_anti"))
 
 
 def first_pairs(found: DataFrame, unit: Sequence[str]) -> DataFrame:
@@ -92,6 +100,18 @@ def first_pairs(found: DataFrame, unit: Sequence[str]) -> DataFrame:
     return pairs.groupBy("b").agg(F.min_by("a", F.struct(-F.col("count"), "a")).alias("a")).select("a", "b")
 
 
+def fetched(units: DataFrame, texts: Callable[[np.ndarray], DataFrame], unit: Sequence[str]) -> DataFrame:
+    """(u, text) of the distinct units u, and of a few others that the bit map lets through."""
+    place = F.pmod(F.xxhash64("u"), F.lit(1 << MAP_BITS))
+    words = units.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(p & 63 AS int))")).alias("bits"))
+    bits = np.zeros(1 << MAP_BITS - 6, np.int64)
+    for word, value in words.collect():
+        bits[word] = value
+    bits = bits.view(np.uint64)
+    return texts(bits).select(F.struct(*unit).alias("u"), "text").dropDuplicates(["u"])
+
+
 def verified(pairs: DataFrame, texts: Callable[[np.ndarray], DataFrame], unit: Sequence[str],
              sets: Callable[[pa.Array], Iterator[np.ndarray]]) -> DataFrame:
     """Pairs (a, b) whose sets have a similarity of 0.75 or more.
@@ -99,13 +119,9 @@ def verified(pairs: DataFrame, texts: Callable[[np.ndarray], DataFrame], unit: S
     ``texts(bit map)`` gives (unit, text) of all units in the map at least; ``sets`` the sorted tokens of each text.  Texts
     take less room in a shuffle than their hashes.
     """
-    place = F.pmod(F.xxhash64("u"), F.lit(1 << MAP_BITS))
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("u"))
-    bits = np.zeros(1 << MAP_BITS, bool)
-    bits[[row[0] for row in needed.select(place.alias("p")).distinct().collect()]] = True
-    fetched = texts(bits).select(F.struct(*unit).alias("u"), "text").dropDuplicates(["u"])
-    with_a = pairs.join(fetched.select(F.col("u").alias("a"), F.col("text").alias("text_a")), "a")
-    with_b = with_a.join(fetched.select(F.col("u").alias("b"), F.col("text").alias("text_b")), "b")
+    found = fetched(pairs.select(F.explode(F.array("a", "b")).alias("u")), texts, unit)
+    with_a = pairs.join(found.select(F.col("u").alias("a"), F.col("text").alias("text_a")), "a")
+    with_b = with_a.join(found.select(F.col("u").alias("b"), F.col("text").alias("text_b")), "b")
 
     @F.arrow_udf("boolean")
     def similar(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -115,12 +131,94 @@ def verified(pairs: DataFrame, texts: Callable[[np.ndarray], DataFrame], unit: S
     return durable(with_b.where(similar("text_a", "text_b")).select("a", "b").distinct())
 
 
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections."""
+    n = len(sets)
+    out = np.zeros((n, n), np.float32)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    tokens = np.concatenate(sets) if n else np.zeros(0, np.uint64)
+    order = np.argsort(tokens, kind="stable")
+    owner, tokens = owner[order], tokens[order]
+    new = np.ones(len(tokens), bool)
+    new[1:] = tokens[1:] != tokens[:-1]
+    at = np.flatnonzero(new)
+    size = np.diff(np.append(at, len(tokens)))
+    dense = np.flatnonzero(size > DENSE)
+    for part in np.array_split(dense, len(dense) // 2048 + 1):
+        member = np.zeros((n, len(part)), np.float32)
+        column = np.repeat(np.arange(len(part)), size[part])
+        rows = np.repeat(at[part], size[part]) + np.arange(size[part].sum()) - np.repeat(np.cumsum(size[part]) - size[part], size[part])
+        member[owner[rows], column] = 1
+        out += member @ member.T
+    for k in range(2, DENSE + 1):
+        group = owner[at[size == k][:, None] + np.arange(k)]
+        for part in np.array_split(group, len(group) * k * k // 2_000_000 + 1):
+            both = part[:, :, None] * n + part[:, None, :]
+            out += np.bincount(both.ravel(), minlength=n * n).reshape(n, n)
+    out[np.arange(n), np.arange(n)] = [len(x) for x in sets]
+    return out
+
+
+def _tile(table: pa.Table, sets: Callable[[pa.Array], Iterator[np.ndarray]]) -> pa.Table:
+    """Links of two tiles (or within one): per unit the first earlier unit it links with, and the first of its component."""
+    table = table.take(pa.array(np.lexsort([np.asarray(table[c]) for c in reversed(table.column_names) if c.startswith("u_")])))
+    kept = list(sets(table["text"].combine_chunks()))
+    size = np.array([len(x) for x in kept])
+    linked = SHARE * overlaps(kept) >= OF_SUM * (size[:, None] + size[None, :])
+    linked &= (size > 0)[:, None] & (size > 0)[None, :]
+    np.fill_diagonal(linked, False)
+    n = len(size)
+    earlier = np.where(np.tril(linked).any(axis=1), np.tril(linked).argmax(axis=1), -1)
+    root = np.arange(n)
+    while n:
+        new = np.minimum(root, np.where(linked, root[None, :], n).min(axis=1))
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    keep = np.flatnonzero((earlier >= 0) | (root < np.arange(n)))
+    names = [c for c in table.column_names if c.startswith("u_")]
+    columns = {f"b_{c[2:]}": np.asarray(table[c])[keep] for c in names}
+    columns |= {f"r_{c[2:]}": np.asarray(table[c])[root[keep]] for c in names}
+    return pa.table(columns | {"links": earlier[keep] >= 0})
+
+
+def cluster_links(heavy: DataFrame, texts: Callable[[np.ndarray], DataFrame], unit: Sequence[str],
+                  sets: Callable[[pa.Array], Iterator[np.ndarray]]) -> DataFrame:
+    """(b, root, links) from the postings (sig, unit, shape) of heavy signatures: units of each cluster that link with others,
+    an earlier unit that b is connected with, and whether b itself links with an earlier one."""
+    node = F.xxhash64(*unit)
+    # Clusters are named by hashes of units; two that share a name are verified together, which changes nothing.
+    first = heavy.groupBy("sig").agg(F.min(node).alias("a"))
+    edges = heavy.select("sig", node.alias("b")).join(first, "sig").select("a", "b")
+    named = components(edges).withColumnRenamed("u", "c")
+    # Similar sets have sizes within 4 : 3, so they are at most two size classes apart.
+    size = F.floor(F.log(size_of("shape")) / F.lit(float(np.log(1.16)))).cast("bigint")
+    units = durable(heavy.groupBy(F.struct(*unit).alias("u"), node.alias("v")).agg(F.max(size).alias("class")).join(
+        named, "v", "left").select("u", F.coalesce("c", "v").alias("cluster"), "class"))
+    tiles = units.groupBy("cluster", "class").agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE)).cast("bigint").alias("k"))
+    own = F.pmod(F.xxhash64("u", F.lit(1)), F.col("k"))
+    placed = units.join(tiles, ["cluster", "class"]).select("u", "cluster", "class", (F.col("class") * (1 << 32) + own).alias("own"))
+    near = tiles.select("cluster", F.explode(F.sequence(F.col("class") - 2, F.col("class") + 2)).alias("class"),
+                        (F.col("class") * (1 << 32)).alias("start"), "k")
+    spread = placed.join(near, ["cluster", "class"]).withColumn(
+        "other", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("k") - 1)))
+    rows = spread.join(fetched(units, texts, unit), "u").select(
+        "cluster", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+        *[F.col(f"u.{c}").alias(f"u_{c}") for c in unit], "text")
+    fields = [f"{p}_{c} bigint" for p in "br" for c in unit]
+    found = rows.groupBy("cluster", "low", "high").applyInArrow(lambda table: _tile(table, sets), ", ".join([*fields, "links boolean"]))
+    return durable(found.select(*[F.struct(*[F.col(f"{p}_{c}").alias(c) for c in unit]).alias(name)
+                                  for p, name in (("b", "b"), ("r", "root"))], "links").distinct())
+
+
 def in_map(bits: np.ndarray, *unit: np.ndarray) -> np.ndarray:
     """Whether the units are in the bit map; hashes as Spark's xxhash64 does over the 64-bit unit columns."""
     seed = np.full(len(unit[0]), 42, np.uint64)
     for column in unit:
         seed = _xxhash64_long(column.astype(np.int64).view(np.uint64), seed)
-    return bits[(seed.view(np.int64) % np.int64(len(bits)))]
+    place = seed.view(np.int64) % np.int64(64 * len(bits))
+    return (bits[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
 
 
 def _rotate(x: np.ndarray, n: int) -> np.ndarray:

@@ -505,3 +505,14 @@ def test_overlaps():
     sets = [np.unique(rng.integers(0, 60 if i % 2 else 6000, 40).astype(np.uint64)) for i in range(50)] + [np.zeros(0, np.uint64)]
     expected = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
     assert (setjoin.overlaps(sets) == np.array(expected)).all()
+
+
+def test_equal_texts_in_any_order(spark):
+    """The smallest id comes last in its task, and a near copy lies elsewhere."""
+    ship_package(spark)
+    text = prose(31, 60)
+    rows = [(i, text) for i in (9, 7, 5)] + [(20, text + " more"), (2, "a b"), (1, "a b")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.document_components(df).collect()} == {
+        9: 5, 7: 5, 5: 5, 20: 5, 2: 1, 1: 1}
+    assert {r["doc_id"]: r["n_removed"] for r in line_dedup.removed_lines(df).collect()} == {9: 1, 7: 1, 5: 0, 20: 1, 2: 1, 1: 0}
