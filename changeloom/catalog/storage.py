@@ -52,21 +52,46 @@ def jsonl_sink(t):
     return good.withColumn("tags", F.array_join("tags", ";"))
 
 
-@query("s3_history_scan", oracle="""
-    SELECT CAST(repo AS STRING) AS repo, sha, parent1, parent1 IS NOT NULL AND parent2 IS NOT NULL AS is_merge, subject,
-        CAST(topo_pos AS BIGINT) AS topo_pos FROM {history}""")
-def history_scan(t):
+def exported_history(t):
+    """All four tables of an exported history, written and read back: texts of documents are diffs and file contents."""
     root = S.scratch_path(t.spark, "history")
     text = F.col("repo").cast("string").alias("repo")
     t.history.select(text, "sha", F.array_compact(F.array("parent1", "parent2")).alias("parents"), "subject",
                      F.lit("main").alias("branch_head"), F.col("topo_pos").cast("bigint").alias("topo_pos")
                      ).write.parquet(f"{root}/commits")
-    t.history_files.select(text, "sha", "path", F.lit(0).alias("pos")).write.parquet(f"{root}/commit_files")
-    t.history.select(text, F.col("parent1").alias("base_commit"), F.col("sha").alias("head_commit"),
-                     F.col("subject").alias("diff"), F.lit(False).alias("has_binary")
-                     ).write.parquet(f"{root}/range_diffs")
-    t.history_files.select(text, "sha", "path", F.col("path").alias("content")).write.parquet(f"{root}/tree_files")
-    return S.history_commits(S.read_history(t.spark, root)["commits"])
+    t.history_files.select(text, "sha", "path", F.length("path").alias("pos")).write.parquet(f"{root}/commit_files")
+    t.examples.select(F.col("repo_url").alias("repo"), "base_commit", "head_commit", "diff", (F.col("ex_id") % 2 == 0).alias("has_binary")
+                      ).write.parquet(f"{root}/range_diffs")
+    t.examples.select(F.col("repo_url").alias("repo"), F.col("head_commit").alias("sha"), F.concat(
+        F.lit("docs/"), F.col("ex_id").cast("string")).alias("path"), F.col("diff").alias("content")).write.parquet(f"{root}/tree_files")
+    return S.read_history(t.spark, root)
+
+
+@query("s3_history_scan", oracle="""
+    SELECT CAST(repo AS STRING) AS repo, sha, parent1, parent1 IS NOT NULL AND parent2 IS NOT NULL AS is_merge, subject,
+        CAST(topo_pos AS BIGINT) AS topo_pos FROM {history}""")
+def history_scan(t):
+    return S.history_commits(exported_history(t)["commits"])
+
+
+@query("s3_commit_files", oracle="""
+    SELECT CAST(repo AS STRING) AS repo, sha, path, CAST(length(path) AS INT) AS pos FROM {history_files}""")
+def commit_files(t):
+    return exported_history(t)["commit_files"]
+
+
+@query("s3_range_diffs", oracle="""
+    SELECT repo_url AS repo, base_commit, head_commit, md5(diff) AS diff_md5, ex_id % 2 = 0 AS has_binary FROM {examples}""")
+def range_diffs(t):
+    found = exported_history(t)["range_diffs"]
+    return found.select("repo", "base_commit", "head_commit", F.md5("diff").alias("diff_md5"), "has_binary")
+
+
+@query("s3_tree_files", oracle="""
+    SELECT repo_url AS repo, head_commit AS sha, concat('docs/', CAST(ex_id AS STRING)) AS path, md5(diff) AS content_md5
+    FROM {examples}""")
+def tree_files(t):
+    return exported_history(t)["tree_files"].select("repo", "sha", "path", F.md5("content").alias("content_md5"))
 
 
 @query("s4_plan_document", oracle="""

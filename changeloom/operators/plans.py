@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changeloom.functions.constants import CONTEXT_LINES
+from changeloom.functions.jsontext import let
 from changeloom.functions.scale import first_row
 from changeloom.functions.text import as_col, split_lines, strip
 from changeloom.operators.diffs import added_lines, removed_lines
@@ -228,15 +229,28 @@ def file_rollup(claims: DataFrame, hunks: DataFrame, keys: Sequence[str] = ("pla
 
 def strip_breaking_trailer(body: Column | str) -> Column:
     """Body without BREAKING CHANGE trailers; each reaches up to the next blank line."""
-    start = F.struct(F.lit(False).alias("inside"), F.array().cast("array<string>").alias("kept"))
+    none = F.array().cast("array<struct<first:int,after:int>>")
+    start = F.struct(F.lit(0).alias("at"), F.lit(-1).alias("open"), none.alias("cuts"))
 
     def step(state, line):
         opens = line.rlike("(?i)^BREAKING[- ]CHANGE\\s*:")
-        inside = opens | (state["inside"] & (strip(line) != ""))
-        return F.struct(inside.alias("inside"), F.when(inside, state["kept"]).otherwise(
-            F.concat(state["kept"], F.array(line))).alias("kept"))
-
-    return strip(F.array_join(F.aggregate(split_lines(body), start, step, lambda s: s["kept"]), "\n"))
+        ends = (state["open"] >= 0) & ~opens & (strip(line) == "")
+        # Only where a trailer ends is something added, so the fold is linear in the lines.
+        cut = F.array(F.struct(state["open"].alias("first"), state["at"].alias("after")))
+        return F.struct(
+            (state["at"] + 1).alias("at"),
+            F.when(ends, -1).when(opens & (state["open"] < 0), state["at"]).otherwise(state["open"]).alias("open"),
+            F.when(ends, F.concat(state["cuts"], cut)).otherwise(state["cuts"]).alias("cuts"))
+
+    def cuts_of(state):
+        last = F.array(F.struct(state["open"].alias("first"), state["at"].alias("after")))
+        return F.when(state["open"] >= 0, F.concat(state["cuts"], last)).otherwise(state["cuts"])
+
+    def without(lines):
+        return let(F.aggregate(lines, start, step, cuts_of), lambda cuts: F.filter(
+            lines, lambda line, i: ~F.exists(cuts, lambda cut: (i >= cut["first"]) & (i < cut["after"]))))
+
+    return strip(F.array_join(let(split_lines(body), without), "\n"))
 
 
 def commit_message(subject="subject", body="body", breaking="breaking_change", signature: str | None = None) -> Column:
