@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from changeloom.llm.components import components
 from changeloom.llm.setjoin import (GROUPS, HEAVY, bucket, cluster_links, errors_allowed, first_pairs, in_map, may_match,
-                                    shared, sketch_of, verified)
+                                    shared, sketch_of, split_by, verified)
 from changeloom.llm.texts import LOWER, Words, digest, mix, runs, windows
 from changeloom.session import durable
 
@@ -203,4 +203,7 @@ def first_of_each(documents: DataFrame) -> DataFrame:
     """The rows of ``documents`` whose doc_id names its component; all columns.  Rows with a NULL doc_id stay."""
     _, linked = near_documents(documents)
     gone = linked.select(F.col("v").alias("doc_id"))
-    return documents.join(gone, "doc_id", "left_anti").select(documents.columns)
+    maybe, kept = split_by(documents, gone)
+    rows = maybe.select(F.struct("*").alias("row")).join(
+        gone, F.col("row.doc_id").cast("bigint") == F.col("doc_id"), "left_anti").select("row.*")
+    return kept.unionByName(rows)

@@ -37,7 +37,7 @@ MAP_BITS = 22
 # Similarity 3/4: overlap / (a + b - overlap) >= 3/4 is the same as 7 * overlap >= 3 * (a + b).
 SHARE, OF_SUM = 7, 3
 # Signatures of more open units than this are verified by clusters, in tiles of so many units.
-HEAVY, TILE = 24, 1024
+HEAVY, TILE = 128, 512
 # Within a tile, tokens of more units than this are counted by a matrix product, others one by one.
 DENSE = 12
 # Frequent tokens fall into so many groups.
@@ -100,16 +100,29 @@ def first_pairs(found: DataFrame, unit: Sequence[str]) -> DataFrame:
     return pairs.groupBy("b").agg(F.min_by("a", F.struct(-F.col("count"), "a")).alias("a")).select("a", "b")
 
 
-def fetched(units: DataFrame, texts: Callable[[np.ndarray], DataFrame], unit: Sequence[str]) -> DataFrame:
-    """(u, text) of the distinct units u, and of a few others that the bit map lets through."""
+def bit_map(units: DataFrame) -> np.ndarray:
+    """Bits of the units (struct column u), of fixed size."""
     place = F.pmod(F.xxhash64("u"), F.lit(1 << MAP_BITS))
     words = units.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(p & 63 AS int))")).alias("bits"))
     bits = np.zeros(1 << MAP_BITS - 6, np.int64)
     for word, value in words.collect():
         bits[word] = value
-    bits = bits.view(np.uint64)
-    return texts(bits).select(F.struct(*unit).alias("u"), "text").dropDuplicates(["u"])
+    return bits.view(np.uint64)
+
+
+def split_by(documents: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose doc_id may be in ``ids`` (column doc_id), rows whose doc_id is not), by a bit map: only the former need a join."""
+    bits = bit_map(ids.select(F.struct("doc_id").alias("u")))
+    wanted = F.arrow_udf(lambda column: pa.array(in_map(bits, np.asarray(column))), "boolean")
+    key = F.col("doc_id").cast("bigint")
+    maybe = key.isNotNull() & wanted(F.coalesce(key, F.lit(0).cast("bigint")))
+    return documents.where(maybe), documents.where(~maybe)
+
+
+def fetched(units: DataFrame, texts: Callable[[np.ndarray], DataFrame], unit: Sequence[str]) -> DataFrame:
+    """(u, text) of the distinct units u, and of a few others that the bit map lets through."""
+    return texts(bit_map(units)).select(F.struct(*unit).alias("u"), "text").dropDuplicates(["u"])
 
 
 def verified(pairs: DataFrame, texts: Callable[[np.ndarray], DataFrame], unit: Sequence[str],

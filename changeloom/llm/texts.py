@@ -108,14 +108,22 @@ def windows(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray,
     out_bounds = np.concatenate(([0], np.cumsum(count)))
     first = np.repeat(bounds[:-1] - out_bounds[:-1], count) + np.arange(out_bounds[-1])
     size = np.minimum(np.repeat(n, count), k)
-    out = mix(size.astype(np.uint64))
-    for j in range(k):
-        if j and len(out) and size.min() <= j:
-            has = size > j
-            out[has] = mix(out[has] * np.uint64(0x9FB21C651E98DF25) + words[first[has] + j])
-        elif len(out):
-            out = mix(out * np.uint64(0x9FB21C651E98DF25) + words[first + j])
-    return out, out_bounds
+    out = np.empty(len(first), np.uint64)
+    step = np.uint64(0x9FB21C651E98DF25)
+    whole = size == k
+    at = first[whole]
+    value = words[at].copy()
+    for j in range(1, k):
+        value *= step
+        value += words[at + j]
+    out[whole] = value
+    short = np.flatnonzero(~whole)
+    value = words[first[short]]
+    for j in range(1, k - 1):
+        longer = size[short] > j
+        value[longer] = value[longer] * step + words[first[short][longer] + j]
+    out[short] = value
+    return mix(out + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), out_bounds
 
 
 def digest(values: np.ndarray) -> bytes:
