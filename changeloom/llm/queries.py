@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from changeloom.llm import (bpe, embedding_dedup, html_text, language, line_dedup, ngram_join, packing, quality, toxicity,
-                            url_filter)
+from changeloom.llm import (bpe, embedding_dedup, html_text, language, line_dedup, ngram_join, packing, piece_bpe, quality,
+                            toxicity, url_filter)
 from changeloom.session import ship_package
 
 QUERIES = {}
@@ -98,3 +98,8 @@ def op9(spark: SparkSession, directory: str) -> DataFrame:
 @query("op10_toxicity")
 def op10(spark: SparkSession, directory: str) -> DataFrame:
     return toxicity.document_toxicity(table(spark, directory, "documents"), table(spark, directory, "labels"))
+
+
+@query("op12_piece_bpe")
+def op12(spark: SparkSession, directory: str) -> DataFrame:
+    return piece_bpe.digests(table(spark, directory, "documents"))
