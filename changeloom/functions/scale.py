@@ -1,21 +1,24 @@
 """Ordered computations that survive hot keys.
 
 A window over one key sorts all rows of that key in one task.  The helpers here cut every key into blocks of its
-ordering column first: block summaries are pre-aggregated (map-side combine), chained per key over the few summary
-rows, and put in front of a window that is local to (key, block).  The block expression must be monotone in the ordering,
-for example ``position div 65536`` or a prefix of a hash.
+ordering column first.  Rows are shuffled once, by (key, block); block summaries are taken from that exchange, chained per
+key over the few summary rows, and joined to a window that is local to (key, block).  The block expression must be monotone
+in the ordering, for example ``position div 65536`` or a prefix of a hash.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK_ROWS = 65536
 # Hex digits of a digest that name a block: 16 ** 4 blocks of a key.
 BLOCK_DIGITS = 4
+# Blocks without a key are chained in groups of this many.
+GROUP_BLOCKS = 4096
 BLOCK = "_block"
 
 
@@ -35,35 +38,84 @@ def first_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Da
     return ranked.where("_rank = 1").drop("_rank")
 
 
-def _chained(df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[Column], value: Column, name: str,
-             combine: Callable[[str], Column], until: int, total: str | None = None) -> DataFrame:
-    """Running ``combine`` of ``value`` within the key, over all rows up to ``until`` (0: this row, -1: the one before).
-    With ``total``, also the value over all rows of the key.
+def _touched(df: DataFrame) -> Column:
+    """A number for which every column of a row is needed, computed without reading long values."""
 
-    What earlier blocks add up to enters each block as one extra row in front, so rows are shuffled once, by
-    (key, block), and nothing is joined back.
+    def part(field: T.StructField) -> Column:
+        column, kind = F.col(f"`{field.name}`"), field.dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.octet_length(column)
+        text = kind.simpleString()
+        return column.isNull() if "map<" in text or "variant" in text else column
+
+    return F.xxhash64(*[part(field) for field in df.schema])
+
+
+def _combined(kind: str, a: Column, b: Column) -> Column:
+    return F.coalesce(a + b, a, b) if kind == "sum" else F.greatest(a, b)
+
+
+def _carried(blocks: DataFrame, key: str, block: str, kinds: Sequence[str], n: int) -> DataFrame:
+    """``_c0``, ...: what all earlier blocks of the key add up to, for the first ``n`` totals; of the others, the whole key's."""
+    whole = Window.partitionBy(key)
+    earlier = whole.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    return blocks.select("*", *[getattr(F, kind)(f"_t{i}").over(earlier if i < n else whole).alias(f"_c{i}")
+                                for i, kind in enumerate(kinds)])
+
+
+def _carried_in_groups(blocks: DataFrame, kinds: Sequence[str], n: int) -> DataFrame:
+    """The same without a key: groups of blocks are chained, and the blocks within each group."""
+    grouped = blocks.withColumn("_group", F.struct(F.floor(F.col("_b") / GROUP_BLOCKS).alias("g")))
+    groups = grouped.groupBy("_group", "_key").agg(*[getattr(F, kind)(f"_t{i}").alias(f"_t{i}") for i, kind in enumerate(kinds)])
+    outer = _carried(groups, "_key", "_group", kinds, n).select(F.col("_group").alias("_in"), *[
+        F.col(f"_c{i}").alias(f"_o{i}") for i in range(len(kinds))])
+    inner = _carried(grouped, "_group", "_b", kinds, n).join(outer, F.col("_group") == F.col("_in"))
+    return inner.withColumns({f"_c{i}": _combined(kind, F.col(f"_o{i}"), F.col(f"_c{i}")) if i < n else F.col(f"_o{i}")
+                              for i, kind in enumerate(kinds)})
+
+
+def scanned(df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[Column],
+            running: dict[str, tuple[Column, str, int]], totals: dict[str, tuple[Column, str]] | None = None) -> DataFrame:
+    """Adds running and total values of each key; keys may be NULL.
+
+    ``running``: name -> (value, "sum" or "max", until), over all rows of the key up to ``until`` (0: this row, -1: the one
+    before) in the given order; NULL while there is no value.  ``totals``: name -> (value, aggregate), over the whole key.
+
+    Rows are shuffled once, by key and block.  Summaries of blocks are taken from that same exchange, so ``df`` is evaluated
+    once; what earlier blocks add up to is joined to each block.  The exchange serves both uses only if both ask for the same
+    columns, hence ``_touched``.  All columns of ``df`` are shuffled: select what is needed before.
     """
-    valued = df.withColumn(BLOCK, block).withColumn("_value", value)
-    totals = valued.groupBy(*keys, BLOCK).agg(combine("_value").alias("_value"))
-    # Without keys this is one window over at most as many rows as there are blocks.
-    earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(*keys, BLOCK, combine("_value").over(earlier).alias("_value"), *(
-        [combine("_value").over(Window.partitionBy(*keys)).alias("_total")] if total else []))
-    if not total:
-        carried = carried.where("_value IS NOT NULL")
-    rows = valued.withColumn("_is_row", F.lit(True)).unionByName(
-        carried.withColumn("_is_row", F.lit(False)), allowMissingColumns=True)
-    local = Window.partitionBy(*keys, BLOCK).orderBy("_is_row", *order).rowsBetween(Window.unboundedPreceding, until)
-    out = rows.withColumn(name, combine("_value").over(local))
-    if total:
-        out = out.withColumn(total, F.max("_total").over(Window.partitionBy(*keys, BLOCK))).drop("_total")
-    return out.where("_is_row").drop(BLOCK, "_value", "_is_row")
+    totals = totals or {}
+    kinds = [kind for _, kind, *_ in running.values()] + [kind for _, kind in totals.values()]
+    values = [v for v, *_ in running.values()] + [v for v, _ in totals.values()]
+    n = len(running)
+    key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.lit(0).alias("k"))
+    cells = df.select("*", F.struct(key.alias("key"), block.alias("b")).alias("_cell"), *[
+        v.alias(f"_v{i}") for i, v in enumerate(values)]).repartition("_cell")
+    touched = _touched(cells)
+    blocks = cells.groupBy("_cell").agg(F.max(touched).alias("_touched"), *[
+        getattr(F, kind)(f"_v{i}").alias(f"_t{i}") for i, kind in enumerate(kinds)])
+    carried = blocks.select(F.col("_cell").alias("_at"), "_touched", F.col("_cell.key").alias("_key"), F.col("_cell.b").alias("_b"),
+                            *[f"_t{i}" for i in range(len(kinds))])
+    # Without a key the number of blocks grows with the data, unless they come from a hash.
+    growing = not keys and isinstance(blocks.schema["_cell"].dataType["b"].dataType, (T.LongType, T.IntegerType))
+    carried = _carried_in_groups(carried, kinds, n) if growing else _carried(carried, "_key", "_b", kinds, n)
+    carried = carried.withColumnRenamed("_touched", "_most")
+    out = cells.join(carried, (F.col("_cell") == F.col("_at")) & (touched <= F.col("_most")))
+    for i, (name, (_, kind, until)) in enumerate(running.items()):
+        window = Window.partitionBy("_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, until)
+        out = out.withColumn(f"_r{i}", getattr(F, kind)(f"_v{i}").over(window))
+        out = out.withColumn(f"_r{i}", _combined(kind, F.col(f"_r{i}"), F.col(f"_c{i}")))
+    return out.select(*[c for c in df.columns if c not in running and c not in totals],
+                      *[F.col(f"_r{i}").alias(name) for i, name in enumerate(running)],
+                      *[F.col(f"_c{i}").alias(name) for i, name in enumerate(totals, n)])
 
 
 def numbered(df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[Column], name: str,
              total: str | None = None) -> DataFrame:
     """1-based row number within the key, in the given order; ``total`` adds the number of rows of the key."""
-    return _chained(df, keys, block, order, F.lit(1).cast("bigint"), name, F.sum, 0, total)
+    one = F.lit(1).cast("bigint")
+    return scanned(df, keys, block, order, {name: (one, "sum", 0)}, {total: (one, "sum")} if total else None)
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[Column], n: int,
@@ -78,17 +130,28 @@ def first_rows(df: DataFrame, keys: Sequence[str], block: Column, order: Sequenc
     return ranked.where(F.col(name) <= n)
 
 
+def sums_before(df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[Column],
+                values: dict[str, Column]) -> DataFrame:
+    """Exclusive running sums within the key: what all earlier rows add up to (0 for the first)."""
+    summed = scanned(df, keys, block, order, {name: (value, "sum", -1) for name, value in values.items()})
+    return summed.withColumns({name: F.coalesce(name, F.lit(0)).cast("bigint") for name in values})
+
+
 def sum_before(df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[Column], value: Column,
                name: str) -> DataFrame:
-    """Exclusive running sum within the key: what all earlier rows add up to (0 for the first)."""
-    summed = _chained(df, keys, block, order, value, name, F.sum, -1)
-    return summed.withColumn(name, F.coalesce(name, F.lit(0)).cast("bigint"))
+    """One sum of ``sums_before``."""
+    return sums_before(df, keys, block, order, {name: value})
 
 
 def max_so_far(df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[Column], value: Column,
                name: str) -> DataFrame:
     """Inclusive running maximum within the key; NULL while no value has been seen."""
-    return _chained(df, keys, block, order, value, name, F.max, 0)
+    return scanned(df, keys, block, order, {name: (value, "max", 0)})
+
+
+def with_totals(df: DataFrame, keys: Sequence[str], block: Column, totals: dict[str, tuple[Column, str]]) -> DataFrame:
+    """Rows with aggregates over their key: name -> (value, aggregate that can be taken of its own results)."""
+    return scanned(df, keys, block, [], {}, totals)
 
 
 def preceding_values(df: DataFrame, keys: Sequence[str], position: str, value: Column, count: int, name: str,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changeloom.functions import constants as K
-from changeloom.functions.scale import hash_block, numbered, sum_before
+from changeloom.functions.scale import hash_block, scanned, sum_before
 from changeloom.functions.text import as_col, escape_non_ascii, seeded_hash
 from changeloom.operators.label import SFT_PROMPT, PromptSet, append_noise, build_messages, draw_templates, message
 
@@ -68,15 +68,13 @@ def stratified_split(examples: DataFrame, fraction: float = 0.1, seed: int = 42,
     With ``augmented`` set, those rows go to train and are not counted.  Ranks are taken per block of hashes, so a
     stratum that holds most of the rows is still ranked by many tasks.
     """
-    narrow = examples.select(key, stratum_col, *([augmented] if augmented else []))
-    base = narrow.where(~F.col(augmented)) if augmented else narrow
-    drawn = base.select(key, stratum_col).withColumn("_draw", seeded_hash(seed, key))
-    ranked = numbered(drawn, [stratum_col], hash_block("_draw"), [F.col("_draw"), F.col(key)], "_rank", total="_n")
-    to_val = (F.col("_n") > 1) & (F.col("_rank") <= F.greatest(F.lit(1), F.rint(F.col("_n") * fraction)))
-    split = ranked.select(key, stratum_col, F.when(to_val, "val").otherwise("train").alias("split"))
-    if augmented:
-        split = split.unionByName(narrow.where(augmented).select(key, stratum_col, F.lit("train").alias("split")))
-    return split
+    drawn = examples.select(key, stratum_col, (F.col(augmented) if augmented else F.lit(False)).alias("_grown"),
+                            seeded_hash(seed, key).alias("_draw"))
+    counted = F.when(~F.col("_grown"), F.lit(1).cast("bigint"))
+    ranked = scanned(drawn, [stratum_col], hash_block("_draw"), [F.col("_draw"), F.col(key)], {"_rank": (counted, "sum", 0)},
+                     {"_n": (counted, "sum")})
+    to_val = ~F.col("_grown") & (F.col("_n") > 1) & (F.col("_rank") <= F.greatest(F.lit(1), F.rint(F.col("_n") * fraction)))
+    return ranked.select(key, stratum_col, F.when(to_val, "val").otherwise("train").alias("split"))
 
 
 def seeded_order(df: DataFrame, seed: int = 42, key: str = "example_key", digits: int = 3) -> DataFrame:

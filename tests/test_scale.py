@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from changeloom.functions.scale import max_so_far, numbered, position_block, preceding_values, sum_before
+from changeloom.functions import scale
+from changeloom.functions.scale import (max_so_far, numbered, position_block, preceding_values, scanned, sum_before, with_totals)
 from changeloom.operators import history as H
 from changeloom.operators import plans as P
 
@@ -54,6 +55,40 @@ def test_global_numbering(spark):
     assert [r.h for r in out] == sorted(r.h for r in out)
 
 
+def test_global_blocks_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(scale, "GROUP_BLOCKS", 3)
+    rows = [(i, (i * 7) % 11 if i % 5 else None) for i in range(0, 400, 3)]
+    df = spark.createDataFrame(rows, "pos bigint, value bigint").repartition(5)
+    out = scanned(df, [], position_block("pos", 8), [F.col("pos")],
+                  {"s": (F.col("value"), "sum", -1), "m": (F.col("value"), "max", 0)}, {"all": (F.col("value"), "sum")}).collect()
+    values = dict(rows)
+    assert len(out) == len(rows)
+    for r in out:
+        before = [v for p, v in rows if p < r.pos and v is not None]
+        upto = before + ([values[r.pos]] if values[r.pos] is not None else [])
+        assert (r.s, r.m, r["all"]) == (sum(before) if before else None, max(upto, default=None),
+                                        sum(v for _, v in rows if v is not None))
+
+
+def test_one_evaluation_for_rows_and_totals(spark, small_dir):
+    """The source is read once, also where values are nested, filtered and used twice by the caller."""
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet").select("doc_id", "source", "text")
+    block, order = position_block("doc_id", 16), [F.col("doc_id")]
+    out = with_totals(docs, ["source"], block, {"n_chars": (F.length("text"), "sum")})
+    out = numbered(out.where("n_chars > 0"), ["source"], block, order, "no")
+    rows = out.select("doc_id", "no", F.length("text").alias("n")).collect()
+    assert len(rows) == docs.count()
+    joined = out.select("source", "no").join(out.groupBy("source").agg(F.max("no").alias("last")), "source")
+    assert joined.where("no = last").count() == docs.select("source").distinct().count()
+    shown = _final_plan(out)
+    assert shown.count("FileScan") == 1, shown
+
+
+def _final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
 def test_preceding_values_cross_blocks(spark):
     rows = [("hot", i, f"s{i}") for i in range(1, 60)] + [("b", i, f"b{i}") for i in range(1, 6)]
     df = spark.createDataFrame(rows, "key string, no int, s string")
