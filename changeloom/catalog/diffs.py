@@ -191,6 +191,18 @@ def combined_patch(t):
                       F.when(F.col("n_hunks") == 1, F.col("patch")).otherwise(F.md5("patch")).alias("patch"))
 
 
+@query("d13_patch_pieces", oracle="""
+    SELECT h.ex_id, h.file_path, CAST(h.hunk_no AS BIGINT) AS piece_no, n.n_hunks, CASE WHEN n.n_hunks = 1 THEN h.patch
+        WHEN h.hunk_no = 1 THEN md5(concat(header, body1)) ELSE md5(concat(open2, removed2)) END AS piece
+    FROM {hunks} h JOIN {diff_parts} p ON h.ex_id = p.ex_id
+    JOIN (SELECT ex_id, file_path, count(*) AS n_hunks FROM {hunks} GROUP BY ex_id, file_path) n
+        ON h.ex_id = n.ex_id AND h.file_path = n.file_path""")
+def patch_pieces(t):
+    shuffled = t.hunks.withColumn("hunk_no", 5 - F.col("hunk_no"))
+    out = D.patch_pieces(shuffled, ["ex_id", "file_path"])
+    return out.withColumn("piece", F.when(F.col("n_hunks") == 1, F.col("piece")).otherwise(F.md5("piece")))
+
+
 @query("d15_change_metadata", oracle=f"""
     SELECT DISTINCT 'Untracked' AS side, regexp_extract(hunk_id, '[^.]*$') AS kind, CAST(NULL AS BIGINT) AS added,
         CAST(NULL AS BIGINT) AS removed FROM {{hunks}} WHERE is_untracked

@@ -224,6 +224,10 @@ def binary_flag(t):
     return listing.select("ex_id", H.has_binary_entry("numstat").alias("has_binary"))
 
 
+def _commit_texts(commits):
+    return F.transform(commits, lambda c: F.concat_ws("|", c["sha"], c["subject"], F.array_join(c["files"], ";")))
+
+
 @query("h13_original_commits", oracle=f"""
     WITH RECURSIVE {RANGE_CTES},
     first_use AS (SELECT 1 FROM {{heads}} LIMIT 1),
@@ -239,11 +243,9 @@ def original_commits(t):
     chain = _chain(t)
     ranges = H.default_branch_ranges(chain)
     out = H.original_commits(ranges, chain, _commits(t), t.history_files)
-    text = F.transform("original_commits", lambda c: F.concat_ws("|", c["sha"], c["subject"],
-                                                                 F.array_join(c["files"], ";")))
     return out.select("repo", "head_commit", F.col("n_commits").cast("bigint").alias("n_commits"),
                       F.size("original_commits").cast("bigint").alias("n_original"),
-                      F.array_join(text, "\n").alias("commits"))
+                      F.array_join(_commit_texts("original_commits"), "\n").alias("commits"))
 
 
 @query("h14_changed_files", oracle="""
@@ -269,38 +271,54 @@ def balanced_draw(t):
 
 @query("h16_example_records", oracle=f"""
     WITH RECURSIVE {CHAIN_CTE},
-    picked AS (SELECT a.repo, a.sha AS head_commit, b.sha AS base_commit, b.pos - a.pos AS n_commits
+    picked AS (SELECT a.repo, a.sha AS head_commit, b.sha AS base_commit, a.pos AS head_pos, b.pos AS base_pos,
+                   b.pos - a.pos AS n_commits
                FROM chain a JOIN chain b ON a.repo = b.repo AND b.pos - a.pos IN (1, 2)),
     first_use AS (SELECT 1 FROM {{heads}} LIMIT 1),
-    d AS (SELECT h.repo, h.sha, e.path, e.diff, x.quality FROM {{history}} h JOIN {{file_diffs}} e ON h.oid = e.ex_id
-          JOIN {{examples}} x ON x.ex_id = e.ex_id),
-    kept AS (SELECT p.repo, p.head_commit, p.n_commits FROM picked p JOIN chain a ON a.repo = p.repo
-             AND a.sha = p.head_commit JOIN chain c ON c.repo = p.repo AND c.pos >= a.pos
-             AND c.pos < a.pos + p.n_commits JOIN history h ON h.repo = c.repo AND h.sha = c.sha
-             AND NOT (h.parent1 IS NOT NULL AND h.parent2 IS NOT NULL) GROUP BY 1, 2, 3)
+    d AS (SELECT h.repo, h.sha, e.path, e.diff, x.quality FROM {{history}} h
+          JOIN {{file_diffs}} e ON h.oid % (SELECT max(doc_id) + 1 FROM documents) = e.ex_id JOIN {{examples}} x ON x.ex_id = e.ex_id),
+    fl AS (SELECT repo, sha, string_agg(path, ';' ORDER BY path) AS files FROM {{history_files}} GROUP BY repo, sha),
+    kept AS (SELECT p.repo, p.head_commit, p.n_commits, string_agg(concat(h.sha, '|', h.subject, '|', coalesce(fl.files, '')),
+                 chr(10) ORDER BY c.pos) AS commits
+             FROM picked p JOIN chain c ON c.repo = p.repo AND c.pos >= p.head_pos AND c.pos < p.base_pos
+             JOIN history h ON h.repo = c.repo AND h.sha = c.sha AND NOT (h.parent1 IS NOT NULL AND h.parent2 IS NOT NULL)
+             LEFT JOIN fl ON fl.repo = h.repo AND fl.sha = h.sha GROUP BY 1, 2, 3),
+    versions AS (SELECT c.repo, c.pos, i.path, i.content FROM {{ignore_versions}} i JOIN chain c ON c.repo = i.repo AND c.sha = i.sha),
+    in_force AS (SELECT p.repo, p.base_pos, v.path, v.content, row_number() OVER (
+                     PARTITION BY p.repo, p.base_pos, v.path ORDER BY v.pos) AS k
+                 FROM (SELECT DISTINCT repo, base_pos FROM picked) p JOIN versions v ON v.repo = p.repo AND v.pos >= p.base_pos),
+    lines AS (SELECT repo, base_pos, path, trim(unnest(string_split(content, chr(10)))) AS line,
+                  generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM in_force WHERE k = 1 AND content IS NOT NULL),
+    rules AS (SELECT repo, base_pos, string_agg(concat(regexp_replace(path, '[^/]*$', ''), line), ';' ORDER BY path, line_no) AS rules
+              FROM lines WHERE line <> '' AND line NOT LIKE '#%' GROUP BY repo, base_pos)
     SELECT concat('repo', CAST(p.repo AS STRING)) AS repo_url, 'main' AS branch, p.base_commit, p.head_commit,
-        CAST(p.n_commits AS BIGINT) AS n_commits, md5(d.diff) AS diff_md5, d.path AS changed_files,
+        CAST(p.n_commits AS BIGINT) AS n_commits, md5(d.diff) AS diff_md5, d.path AS changed_files, k.commits AS original_commits,
+        coalesce(r.rules, '') AS existing_gitignore,
         CASE WHEN d.path LIKE '%.py' THEN 'python' WHEN d.path LIKE '%.js' THEN 'javascript' ELSE 'rust' END
             AS languages
     FROM picked p JOIN kept k ON k.repo = p.repo AND k.head_commit = p.head_commit AND k.n_commits = p.n_commits
-    JOIN d ON d.repo = p.repo AND d.sha = p.head_commit
+    JOIN d ON d.repo = p.repo AND d.sha = p.head_commit LEFT JOIN rules r ON r.repo = p.repo AND r.base_pos = p.base_pos
     WHERE length(d.diff) <= 8000 AND NOT coalesce(d.quality = 0, FALSE)""")
 def example_records(t):
     chain = _chain(t)
     ranges = H.default_branch_ranges(chain, max_commits=2)
-    by_head = t.sql("""
+    # Every commit has the diff of some document.
+    size = t.documents.agg(F.max("doc_id") + 1).first()[0]
+    by_head = t.sql(f"""
         SELECT h.repo, h.sha AS head_commit, e.diff, coalesce(x.quality = 0, false) AS has_binary
-        FROM {history} h JOIN {file_diffs} e ON h.oid = e.ex_id JOIN {examples} x ON x.ex_id = e.ex_id""")
+        FROM {{history}} h JOIN {{file_diffs}} e ON h.oid % {size} = e.ex_id JOIN {{examples}} x ON x.ex_id = e.ex_id""")
     diffs = ranges.select("repo", "base_commit", "head_commit").join(by_head, ["repo", "head_commit"])
     originals = H.original_commits(ranges, chain, _commits(t), t.history_files)
-    ignores = t.history.select("repo", "sha", F.array(F.lit("*.pyc")).alias("existing_gitignore"))
+    bases = ranges.select("repo", F.col("base_commit").alias("sha"), (F.col("head_pos") + F.col("n_commits")).alias("pos"))
+    ignores = H.ignore_rules_at(bases, t.ignore_versions, chain)
     repos = t.heads.select(
         "repo", F.concat(F.lit("repo"), F.col("repo").cast("string")).alias("remote_url"), F.lit("main").alias("branch"))
     out = H.assemble_examples(ranges, diffs, originals, ignores, repos, max_chars=8000)
     return out.select(
         "repo_url", "branch", "base_commit", "head_commit", F.col("n_commits").cast("bigint").alias("n_commits"),
         F.md5("diff").alias("diff_md5"), F.array_join("changed_files", ";").alias("changed_files"),
-        F.array_join("languages", ",").alias("languages"))
+        F.array_join(_commit_texts("original_commits"), "\n").alias("original_commits"),
+        F.array_join("existing_gitignore", ";").alias("existing_gitignore"), F.array_join("languages", ",").alias("languages"))
 
 
 @query("h17_dataset_totals", oracle="""

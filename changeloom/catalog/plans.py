@@ -90,6 +90,25 @@ def dependent_splits(t):
     return P.dependent_splits(t.hunk_ranges)
 
 
+@query("c7_nearest_conflicts", oracle="""
+    WITH r AS (SELECT *, start_line + greatest(line_count - 1, 0) AS end_line FROM {hunk_ranges}),
+    pairs AS (
+        SELECT a.plan, a.file, a.commit_ix AS c_a, a.pos AS p_a, b.commit_ix AS c_b, b.pos AS p_b, a.end_line AS reach,
+            b.start_line AS later, greatest(b.start_line - a.end_line, a.start_line - b.end_line) AS gap
+        FROM r a JOIN r b ON a.plan = b.plan AND a.file = b.file AND a.commit_ix <> b.commit_ix
+            AND (a.start_line < b.start_line OR (a.start_line = b.start_line AND a.pos < b.pos))
+        WHERE b.start_line - a.end_line <= 3),
+    before AS (SELECT *, row_number() OVER (PARTITION BY plan, file, p_b ORDER BY reach DESC, p_a) AS k FROM pairs),
+    after AS (SELECT *, row_number() OVER (PARTITION BY plan, file, p_a ORDER BY later, p_b) AS k FROM pairs)
+    SELECT coalesce(x.plan, y.plan) AS plan, coalesce(x.file, y.file) AS file, coalesce(x.c_b, y.c_a) AS commit_ix,
+        coalesce(x.p_b, y.p_a) AS pos, x.c_a AS before_commit, x.p_a AS before_pos, y.c_b AS after_commit, y.p_b AS after_pos,
+        CAST(least(coalesce(x.gap, y.gap), coalesce(y.gap, x.gap)) AS BIGINT) AS gap
+    FROM (SELECT * FROM before WHERE k = 1) x FULL JOIN (SELECT * FROM after WHERE k = 1) y
+        ON x.plan = y.plan AND x.file = y.file AND x.p_b = y.p_a""")
+def nearest_conflicts(t):
+    return P.nearest_conflicts(t.hunk_ranges)
+
+
 CLAIMED = """
     SELECT ex_id % 50 AS plan, ex_id % 3 AS commit_ix, CASE ex_id % 6 WHEN 0 THEN concat(file_path, '::9')
         WHEN 1 THEN concat(file_path, '-gone::1') WHEN 2 THEN 'loose' ELSE hunk_id END AS hunk_id, ex_id

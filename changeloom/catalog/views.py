@@ -61,6 +61,12 @@ VIEWS: dict[str, str] = {
         SELECT h.repo, h.sha FROM {history} h JOIN (SELECT repo, min(topo_pos) AS topo_pos FROM {history} GROUP BY repo) n
         ON h.repo = n.repo AND h.topo_pos = n.topo_pos""",
     # Files per commit.
+    # What a commit leaves in the .gitignore files that it changes; NULL is a removed file.
+    "ignore_versions": """
+        SELECT repo, sha, CASE WHEN oid % 11 % 2 = 0 THEN '.gitignore' ELSE 'lib/core/.gitignore' END AS path,
+            CASE WHEN oid % 13 <> 5 THEN concat('# ', subject, chr(10), ' *.x', CAST(oid % 17 AS STRING), ' ', chr(10), chr(10),
+                'out', CAST(oid % 5 AS STRING), '/') END AS content
+        FROM {history} h WHERE oid % 7 IN (1, 4)""",
     "history_files": """
         SELECT DISTINCT h.repo, h.sha, p.path
         FROM {history} h JOIN {lineitem} l ON l.l_orderkey = h.oid JOIN {paths} p ON l.l_partkey = p.p_partkey""",

@@ -59,18 +59,18 @@ def _carried(blocks: DataFrame, key: str, block: str, kinds: Sequence[str], n: i
     """``_c0``, ...: what all earlier blocks of the key add up to, for the first ``n`` totals; of the others, the whole key's."""
     whole = Window.partitionBy(key)
     earlier = whole.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    return blocks.select("*", *[getattr(F, kind)(f"_t{i}").over(earlier if i < n else whole).alias(f"_c{i}")
+    return blocks.select("*", *[getattr(F, kind)(f"_scan_t{i}").over(earlier if i < n else whole).alias(f"_scan_c{i}")
                                 for i, kind in enumerate(kinds)])
 
 
 def _carried_in_groups(blocks: DataFrame, kinds: Sequence[str], n: int) -> DataFrame:
     """The same without a key: groups of blocks are chained, and the blocks within each group."""
-    grouped = blocks.withColumn("_group", F.struct(F.floor(F.col("_b") / GROUP_BLOCKS).alias("g")))
-    groups = grouped.groupBy("_group", "_key").agg(*[getattr(F, kind)(f"_t{i}").alias(f"_t{i}") for i, kind in enumerate(kinds)])
-    outer = _carried(groups, "_key", "_group", kinds, n).select(F.col("_group").alias("_in"), *[
-        F.col(f"_c{i}").alias(f"_o{i}") for i in range(len(kinds))])
-    inner = _carried(grouped, "_group", "_b", kinds, n).join(outer, F.col("_group") == F.col("_in"))
-    return inner.withColumns({f"_c{i}": _combined(kind, F.col(f"_o{i}"), F.col(f"_c{i}")) if i < n else F.col(f"_o{i}")
+    grouped = blocks.withColumn("_scan_group", F.struct(F.floor(F.col("_scan_b") / GROUP_BLOCKS).alias("g")))
+    groups = grouped.groupBy("_scan_group", "_scan_key").agg(*[getattr(F, kind)(f"_scan_t{i}").alias(f"_scan_t{i}") for i, kind in enumerate(kinds)])
+    outer = _carried(groups, "_scan_key", "_scan_group", kinds, n).select(F.col("_scan_group").alias("_scan_in"), *[
+        F.col(f"_scan_c{i}").alias(f"_scan_o{i}") for i in range(len(kinds))])
+    inner = _carried(grouped, "_scan_group", "_scan_b", kinds, n).join(outer, F.col("_scan_group") == F.col("_scan_in"))
+    return inner.withColumns({f"_scan_c{i}": _combined(kind, F.col(f"_scan_o{i}"), F.col(f"_scan_c{i}")) if i < n else F.col(f"_scan_o{i}")
                               for i, kind in enumerate(kinds)})
 
 
@@ -90,25 +90,25 @@ def scanned(df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[C
     values = [v for v, *_ in running.values()] + [v for v, _ in totals.values()]
     n = len(running)
     key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.lit(0).alias("k"))
-    cells = df.select("*", F.struct(key.alias("key"), block.alias("b")).alias("_cell"), *[
-        v.alias(f"_v{i}") for i, v in enumerate(values)]).repartition("_cell")
+    cells = df.select("*", F.struct(key.alias("key"), block.alias("b")).alias("_scan_cell"), *[
+        v.alias(f"_scan_v{i}") for i, v in enumerate(values)]).repartition("_scan_cell")
     touched = _touched(cells)
-    blocks = cells.groupBy("_cell").agg(F.max(touched).alias("_touched"), *[
-        getattr(F, kind)(f"_v{i}").alias(f"_t{i}") for i, kind in enumerate(kinds)])
-    carried = blocks.select(F.col("_cell").alias("_at"), "_touched", F.col("_cell.key").alias("_key"), F.col("_cell.b").alias("_b"),
-                            *[f"_t{i}" for i in range(len(kinds))])
+    blocks = cells.groupBy("_scan_cell").agg(F.max(touched).alias("_scan_touched"), *[
+        getattr(F, kind)(f"_scan_v{i}").alias(f"_scan_t{i}") for i, kind in enumerate(kinds)])
+    carried = blocks.select(F.col("_scan_cell").alias("_scan_at"), "_scan_touched", F.col("_scan_cell.key").alias("_scan_key"), F.col("_scan_cell.b").alias("_scan_b"),
+                            *[f"_scan_t{i}" for i in range(len(kinds))])
     # Without a key the number of blocks grows with the data, unless they come from a hash.
-    growing = not keys and isinstance(blocks.schema["_cell"].dataType["b"].dataType, (T.LongType, T.IntegerType))
-    carried = _carried_in_groups(carried, kinds, n) if growing else _carried(carried, "_key", "_b", kinds, n)
-    carried = carried.withColumnRenamed("_touched", "_most")
-    out = cells.join(carried, (F.col("_cell") == F.col("_at")) & (touched <= F.col("_most")))
+    growing = not keys and isinstance(blocks.schema["_scan_cell"].dataType["b"].dataType, (T.LongType, T.IntegerType))
+    carried = _carried_in_groups(carried, kinds, n) if growing else _carried(carried, "_scan_key", "_scan_b", kinds, n)
+    carried = carried.withColumnRenamed("_scan_touched", "_scan_most")
+    out = cells.join(carried, (F.col("_scan_cell") == F.col("_scan_at")) & (touched <= F.col("_scan_most")))
     for i, (name, (_, kind, until)) in enumerate(running.items()):
-        window = Window.partitionBy("_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, until)
-        out = out.withColumn(f"_r{i}", getattr(F, kind)(f"_v{i}").over(window))
-        out = out.withColumn(f"_r{i}", _combined(kind, F.col(f"_r{i}"), F.col(f"_c{i}")))
+        window = Window.partitionBy("_scan_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, until)
+        out = out.withColumn(f"_scan_r{i}", getattr(F, kind)(f"_scan_v{i}").over(window))
+        out = out.withColumn(f"_scan_r{i}", _combined(kind, F.col(f"_scan_r{i}"), F.col(f"_scan_c{i}")))
     return out.select(*[c for c in df.columns if c not in running and c not in totals],
-                      *[F.col(f"_r{i}").alias(name) for i, name in enumerate(running)],
-                      *[F.col(f"_c{i}").alias(name) for i, name in enumerate(totals, n)])
+                      *[F.col(f"_scan_r{i}").alias(name) for i, name in enumerate(running)],
+                      *[F.col(f"_scan_c{i}").alias(name) for i, name in enumerate(totals, n)])
 
 
 def numbered(df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[Column], name: str,

@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 
 from changeloom.functions import constants as K
 from changeloom.functions.jsontext import let
-from changeloom.functions.scale import first_row, position_block, preceding_values, sum_before
+from changeloom.functions.scale import first_row, position_block, preceding_values, scanned, sum_before
 from changeloom.functions.text import (as_col, base_name, count_of, split_before, split_lines, split_lines_keep_ends,
                                        strip, truncate, unusual_breaks)
 
 _BREAKS = "\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x85\\u2028\\u2029"
 _LINE_START = f"(?:^|(?<=[{_BREAKS}]))"
-_AT_MARK = f"(?<=[{_BREAKS}])(?=@@|diff --git|index |--- |\\+\\+\\+ )"
+_AT_HEADER = f"(?<=[{_BREAKS}])(?=diff --git|index |--- |\\+\\+\\+ )"
 _AT_HUNK = f"(?<=[{_BREAKS}])(?=@@)"
 _AT_FILE = f"(?<=[{_BREAKS}])(?=diff --git)"
 # Prefixes of header lines and of hunk lines.
@@ -30,27 +30,60 @@ _RANGE = "^@@ -\\d+(?:,(\\d+))? \\+\\d+(?:,(\\d+))? @@"
 # -- splitting ---------------------------------------------------------------------------------------------------
 
 
+def _with_headers(cuts: Column) -> Column:
+    """Hunk texts from cuts of a diff, struct<body, rest, restarts>, one per ``@@`` line and one for what comes before the first.
+
+    ``rest`` is what follows a hunk up to the next one, header lines; where it ``restarts``, headers before it are forgotten.
+    Headers change at the cuts with a rest only: those positions are found first, then the bodies between two of them are
+    sliced out and get their header in front.  No array is copied for each hunk.
+    """
+
+    def up_to_next(array, i, field, last):
+        return F.coalesce(field(F.get(array, i + 1)), last)
+
+    def from_headers(marks):
+        restarts = F.filter(F.transform(marks, lambda m, i: F.when((i == 0) | m["restarts"], i)), lambda i: i.isNotNull())
+        runs = let(restarts, lambda at: F.transform(at, lambda r, i: F.slice(
+            marks, r + 1, up_to_next(at, i, lambda x: x, F.size(marks)) - r)))
+        heads = F.flatten(F.transform(runs, lambda run: F.transform(run, lambda m, i: F.struct(
+            m["at"].alias("at"), F.array_join(F.slice(run["rest"], F.lit(1), i + 1), "").alias("header")))))
+        return let(heads, lambda heads: F.flatten(F.transform(heads, lambda h, i: F.transform(
+            F.slice(cuts, h["at"] + 2, up_to_next(heads, i, lambda x: x["at"], F.size(cuts) - 1) - h["at"]),
+            lambda cut: F.concat(h["header"], cut["body"])))))
+
+    marked = F.transform(cuts, lambda cut, i: F.when((i == 0) | (cut["rest"] != ""), F.struct(
+        i.alias("at"), cut["rest"].alias("rest"), cut["restarts"].alias("restarts"))))
+    return let(F.filter(marked, lambda m: m.isNotNull()), from_headers)
+
+
 def split_hunks_compat(diff: Column | str) -> Column:
     """Hunks of a single-file diff by line prefixes alone; each is preceded by all header lines seen so far."""
     diff = as_col(diff)
-    start = F.struct(F.lit("").alias("header"), F.array().cast("array<string>").alias("hunks"))
 
-    def step(state, piece):
-        header, hunks = state["header"], state["hunks"]
-        is_hunk = piece.startswith("@@")
-        return F.struct(
-            F.when(is_hunk, header).otherwise(F.concat(header, piece)).alias("header"),
-            F.when(is_hunk, F.concat(hunks, F.array(F.concat(header, piece)))).otherwise(hunks).alias("hunks"))
+    def cut(piece, i):
+        # Header lines after a hunk, and what follows them, belong to the header.
+        parts = split_before(piece, _MARKS[1:], _AT_HEADER)
+        return let(parts, lambda parts: F.struct(
+            F.when(piece.startswith("@@"), parts[0]).otherwise("").alias("body"),
+            F.when(piece.startswith("@@"), F.array_join(F.slice(parts, F.lit(2), F.size(parts)), "")).otherwise(piece).alias("rest"),
+            F.lit(False).alias("restarts")))
+
+    return _hunks_or_all(diff, cut)
+
 
-    found = F.aggregate(split_before(diff, _MARKS, _AT_MARK), start, step, lambda state: state["hunks"])
-    return let(found, lambda hunks: F.when(F.size(hunks) > 0, hunks).otherwise(F.array(diff)))
+def _hunks_or_all(diff: Column, cut) -> Column:
+    """Hunks of the diff, or the whole diff where it has none."""
+    none = F.struct(F.lit("").alias("body"), F.lit("").alias("rest"), F.lit(False).alias("restarts"))
+    pieces = split_before(diff, ["@@"], _AT_HUNK)
+    cuts = let(pieces, lambda p: F.concat(F.when(p[0].startswith("@@"), F.array(none)).otherwise(F.array()), F.transform(p, cut)))
+    return let(let(cuts, _with_headers), lambda hunks: F.when(F.size(hunks) > 0, hunks).otherwise(F.array(diff)))
 
 
-def _last_file(header: Column, text: Column) -> Column:
-    """Header after more header lines: a new ``diff --git`` starts over."""
-    restarted = let(F.element_at(split_before(text, ["diff --git"], _AT_FILE), -1), lambda last: F.when(
-        last.startswith("diff --git"), last).otherwise(F.concat(header, text)))
-    return F.when(text == "", header).otherwise(restarted)
+def _file_header(text: Column) -> Column:
+    """struct<rest, restarts>: header lines from the last ``diff --git`` on, if there is one."""
+    last = F.element_at(split_before(text, ["diff --git"], _AT_FILE), -1)
+    return let(last, lambda last: F.struct(F.when(last.startswith("diff --git"), last).otherwise(text).alias("rest"),
+                                           last.startswith("diff --git").alias("restarts")))
 
 
 def _body_lines(lines: Column, old: Column, new: Column) -> Column:
@@ -78,31 +111,26 @@ def split_hunks(diff: Column | str) -> Column:
     the body.
     """
     diff = as_col(diff)
-    start = F.struct(F.lit("").alias("header"), F.array().cast("array<string>").alias("hunks"))
 
     def count(line, group):
         text = F.regexp_extract(line, _RANGE, group)
         return F.when(text == "", 1).otherwise(text.cast("int"))
 
-    def hunk(state, piece):
-        def cut(lines):
-            counted = _body_lines(F.slice(lines, F.lit(2), F.greatest(F.size(lines), F.lit(1))), count(lines[0], 1),
-                                  count(lines[0], 2)) + 1
-            keep = F.when(lines[0].rlike(_RANGE), counted).otherwise(F.size(lines))
-            return let(keep, lambda n: F.struct(
-                F.array_join(F.slice(lines, F.lit(1), n), "").alias("body"),
-                F.array_join(F.slice(lines, n + 1, F.size(lines)), "").alias("rest")))
+    def parts(lines):
+        counted = _body_lines(F.slice(lines, F.lit(2), F.greatest(F.size(lines), F.lit(1))), count(lines[0], 1),
+                              count(lines[0], 2)) + 1
+        keep = F.when(lines[0].rlike(_RANGE), counted).otherwise(F.size(lines))
+        return let(keep, lambda n: F.struct(
+            F.array_join(F.slice(lines, F.lit(1), n), "").alias("body"),
+            F.array_join(F.slice(lines, n + 1, F.size(lines)), "").alias("rest")))
 
-        return let(let(split_lines_keep_ends(piece), cut), lambda part: F.struct(
-            _last_file(state["header"], part["rest"]).alias("header"),
-            F.concat(state["hunks"], F.array(F.concat(state["header"], part["body"]))).alias("hunks")))
+    def cut(piece, i):
+        whole = F.struct(F.lit("").alias("body"), piece.alias("rest"))
+        found = F.when(piece.startswith("@@"), let(split_lines_keep_ends(piece), parts)).otherwise(whole)
+        return let(found, lambda part: let(_file_header(part["rest"]), lambda header: F.struct(
+            part["body"].alias("body"), header["rest"].alias("rest"), header["restarts"].alias("restarts"))))
 
-    def step(state, piece):
-        header_only = F.struct(_last_file(state["header"], piece).alias("header"), state["hunks"].alias("hunks"))
-        return F.when(piece.startswith("@@"), hunk(state, piece)).otherwise(header_only)
-
-    found = F.aggregate(split_before(diff, ["@@"], _AT_HUNK), start, step, lambda state: state["hunks"])
-    return let(found, lambda hunks: F.when(F.size(hunks) > 0, hunks).otherwise(F.array(diff)))
+    return _hunks_or_all(diff, cut)
 
 
 def is_binary_diff(diff: Column | str) -> Column:
@@ -279,22 +307,40 @@ def search_diff(diffs: DataFrame, pattern: str, context: int = 2, order: Sequenc
     return diffs.select(*rest, F.inline(let(split_lines("diff"), matches))).orderBy(*order, "line_number").limit(limit)
 
 
+def _ended(text: Column) -> Column:
+    return F.when((text == "") | text.endswith("\n"), text).otherwise(F.concat(text, F.lit("\n")))
+
+
 def combined_patches(hunks: DataFrame, keys: Sequence[str], position: str = "hunk_no") -> DataFrame:
     """One patch per key (commit and file): hunks by old start, the header once, bodies from ``@@`` on."""
     start = F.coalesce(old_range("patch")["start"], F.lit(0))
     sorted_patches = F.sort_array(F.collect_list(F.struct(start.alias("s"), F.col(position).alias("p"), "patch")))
 
-    def ended(text):
-        return F.when((text == "") | text.endswith("\n"), text).otherwise(F.concat(text, F.lit("\n")))
-
     def body(item):
-        return ended(F.regexp_extract(item["patch"], f"(?s){_LINE_START}@@.*", 0))
+        return _ended(F.regexp_extract(item["patch"], f"(?s){_LINE_START}@@.*", 0))
 
     grouped = hunks.groupBy(*keys).agg(sorted_patches.alias("_h"))
     first = F.col("_h")[0]["patch"]
     rest = F.array_join(F.transform(F.slice("_h", 2, 2**30), body), "")
     return grouped.select(*keys, F.size("_h").alias("n_hunks"), F.when(F.size("_h") == 1, first).otherwise(
-        F.concat(ended(first), rest)).alias("patch"))
+        F.concat(_ended(first), rest)).alias("patch"))
+
+
+def patch_pieces(hunks: DataFrame, keys: Sequence[str], position: str = "hunk_no", block_lines: int = 65536) -> DataFrame:
+    """The pieces of ``combined_patches`` as rows (keys, piece_no, n_hunks, piece), one per hunk: read in order, they are the patch.
+
+    Hunks are numbered by old start within blocks of lines, so no task holds a key's texts together and a patch may be of
+    any size.  Hunks of the same start go by ``position``.
+    """
+    start = F.coalesce(old_range("patch")["start"], F.lit(0))
+    one = F.lit(1).cast("bigint")
+    keys = list(keys)
+    placed = scanned(hunks.select(*keys, F.col(position).alias("_pos"), "patch", start.alias("_start")), keys,
+                     position_block("_start", block_lines), [F.col("_start"), F.col("_pos")], {"piece_no": (one, "sum", 0)},
+                     {"n_hunks": (one, "sum")})
+    piece = F.when(F.col("n_hunks") == 1, F.col("patch")).when(F.col("piece_no") == 1, _ended(F.col("patch"))).otherwise(
+        _ended(F.regexp_extract("patch", f"(?s){_LINE_START}@@.*", 0)))
+    return placed.select(*keys, "piece_no", "n_hunks", piece.alias("piece"))
 
 
 def ordered_union(values: DataFrame, keys: Sequence[str] = (), value: str = "value", source: str = "source_rank",

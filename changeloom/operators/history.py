@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from itertools import groupby
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changeloom.functions import constants as K
-from changeloom.functions.scale import first_row, first_rows, hash_block, numbered, position_block
+from changeloom.functions.scale import BLOCK_ROWS, first_row, first_rows, hash_block, numbered, position_block
 from changeloom.functions.text import (LINE_BREAK, as_col, base_name, parent_dir, seeded_hash, split_lines,
                                        strip, suffix)
 from changeloom.session import durable
@@ -117,6 +123,9 @@ def gate_reason(n_files: Column, has_binary: Column, n_chars: Column, max_files:
     )
 
 
+# Blocks of one repository's candidates in a draw: 16 ** 2.
+REPO_DIGITS = 2
+
 # -- commits -----------------------------------------------------------------------------------------------------
 
 
@@ -130,31 +139,94 @@ def commit_pool(commits: DataFrame, repo: str = "repo", position: str = "topo_po
     return first_rows(commits, [repo], position_block(position), [F.col(position)], cap, "_n").drop("_n")
 
 
-def first_parent_chain(commits: DataFrame, heads: DataFrame, repo: str = "repo", sha: str = "sha",
-                       first_parent: str = "parent1", cap: int = K.FIRST_PARENT_CAP) -> DataFrame:
-    """Walk first parents from each head by pointer doubling: (repo, head, sha, pos), at most ``cap`` per head.
+def _walked(cap: int):
+    """Arrow task of ``first_parent_chain``: rows come by (repo, block), the commits of a block before the walks that enter it."""
+    most = 1 << 17
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, commits, index = None, [], None
+        for batch in batches:
+            first = 0
+            sorted_by = zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)
+            for (*block, walks), group in groupby(sorted_by):
+                end = first + sum(1 for _ in group)
+                if block != here:
+                    here, commits, index = block, [], None
+                if not walks:
+                    commits.append([batch.column(c).slice(first, end - first) for c in (3, 4, 5)])
+                elif commits:
+                    index = index or _block_index(commits)
+                    yield from walk(*index, batch.slice(first, end - first))
+                first = end
+
+    def walk(place: dict, shas: pa.Array, ups: pa.Array, up: np.ndarray, up_block: np.ndarray, entering: pa.RecordBatch):
+        who = np.arange(entering.num_rows)
+        at = np.array([place[s] for s in entering.column(3).to_pylist()])
+        pos = entering.column(7).to_numpy()
+        rows: list[tuple] = []
+        while len(at):
+            rows.append((who, at, pos, False))
+            after = pos + 1
+            inside, leaving = (after < cap) & (up[at] >= 0), (after < cap) & (up[at] < 0) & (up_block[at] >= 0)
+            if leaving.any():
+                rows.append((who[leaving], at[leaving], after[leaving], True))
+            who, at, pos = who[inside], up[at[inside]], after[inside]
+            if sum(len(r[0]) for r in rows) > most:
+                yield from emit(rows, shas, ups, up_block, entering)
+                rows = []
+        yield from emit(rows, shas, ups, up_block, entering)
+
+    def emit(rows: list[tuple], shas: pa.Array, ups: pa.Array, up_block: np.ndarray, entering: pa.RecordBatch):
+        for who, at, pos, leaves in rows:
+            who, at = pa.array(who), pa.array(at)
+            yield pa.RecordBatch.from_arrays(
+                [entering.column(0).take(who), entering.column(6).take(who), (ups if leaves else shas).take(at), pa.array(pos, pa.int32()),
+                 pa.array(up_block[at.to_numpy()] if leaves else np.zeros(len(at)), pa.int64(), mask=np.full(len(at), not leaves))],
+                names=["repo", "head", "sha", "pos", "next_block"])
+
+    return run
+
+
+def _block_index(commits: list) -> tuple:
+    shas, ups, up_block = (pa.concat_arrays([part[c] for part in commits]) for c in range(3))
+    names = shas.to_pylist()
+    place = {s: i for i, s in enumerate(names)}
+    up = np.array([-1 if u is None else place.get(u, -1) for u in ups.to_pylist()])
+    return place, shas, ups, up, up_block.fill_null(-1).to_numpy()
 
-    Round k joins every reached commit to its ancestor 2**k steps back, so 500 steps take nine rounds.  The jump
-    table is cut from its lineage each round, as it is used twice by the next one.
+
+def first_parent_chain(commits: DataFrame, heads: DataFrame, repo: str = "repo", sha: str = "sha",
+                       first_parent: str = "parent1", cap: int = K.FIRST_PARENT_CAP, position: str = "topo_pos",
+                       block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Walk first parents from each head: (repo, head, sha, pos), at most ``cap`` commits per head.
+
+    The commits of a repository are cut into blocks of their topological position (an integer), in which parents follow
+    children closely.  A walk goes on within its block without any join, all walks of a block together; only a walk that
+    leaves for an older block is handed on to the next round.  So there are as many rounds as blocks that the longest walk
+    crosses, and only blocks that a walk enters are read.  A walk ends at a commit whose parent isn't stored.
     """
-    jump = commits.where(F.col(first_parent).isNotNull()).select(
-        F.col(repo).alias("_repo"), F.col(sha).alias("_from"), F.col(first_parent).alias("_to"))
-    reached = heads.select(repo, F.col("head"), F.col("head").alias(sha), F.lit(0).alias("pos"))
-    step = 1
-    while step < cap:
-        ahead = reached.join(jump, (F.col(repo) == F.col("_repo")) & (F.col(sha) == F.col("_from"))).select(
-            repo, "head", F.col("_to").alias(sha), (F.col("pos") + step).alias("pos")).where(F.col("pos") < cap)
-        grown = durable(reached.unionByName(ahead))
-        step *= 2
-        if step < cap:
-            left, right = jump.alias("l"), jump.alias("r")
-            jump = durable(
-                left.join(right, (F.col("l._repo") == F.col("r._repo")) & (F.col("l._to") == F.col("r._from")))
-                .select("l._repo", "l._from", "r._to"))
-            if jump.isEmpty():
-                return grown
-        reached = grown
-    return reached
+    placed = commits.select(F.col(repo).alias("repo"), F.col(sha).alias("sha"), F.col(first_parent).alias("up"),
+                            position_block(position, block_rows).alias("block"))
+    homes = placed.select(F.col("repo").alias("_repo"), F.col("sha").alias("_sha"), F.col("block").alias("up_block"))
+    graph = durable(placed.join(homes, (F.col("repo") == F.col("_repo")) & (F.col("up") == F.col("_sha")), "left").select(
+        "repo", "block", "sha", "up", "up_block"))
+    starts = heads.select(F.col(repo).alias("repo"), F.col("head"), F.col("head").alias("sha"))
+    entering = starts.join(graph, ["repo", "sha"]).select("repo", "block", "head", "sha", F.lit(0).alias("pos"))
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+    kind = commits.schema[repo].dataType.simpleString()
+    found = []
+    while True:
+        blocks = entering.select("repo", "block").distinct()
+        rows = graph.join(blocks, ["repo", "block"], "left_semi").select(
+            "repo", "block", F.lit(False).alias("walks"), "sha", "up", "up_block", text.alias("head"), F.lit(None).cast("int").alias("pos"),
+        ).unionByName(entering.select("repo", "block", F.lit(True).alias("walks"), "sha", text.alias("up"), number.alias("up_block"),
+                                      "head", "pos"))
+        steps = durable(rows.repartition("repo", "block").sortWithinPartitions("repo", "block", "walks").mapInArrow(
+            _walked(cap), f"repo {kind}, head string, sha string, pos int, next_block bigint"))
+        found.append(steps.where("next_block IS NULL").select(F.col("repo").alias(repo), "head", F.col("sha").alias(sha), "pos"))
+        entering = steps.where("next_block IS NOT NULL").withColumnRenamed("next_block", "block")
+        if entering.isEmpty():
+            return reduce(DataFrame.unionByName, found)
 
 
 def chain_of_length(chain: DataFrame, length: int) -> DataFrame:
@@ -198,7 +270,7 @@ def balanced_draw(candidates: DataFrame, count: int, repo: str = "repo", draw: s
     are taken while they fit, and only the level in which the count runs out is ranked by hash, block by block.
     """
     limit = count if max_per_repo is None else min(count, max_per_repo)
-    picked = first_rows(candidates, [repo], hash_block(draw), [F.col(draw)], limit, "pick")
+    picked = first_rows(candidates, [repo], hash_block(draw, REPO_DIGITS), [F.col(draw)], limit, "pick")
     # At most ``limit`` rows, whatever the number of candidates.
     levels = picked.groupBy("pick").agg(F.count(F.lit(1)).alias("_rows")).withColumn(
         "_start", F.coalesce(F.sum("_rows").over(Window.orderBy("pick").rowsBetween(Window.unboundedPreceding, -1)),
@@ -263,6 +335,34 @@ def gitignore_arrays(rules: DataFrame) -> DataFrame:
         "repo", "sha", F.col("_rules.pattern").alias("existing_gitignore"))
 
 
+def gitignore_patterns(path: Column | str, content: Column | str) -> Column:
+    """Rules of one .gitignore file as an array, prefixed with the file's directory."""
+    folder = parent_dir(path)
+    rules = F.filter(F.transform(split_lines(content), strip), lambda r: (r != "") & ~r.startswith("#"))
+    return F.when(folder == "", rules).otherwise(F.transform(rules, lambda r: F.concat(folder, F.lit("/"), r)))
+
+
+def ignore_rules_at(bases: DataFrame, versions: DataFrame, chain: DataFrame, repo: str = "repo", bucket: int = 64) -> DataFrame:
+    """(repo, sha, existing_gitignore): the ignore rules in force at base commits.
+
+    An as-of join along the first-parent chain.  ``versions`` (repo, sha, path, content) tells for each commit which .gitignore
+    files it left changed, NULL for a removed one; ``chain`` (repo, sha, pos) counts from the newest commit.  A version is in
+    force from its own commit up to the one before the next version of that path, an interval of positions.  ``bases`` (repo, sha,
+    pos) look up the intervals that hold their position, by bucket, so that only what is in force is formed; rules are
+    parsed once per version.  Files go by path, rules by line.  A base without rules has no row.
+    """
+    placed = versions.where(base_name("path") == ".gitignore").join(chain.select(repo, "sha", "pos"), [repo, "sha"]).select(
+        repo, "path", "pos", F.when(F.col("content").isNotNull(), gitignore_patterns("path", "content")).alias("rules"))
+    newer = F.lag("pos").over(Window.partitionBy(repo, "path").orderBy("pos"))
+    spans = placed.withColumn("_from", F.coalesce(newer + 1, F.lit(0))).where("rules IS NOT NULL").select(
+        repo, "path", "rules", "_from", F.col("pos").alias("_to"))
+    bucketed = spans.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_from") / bucket), F.floor(F.col("_to") / bucket))))
+    asked = bases.select(repo, "sha", "pos").distinct().withColumn("_bucket", F.floor(F.col("pos") / bucket))
+    held = asked.join(bucketed, [repo, "_bucket"]).where(F.col("pos").between(F.col("_from"), F.col("_to")))
+    return held.groupBy(repo, "sha").agg(F.sort_array(F.collect_list(F.struct("path", "rules"))).alias("_files")).select(
+        repo, "sha", F.flatten("_files.rules").alias("existing_gitignore"))
+
+
 # -- statistics --------------------------------------------------------------------------------------------------
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from changeloom.functions.constants import CONTEXT_LINES
 from changeloom.functions.jsontext import let
-from changeloom.functions.scale import first_row
+from changeloom.functions.scale import first_row, position_block, scanned
 from changeloom.functions.text import as_col, split_lines, strip
 from changeloom.operators.diffs import added_lines, removed_lines
 from changeloom.session import durable
@@ -202,6 +202,54 @@ def dependent_splits(ranges: DataFrame, keys: Sequence[str] = ("plan", "file"),
                         gap.cast("bigint").alias("gap"))
 
 
+def _best_of_another(rows: DataFrame, keys: list[str], block: Column, order: list[Column], value: Column,
+                     commit: str, name: str) -> DataFrame:
+    """Adds the greatest ``value`` (a struct with ``commit_ix``) among the rows before that belong to another commit.
+
+    Two running maxima are enough.  The first is over all rows before.  Whenever a row and that maximum belong to different
+    commits, the smaller of the two is a candidate; the greatest candidate is the best one outside the maximum's own commit,
+    as the maximum of another commit that it displaced is a candidate, too.
+    """
+    valued = scanned(rows.withColumn("_value", value), keys, block, order, {"_top": (F.col("_value"), "max", -1)})
+    other = F.when(F.col("_value.commit_ix") != F.col("_top.commit_ix"), F.least("_value", "_top"))
+    second = scanned(valued, keys, block, order, {"_second": (other, "max", 0)})
+    # The candidate made by the row itself counts only if it isn't the row's own value.
+    own = second.withColumn("_before", F.when(F.col("_top.commit_ix") != F.col(commit), F.col("_top")).otherwise(
+        F.when(F.col("_second.commit_ix") != F.col(commit), F.col("_second"))))
+    return own.withColumnRenamed("_before", name).drop("_value", "_top", "_second")
+
+
+def nearest_conflicts(ranges: DataFrame, keys: Sequence[str] = ("plan", "file"), near: int = CONTEXT_LINES,
+                      block_lines: int = 4096) -> DataFrame:
+    """Hunks whose old range overlaps or nearly touches one of another commit, one row each.
+
+    ``before_*`` is the range that reaches furthest among those that start earlier (by start line, then pos), ``after_*`` the
+    first that starts later; each is NULL if it is not within ``near`` lines.  ``gap`` is the smaller distance, negative
+    where ranges overlap.  The output is linear in the hunks, also where a file's ranges all overlap; ``dependent_splits`` lists
+    all pairs.  A sweep in order of start line, block by block.
+    """
+    keys = list(keys)
+    ends = ranges.select(*keys, "commit_ix", "pos", "start_line", (F.col("start_line") + F.greatest(
+        F.col("line_count") - 1, F.lit(0))).alias("end_line"))
+    block = position_block("start_line", block_lines)
+    reach = F.struct("end_line", (-F.col("pos")).alias("tie"), "commit_ix", "pos", "start_line")
+    begin = F.struct((-F.col("start_line")).alias("up"), (-F.col("pos")).alias("tie"), "commit_ix", "pos", "start_line", "end_line")
+    swept = _best_of_another(ends, keys, block, [F.col("start_line"), F.col("pos")], reach, "commit_ix", "_b")
+    swept = _best_of_another(swept, keys, -block, [F.desc("start_line"), F.desc("pos")], begin, "commit_ix", "_a")
+
+    def gap(early_start, early_end, late_start, late_end):
+        return F.greatest(late_start - early_end, early_start - late_end).cast("bigint")
+
+    start, end = F.col("start_line"), F.col("end_line")
+    before = F.when(start - F.col("_b.end_line") <= near, F.col("_b"))
+    after = F.when(F.col("_a.start_line") - end <= near, F.col("_a"))
+    return swept.withColumn("_b", before).withColumn("_a", after).where("_a IS NOT NULL OR _b IS NOT NULL").select(
+        *keys, "commit_ix", "pos", F.col("_b.commit_ix").alias("before_commit"), F.col("_b.pos").alias("before_pos"),
+        F.col("_a.commit_ix").alias("after_commit"), F.col("_a.pos").alias("after_pos"),
+        F.least(gap(F.col("_b.start_line"), F.col("_b.end_line"), start, end),
+                gap(start, end, F.col("_a.start_line"), F.col("_a.end_line"))).alias("gap"))
+
+
 # -- display and messages ----------------------------------------------------------------------------------------
 
 

@@ -46,6 +46,32 @@ def test_intake_with_a_fresh_checkpoint_loses_and_repeats_nothing(spark, tmp_pat
     assert sorted(r.example_key for r in spark.read.parquet(out).collect()) == ["a", "b", "c", "open"]
 
 
+def test_intake_reads_nothing_back_that_it_wrote(spark, tmp_path, monkeypatch):
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    for i in range(6):
+        write_batch(spark, source, [(f"k{i}", "x"), (f"k{i - 1}", "y"), (f"k{i}", "z")])
+    stream = spark.readStream.schema(KEYS).option("maxFilesPerTrigger", 1).parquet(source)
+    read = []
+    asked = type(spark.read).parquet
+    monkeypatch.setattr(type(spark.read), "parquet", lambda self, *paths, **o: read.append(paths) or asked(self, *paths, **o))
+    query = intake.start_intake(stream, out, checkpoint)
+    query.awaitTermination()
+    assert not read
+    progress = [p for p in query.recentProgress if p.numInputRows]
+    # State grows by the new keys of a batch; a batch updates no more rows than it brings.
+    state = [p.stateOperators[0] for p in progress]
+    assert len(progress) >= 6 and max(s.numRowsUpdated for s in state) <= 2 and state[-1].numRowsTotal == 7
+    assert sorted(r.example_key for r in spark.read.parquet(out).collect()) == sorted(f"k{i}" for i in range(-1, 6))
+    # Another checkpoint meets these keys through the index, and the first one meets the other's.
+    write_batch(spark, f"{source}2", [("k3", "x"), ("new", "y")])
+    second = spark.readStream.schema(KEYS).parquet(f"{source}2")
+    intake.start_intake(second, out, f"{checkpoint}2").awaitTermination()
+    write_batch(spark, source, [("new", "x"), ("k9", "y")])
+    intake.start_intake(stream, out, checkpoint).awaitTermination()
+    assert sorted(r.example_key for r in spark.read.parquet(out).collect()) == sorted(
+        [*(f"k{i}" for i in range(-1, 6)), "new", "k9"])
+
+
 def test_counters_across_batches(spark, tmp_path):
     source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
     ddl = "model string, ok boolean, tokens bigint"
