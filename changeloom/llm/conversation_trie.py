@@ -206,6 +206,7 @@ def subtree_sums(nodes: DataFrame, values: list[str]) -> DataFrame:
     paths = durable(nodes.groupBy("conv_id").agg(
         F.min("depth").alias("top"), F.min(F.struct("depth", "parent_conv_id"))["parent_conv_id"].alias("above"), *sums))
     where = paths.select("conv_id", "top", F.col("above").alias("hangs_on"))
+    paths = paths.select("conv_id", "above", *values)
     trunk = paths.where("above IS NULL").agg(F.min("conv_id")).first()[0]
     # Round k adds what lies 2**k paths further down at most; ``above`` is the path 2**k further up.
     for _ in range(MAX_ROUNDS):
