@@ -163,6 +163,8 @@ class Vocabulary:
             if known is None:
                 known = np.array(self.word(word), "<u4").tobytes()
                 if len(word) <= CACHE_CHARS:
+                    if len(self.seen) >= CACHE_ENTRIES:
+                        self.seen.clear()
                     self.seen[word] = known
             out.append(known)
         return b"".join(out)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changeloom.llm.components import components
-from changeloom.llm.setjoin import (GROUPS, HEAVY, bucket, cluster_links, errors_allowed, first_pairs, in_map, may_match,
+from changeloom.llm.setjoin import (GROUPS, HEAVY, REMEMBERED, bucket, cluster_links, errors_allowed, first_pairs, in_map, may_match,
                                     shared, sketch_of, split_by, verified)
 from changeloom.llm.texts import LOWER, Words, digest, mix, runs, windows
 from changeloom.session import durable
@@ -116,6 +116,8 @@ def _postings(batches: Iterator[pa.RecordBatch], counts: np.ndarray) -> Iterator
             doc_id = ids[row].as_py()
             if not len(tokens) or seen.get(key := digest(tokens), doc_id + 1) <= doc_id:
                 continue
+            if len(seen) >= REMEMBERED:
+                seen.clear()
             seen[key] = doc_id
             sig, shape = signatures(tokens, counts, frequent)
             sigs.append(sig)
@@ -164,8 +166,11 @@ def near_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     owner = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     smallest = owner.groupBy("digest").agg(F.min("doc_id").alias("a"))
     copies = durable(owner.join(smallest, "digest").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct())
+    # An id that several rows share may be a copy with one of them and the first with another.
+    shared_ids = owner.groupBy("doc_id").agg((F.min("digest") < F.max("digest")).alias("several")).where("several")
+    only_copies = copies.select(F.col("b").alias("doc_id")).distinct().join(shared_ids, "doc_id", "left_anti")
     found = shared(known.mapInArrow(partial(_postings, counts=counts), "sig bigint, doc_id bigint, shape bigint"), UNIT,
-                   copies.select(F.col("b").alias("doc_id")))
+                   only_copies)
 
     def fetch(bits):
         wanted = F.arrow_udf(lambda ids: pa.array(in_map(bits, np.asarray(ids))), "boolean")
@@ -191,8 +196,8 @@ def document_components(documents: DataFrame) -> DataFrame:
 
     Words are runs of other characters than white space, A-Z lower-cased; a set holds the distinct five-word shingles, or
     the whole sequence where there are fewer words.  NULL texts and texts without words have an empty set and link with
-    nothing.  One row per input row.  Rows that share a doc_id count as one document; a NULL doc_id links with nothing
-    and has a NULL component.  Other columns of the input are not read.
+    nothing.  One row per input row.  Rows that share a doc_id are one document that links with whatever one of its texts
+    links with; a NULL doc_id links with nothing and has a NULL component.  Other columns of the input are not read.
     """
     rows, linked = near_documents(documents)
     return rows.join(linked, F.col("doc_id") == F.col("v"), "left").select(

@@ -42,6 +42,8 @@ HEAVY, TILE = 128, 512
 DENSE = 12
 # Frequent tokens fall into so many groups.
 GROUPS = 8
+# So many sets are remembered by a task, to leave out equal ones early; then it forgets them, and the shuffle finds the rest.
+REMEMBERED = 100_000
 
 
 def bucket(hashes: np.ndarray) -> np.ndarray:
@@ -121,8 +123,9 @@ def split_by(documents: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 def fetched(units: DataFrame, texts: Callable[[np.ndarray], DataFrame], unit: Sequence[str]) -> DataFrame:
-    """(u, text) of the distinct units u, and of a few others that the bit map lets through."""
-    return texts(bit_map(units)).select(F.struct(*unit).alias("u"), "text").dropDuplicates(["u"])
+    """(u, text) of the distinct units u, and of a few others that the bit map lets through.  A unit that several rows share
+    has all their texts."""
+    return texts(bit_map(units)).select(F.struct(*unit).alias("u"), "text").distinct()
 
 
 def verified(pairs: DataFrame, texts: Callable[[np.ndarray], DataFrame], unit: Sequence[str],
@@ -179,7 +182,9 @@ def _tile(table: pa.Table, sets: Callable[[pa.Array], Iterator[np.ndarray]]) ->
     size = np.array([len(x) for x in kept])
     linked = SHARE * overlaps(kept) >= OF_SUM * (size[:, None] + size[None, :])
     linked &= (size > 0)[:, None] & (size > 0)[None, :]
-    np.fill_diagonal(linked, False)
+    # Texts of one unit don't link with each other.
+    unit = np.unique(np.stack([np.asarray(table[c]) for c in table.column_names if c.startswith("u_")]), axis=1, return_inverse=True)[1]
+    linked &= unit[:, None] != unit[None, :]
     n = len(size)
     earlier = np.where(np.tril(linked).any(axis=1), np.tril(linked).argmax(axis=1), -1)
     root = np.arange(n)
@@ -207,7 +212,7 @@ def cluster_links(heavy: DataFrame, texts: Callable[[np.ndarray], DataFrame], un
     named = components(edges).withColumnRenamed("u", "c")
     # Similar sets have sizes within 4 : 3, so they are at most two size classes apart.
     size = F.floor(F.log(size_of("shape")) / F.lit(float(np.log(1.16)))).cast("bigint")
-    units = durable(heavy.groupBy(F.struct(*unit).alias("u"), node.alias("v")).agg(F.max(size).alias("class")).join(
+    units = durable(heavy.select(F.struct(*unit).alias("u"), node.alias("v"), size.alias("class")).distinct().join(
         named, "v", "left").select("u", F.coalesce("c", "v").alias("cluster"), "class"))
     tiles = units.groupBy("cluster", "class").agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE)).cast("bigint").alias("k"))
     own = F.pmod(F.xxhash64("u", F.lit(1)), F.col("k"))

@@ -15,6 +15,8 @@ import pyarrow as pa
 
 # Texts are worked on in runs of about this many bytes, whatever the size of the batch.  A longer text is its own run.
 RUN_BYTES = 1 << 21
+# Longer stretches of bytes are hashed by BLAKE2: a polynomial modulo 2**64 has equal values for some long regular ones.
+LONG_BYTES = 256
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -28,14 +30,17 @@ _powers: list[np.ndarray] = []
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, for n positions at least."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, RUN_BYTES)
-        steps = [np.full(size, b, np.uint64) for b in (_BASE, _INVERSE)]
-        for step in steps:
-            step[0] = 1
-        _powers[:] = [np.cumprod(step, dtype=np.uint64) for step in steps]
-    return _powers[0], _powers[1]
+    """Powers of the base and of its inverse modulo 2**64, for n positions at least.  Only tables of one run's size are kept."""
+    if _powers and len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    size = max(n, RUN_BYTES + 1)
+    steps = [np.full(size, b, np.uint64) for b in (_BASE, _INVERSE)]
+    for step in steps:
+        step[0] = 1
+        np.cumprod(step, out=step)
+    if size == RUN_BYTES + 1:
+        _powers[:] = steps
+    return steps[0], steps[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -96,8 +101,12 @@ class Words:
         sums = self.prefix_sums(table) if sums is None else sums
         _, inverse = _power_tables(len(self.data) + 1)
         end = self.end if end is None else end
-        length = (end - self.start).astype(np.uint64)
-        return mix((sums[end] - sums[self.start]) * inverse[self.start] + length * np.uint64(0xD6E8FEB86659FD93))
+        size = end - self.start
+        out = mix((sums[end] - sums[self.start]) * inverse[self.start] + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        for i in np.flatnonzero(size > LONG_BYTES).tolist():
+            mapped = table[self.data[self.start[i]:end[i]]].astype(np.uint8)
+            out[i] = int.from_bytes(hashlib.blake2b(mapped, digest_size=8).digest(), "little")
+        return out
 
 
 def windows(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
