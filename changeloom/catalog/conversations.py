@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from changeloom.catalog.registry import query
 from changeloom.operators import conversations as M
+from changeloom.plans import flows
+from changeloom.sources import tables as S
 
 STORE = "(SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS msg_ix FROM {messages})"
 
@@ -125,6 +127,32 @@ def summary_acceptance(t):
     return made.select("conv_id", "turn", chosen.alias("s")).select("conv_id", "turn", "s.level", "s.content")
 
 
+@query("m11_stored_summaries", oracle=f"""
+    WITH s AS {STORE},
+    z AS (SELECT *, length(content) // 4 AS n_tokens, sum(length(content) // 4) OVER (PARTITION BY conv_id) AS total,
+              count(*) OVER (PARTITION BY conv_id) AS n, max(CASE WHEN role = 'tool' THEN msg_ix END) OVER (PARTITION BY conv_id) AS lt FROM s),
+    e AS (SELECT *, coalesce(sum(n_tokens - 40) OVER (PARTITION BY conv_id ORDER BY msg_ix ROWS BETWEEN UNBOUNDED
+              PRECEDING AND 1 PRECEDING), 0) AS saved_before FROM z
+          WHERE n_tokens > 40 AND ((role = 'tool' AND NOT (msg_ix = lt AND n_tokens <= 200)) OR (role = 'user' AND msg_ix = 1))),
+    chosen AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY msg_ix) AS k FROM e WHERE total - saved_before > 300)
+    SELECT conv_id, concat('m', CAST(n + k - 1 AS STRING)) AS msg_id, 'meta' AS role, concat('m', CAST(msg_ix AS STRING)) AS parent_id,
+        concat('m', CAST(msg_ix AS STRING)) AS root_id, concat('[Summarized — id: ''m', CAST(msg_ix AS STRING),
+        '''. Use query_message to ask specific questions about the full output.]', chr(10), md5(content)) AS content FROM chosen""")
+def stored_summaries(t):
+    """Conversations compacted in the store: the second run finds nothing to add, and summaries lead back to their originals."""
+    path = S.scratch_path(t.spark, "messages")
+    none = F.lit(None).cast("string")
+    S.append_messages(store(t).select("conv_id", "msg_id", "role", "content", F.col("turn").cast("bigint").alias("turn"),
+                                      none.alias("parent_id"), F.lit("original").alias("kind"), "msg_ix"), path)
+    answers = store(t).select("conv_id", "msg_id", F.md5("content").alias("short"), F.lit("-").alias("shorter"))
+    for _ in range(2):
+        flows.compact_store(t.spark, path, answers, 300, summary_tokens=40, recent_tokens=200)
+    log = S.read_messages(t.spark, path)
+    roots = M.root_originals(log, ["conv_id"]).select("conv_id", "msg_id", "root_id")
+    return log.where("kind = 'summary'").join(roots, ["conv_id", "msg_id"]).select(
+        "conv_id", "msg_id", "role", "parent_id", "root_id", "content")
+
+
 @query("m12_apply_replacements", oracle="""
     SELECT conv_id, turn, CASE WHEN turn % 2 = 0 AND turn % 4 <> 0 THEN concat('[Summarized] ', CAST(turn AS STRING))
         WHEN turn % 4 = 0 THEN concat('[Summarized', content) ELSE content END AS content,
@@ -187,6 +215,33 @@ def brief_args(t):
     return args.select("event_id", M.brief_args("a").alias("brief"))
 
 
+# Texts in four languages, without the characters that JSON itself would escape.
+SPOKEN = "SELECT doc_id, translate(text, concat(chr(34), chr(92), chr(9), chr(10), chr(13)), '     ') AS plain FROM documents"
+
+
+@query("m16_ascii_args", oracle=f"""
+    SELECT doc_id, CASE WHEN length(j) > 80 THEN concat(substr(j, 1, 77), '...') ELSE j END AS brief FROM (
+        SELECT doc_id, concat('{{"text":"', array_to_string(list_transform(string_split(plain, ''), lambda c: CASE
+            WHEN c = '' OR unicode(c) < 128 THEN c WHEN unicode(c) < 65536 THEN concat('\\u', printf('%04x', unicode(c)))
+            ELSE concat('\\u', printf('%04x', 55296 + (unicode(c) - 65536) // 1024), '\\u', printf('%04x', 56320 + unicode(c) % 1024)) END),
+            ''), '"}}') AS j FROM ({SPOKEN}) p) x""")
+def ascii_args(t):
+    args = t.sql(SPOKEN.replace("FROM documents", "FROM {documents}"))
+    text = F.concat(F.lit('{"text":"'), F.col("plain"), F.lit('"}'))
+    return args.select("doc_id", M.brief_args(text, ascii_only=True).alias("brief"))
+
+
+@query("m15_tool_result_message", oracle="""
+    SELECT event_id, concat('{"role":"tool","content":"', event_type, ' é"}') AS native, concat('{"role":"tool",',
+        CASE WHEN event_id % 3 > 0 THEN concat('"tool_call_id":"call_', CAST(event_id AS STRING), '",') ELSE '' END,
+        '"content":"', event_type, ' é"}') AS chat FROM events""")
+def tool_result_message(t):
+    content = F.concat("event_type", F.lit(" é"))
+    call = F.when(F.col("event_id") % 3 > 0, F.concat(F.lit("call_"), F.col("event_id").cast("string")))
+    return t.events.select("event_id", M.tool_result_message(content, call, "native").alias("native"),
+                           M.tool_result_message(content, call, "chat").alias("chat"))
+
+
 @query("m17_tool_results", oracle=f"""
     SELECT conv_id, concat('m', CAST(msg_ix AS STRING)) AS msg_id, content FROM {STORE} s
     WHERE role = 'tool' AND turn % 3 <> 0""")

@@ -82,18 +82,20 @@ def diff_stats(t):
                           D.removed_lines("patch").cast("bigint").alias("removed"))
 
 
-@query("d6_substring_stats", oracle="""
-    SELECT hunk_id, CAST((length(patch) - length(replace(patch, concat(chr(10), '+'), ''))) / 2
+# Whole patches, and each once more from its first plus sign on, so that a text that begins with one is met.
+CUT_PATCHES = """
+    SELECT hunk_id, ex_id, 0 AS cut, patch FROM {hunks}
+    UNION ALL SELECT hunk_id, ex_id, 1, substr(patch, position('+' IN patch)) FROM {hunks} WHERE position('+' IN patch) > 0"""
+
+
+@query("d6_substring_stats", oracle=f"""
+    SELECT hunk_id, cut, CAST((length(patch) - length(replace(patch, concat(chr(10), '+'), ''))) / 2
         - (length(patch) - length(replace(patch, concat(chr(10), '+++'), ''))) / 4 AS BIGINT) AS added,
         CAST((length(patch) - length(replace(patch, concat(chr(10), '-'), ''))) / 2
         - (length(patch) - length(replace(patch, concat(chr(10), '---'), ''))) / 4 AS BIGINT) AS removed
-    FROM (SELECT hunk_id, substr(patch, CASE WHEN ex_id % 2 = 0 THEN 1 ELSE position('+' IN patch) END) AS patch
-          FROM {hunks}) h""")
+    FROM ({CUT_PATCHES}) h""")
 def substring_stats(t):
-    cut = t.sql("""
-        SELECT hunk_id, substr(patch, CASE WHEN ex_id % 2 = 0 THEN 1 ELSE position('+' IN patch) END) AS patch
-        FROM {hunks}""")
-    return cut.select("hunk_id", D.quick_added("patch").alias("added"), D.quick_removed("patch").alias("removed"))
+    return t.sql(CUT_PATCHES).select("hunk_id", "cut", D.quick_added("patch").alias("added"), D.quick_removed("patch").alias("removed"))
 
 
 @query("d7_generated_flag", oracle="""
@@ -138,6 +140,24 @@ def budget_cut(t):
     return D.budget_cut(rendered, ["change_set"], "pos").select("hunk_id", "change_set", "spent_before", "closes")
 
 
+@query("d9_context_parts", oracle=f"""
+    WITH {CONTEXT},
+    placed AS (SELECT hunk_id, ex_id % 4 AS change_set, ex_id * 2 + hunk_no AS pos, charged,
+                   CASE WHEN body IS NOT NULL THEN concat('--- ', hunk_id, ' ---', chr(10), body) END AS shown,
+                   coalesce(sum(charged) OVER (PARTITION BY ex_id % 4 ORDER BY ex_id * 2 + hunk_no
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent_before FROM sized),
+    cut AS (SELECT * FROM placed WHERE spent_before < 120000),
+    shown_parts AS (SELECT change_set, pos, 0 AS k, shown AS part FROM cut WHERE shown IS NOT NULL
+        UNION ALL SELECT change_set, pos, 1, concat(chr(10), '... (remaining hunks omitted — total size limit reached)')
+        FROM cut WHERE spent_before + charged >= 120000)
+    SELECT change_set, pos, CAST(row_number() OVER (PARTITION BY change_set, pos ORDER BY k) - 1 AS INTEGER) AS part_no, md5(part) AS part
+    FROM shown_parts""")
+def context_parts(t):
+    rendered = D.render_context(t.hunks, limit=2000).select(
+        (F.col("ex_id") % 4).alias("change_set"), (F.col("ex_id") * 2 + F.col("hunk_no")).alias("pos"), "charged", "shown")
+    return D.context_parts(rendered, ["change_set"], "pos").withColumn("part", F.md5("part"))
+
+
 SIDES = """
     SELECT ex_id, path, 'staged' AS side, 0 AS side_rank, diff FROM {file_diffs} WHERE ex_id % 3 <> 1
     UNION ALL SELECT ex_id, path, 'unstaged', 1, CASE WHEN ex_id % 5 = 0 THEN chr(10) ELSE concat(diff, 'z') END
@@ -263,3 +283,40 @@ def batch_plan(t):
         F.count(F.lit(1)).cast("int").alias("n_hunks"), F.sum("chars").alias("total_chars"),
         F.when(F.max("patch") > "M", 20000).otherwise(0).alias("remaining"))
     return D.batch_plan(files).select("file_path", "start_hunk", "end_hunk")
+
+
+BATCHES = f"""
+    f AS (SELECT file_path, CAST(count(*) AS INT) AS n, greatest(1, CAST(floor(count(*) / 3) AS INT)) AS bs
+          FROM ({HUNK_SETS}) h GROUP BY file_path HAVING sum(chars) > 12000),
+    b AS (SELECT h.file_path, CAST((h.hunk_no - 1) // bs * bs + 1 AS INT) AS start_hunk, n, CAST(max(h.hunk_no) AS INT) AS end_hunk,
+              string_agg(concat('Hunk ', CAST(h.hunk_no AS STRING), ':', chr(10), h.patch), concat(chr(10), chr(10))
+                  ORDER BY h.hunk_no) AS texts
+          FROM ({HUNK_SETS}) h JOIN f ON f.file_path = h.file_path GROUP BY 1, 2, 3)"""
+
+
+def _batched(t):
+    rows = t.sql("SELECT source AS file_path, doc_id, text AS patch, length(text) AS chars FROM {documents}")
+    hunks = numbered(rows, ["file_path"], position_block("doc_id"), [F.col("doc_id")], "hunk_no")
+    files = rows.groupBy("file_path").agg(F.count(F.lit(1)).cast("int").alias("n_hunks"), F.sum("chars").alias("total_chars"),
+                                          F.lit(20000).alias("remaining"))
+    return D.batch_requests(D.batch_plan(files), hunks, ["file_path"])
+
+
+@query("d18_batch_requests", oracle=f"""
+    WITH {BATCHES}
+    SELECT file_path, start_hunk, end_hunk, n AS n_hunks, md5(concat('Describe hunks ', CAST(start_hunk AS STRING), '-',
+        CAST(end_hunk AS STRING), ' of ', CAST(n AS STRING), ' from ''', file_path, ''' in two to four sentences.', chr(10), chr(10),
+        texts)) AS request FROM b""")
+def batch_requests(t):
+    return _batched(t).withColumn("request", F.md5("request"))
+
+
+@query("d18_batched_summary", oracle=f"""
+    WITH {BATCHES}
+    SELECT file_path, concat('[batched summary — ', CAST(max(n) AS STRING), ' hunk(s)]', chr(10), string_agg(concat('  Hunks ',
+        CAST(start_hunk AS STRING), '-', CAST(end_hunk AS STRING), ': ', CAST(length(texts) AS STRING)), chr(10) ORDER BY start_hunk))
+        AS summary FROM b GROUP BY file_path""")
+def batched_summary(t):
+    # The length of the texts stands in for the model's answer.
+    length = F.length(F.regexp_extract("request", "(?s)^[^\n]*\n\n(.*)$", 1)).cast("string")
+    return D.batched_summary(_batched(t).withColumn("summary", F.concat(F.lit(" "), length)), ["file_path"])

@@ -10,6 +10,7 @@ from changeloom.functions import constants as K
 from changeloom.functions.text import truncate
 from changeloom.operators import label as L
 from changeloom.operators import prepare as P
+from changeloom.sources import tables as S
 
 
 def labelled(t):
@@ -150,6 +151,19 @@ def prep_counters(t):
     return P.prep_counters(state.join(_split(t), "example_key"))
 
 
+@query("p10_written_counters", oracle=f"""
+    WITH {SPLIT_CTES}
+    SELECT (SELECT count(*) FROM base) AS loaded, CAST((SELECT count_if(quality IS NULL OR toxic = 1) FROM base) AS BIGINT) AS skipped,
+        (SELECT count(*) FROM {{examples}} WHERE ex_id % 5 = 4) AS augmented,
+        CAST((SELECT count_if(split = 'train') FROM split) + (SELECT count(*) FROM {{examples}} WHERE ex_id % 5 = 4)
+            AS BIGINT) AS train,
+        CAST((SELECT count_if(split = 'val') FROM split) AS BIGINT) AS val""")
+def written_counters(t):
+    """The counters of p10, taken while the rows are written."""
+    state = labelled(t).select("example_key", P.label_problem().alias("problem"), (F.col("ex_id") % 5 == 4).alias("is_augmented"))
+    return S.write_counted(state.join(_split(t), "example_key"), S.scratch_path(t.spark, "prepared"), **P.counters())
+
+
 @query("p11_leakage_check", oracle=f"""
     WITH {SPLIT_CTES.replace("WHERE ex_id % 5 <> 4", "WHERE quality IS NOT NULL AND toxic = 0")}
     SELECT example_key AS base_key FROM split WHERE split = 'val' AND ex_id % 3 <> 0""")

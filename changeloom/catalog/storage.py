@@ -108,6 +108,54 @@ def plan_document(t):
                                                    "is_untracked")
 
 
+@query("s4_plan_files", oracle="""
+    SELECT CAST(ex_id AS STRING) AS plan, hunk_id, file_path, md5(patch) AS patch_md5 FROM {hunks}
+    WHERE NOT is_untracked AND ex_id % 4 <> 3 UNION ALL
+    SELECT CAST(ex_id AS STRING), NULL, NULL, 'broken' FROM {hunks} WHERE ex_id % 4 = 3 AND hunk_no = 1""")
+def plan_files(t):
+    """Indented documents, documents on one line and cut-off ones, one file each, through the reader of plan files."""
+    commits = t.hunks.select("ex_id").distinct().select("ex_id", F.array(F.struct(
+        F.lit("fix: x").alias("subject"))).alias("commits"), F.array(F.lit("*.log")).alias("gitignore"))
+    plans = S.plan_document(commits, t.hunks, ["ex_id"])
+    record = F.struct("commits", "gitignore", "hunk_patches")
+    indented, flat = F.to_json(record, {"pretty": "true"}), F.to_json(record)
+    cut_off = F.concat(F.lit("{\n  "), F.substring(flat, 2, 9))
+    text = F.when(F.col("ex_id") % 4 == 3, cut_off).when(F.col("ex_id") % 2 == 0, indented).otherwise(flat)
+    path = S.scratch_path(t.spark, "plan-files")
+    S.write_files(plans.select(F.col("ex_id").cast("string").alias("name"), text.alias("content")), path)
+    good, broken = S.read_plan(t.spark, path)
+    name = S.folder_name(F.col("file"))
+    live = t.spark.createDataFrame([], f"plan string, {S.schemas.HUNK}")
+    restored = S.restore_hunks(good.withColumn("plan", name), live, ["plan"])
+    none = F.lit(None).cast("string")
+    return restored.select("plan", "hunk_id", "file_path", F.md5("patch").alias("patch_md5")).unionByName(
+        broken.select(name.alias("plan"), none.alias("hunk_id"), none.alias("file_path"), F.lit("broken").alias("patch_md5")))
+
+
+RAW_PAGES = """
+    SELECT page_id, CASE page_id % 5 WHEN 0 THEN concat(html, chr(1), 'z') WHEN 1 THEN concat('id,page', chr(10), html) ELSE html END AS html,
+        concat('p', CAST(page_id AS STRING), CASE page_id % 5 WHEN 1 THEN '.csv' ELSE '.html' END) AS name FROM pages"""
+
+
+@query("s5_raw_files", oracle=f"""
+    SELECT name, CASE WHEN n > 6000 THEN concat('large: ', CAST(n AS STRING))
+        WHEN page_id % 5 = 0 THEN concat('[binary file — ', format('{{:,}}', n), ' bytes, cannot display]')
+        WHEN page_id % 5 = 1 AND c > 3000 THEN concat('[structural summary of ', name, ' — ', format('{{:,}}', c),
+            ' chars; use query_tool_result to retrieve specifics]', chr(10), 'CSV: 2 columns, ~',
+            format('{{:,}}', c - length(replace(raw, chr(10), ''))), ' rows', chr(10), 'Columns: id, page')
+        WHEN c > 3000 THEN concat(substr(raw, 1, 3000), chr(10), chr(10), '[truncated — file is ', format('{{:,}}', n),
+            ' bytes; showing first 3,000 chars]') ELSE raw END AS shown
+    FROM (SELECT *, concat(html, chr(10)) AS raw, strlen(html) + 1 AS n, length(html) + 1 AS c FROM ({RAW_PAGES}) p) q""")
+def raw_files(t):
+    """Pages written as raw files and read back by the binary reader; of large files only the length is read."""
+    path = S.scratch_path(t.spark, "raw-files")
+    S.write_files(t.sql(RAW_PAGES.replace("FROM pages", "FROM {pages}").replace("chr(1)", "chr(0)")), path, content="html")
+    files = S.read_files(t.spark, path, max_bytes=6000).withColumn("path", S.folder_name(F.col("path")))
+    shown = R.readable_content(files, limit=3000)
+    return shown.select(F.col("path").alias("name"), F.when(F.col("content").isNull(), F.concat(
+        F.lit("large: "), F.col("length").cast("string"))).otherwise(F.col("shown")).alias("shown"))
+
+
 @query("s5_file_content", oracle="""
     SELECT page_id, CASE WHEN page_id % 5 = 0 THEN concat('[binary file — ', n, ' bytes, cannot display]')
         WHEN page_id % 5 = 1 AND length(html) > 3000 THEN concat('[structural summary of p', CAST(page_id AS STRING),

@@ -152,6 +152,29 @@ def accept_summary(msg_id, rest, short, shorter, pinned=None,
     return F.struct(level.alias("level"), F.concat(front, header, body).alias("content"))
 
 
+def summary_messages(log: DataFrame, accepted: DataFrame, conv: str = "conv_id") -> DataFrame:
+    """Log rows of accepted summaries: role 'meta', kind 'summary', the summarised message as parent, ids that go on after the
+    conversation's last.  A message that has a summary in the log already gets none, so a step may be run again.
+
+    ``log`` holds stored messages with ``msg_ix``; ``accepted`` (conv, msg_id, msg_ix, content), a message once.
+    """
+    has_one = log.where("kind = 'summary'").select(conv, F.col("parent_id").alias("msg_id"))
+    fresh = accepted.join(has_one, [conv, "msg_id"], "left_anti").select(conv, "msg_id", "msg_ix", "content")
+    length = log.groupBy(conv).agg((F.max("msg_ix") + 1).alias("_next"))
+    placed = numbered(fresh, [conv], position_block("msg_ix"), [F.col("msg_ix")], "_no").join(length, conv)
+    at = (F.col("_next") + F.col("_no") - 1).cast("bigint")
+    return placed.select(conv, F.concat(F.lit("m"), at.cast("string")).alias("msg_id"), F.lit("meta").alias("role"), "content",
+                         F.lit(0).cast("bigint").alias("turn"), F.col("msg_id").alias("parent_id"), F.lit("summary").alias("kind"),
+                         at.alias("msg_ix"))
+
+
+def current_view(log: DataFrame, conv: str = "conv_id") -> DataFrame:
+    """Original messages, each with the text of its summary where the log has one."""
+    newest = log.where("kind = 'summary'").groupBy(conv, F.col("parent_id").alias("msg_id")).agg(
+        F.max_by("content", "msg_ix").alias("content"))
+    return apply_replacements(log.where("kind = 'original'"), newest, (conv, "msg_id")).drop("applied")
+
+
 def apply_replacements(messages: DataFrame, swaps: DataFrame, on: Sequence[str] = ("conv_id", "msg_ix")) -> DataFrame:
     """Swap in summaries; messages that are summaries already keep their text.  Adds ``applied``."""
     joined = messages.join(swaps.select(*on, F.col("content").alias("_new")), list(on), "left")
@@ -218,6 +241,12 @@ def tool_call_of(message: Column | str) -> Column:
         part("id").alias("call_id")))
 
 
+def tool_result_message(content: Column | str, call_id: Column | str, dialect: str) -> Column:
+    """Message, as JSON, that answers a tool call.  The chat dialect names the call, if it had an id."""
+    named = [as_col(call_id).alias("tool_call_id")] if dialect == "chat" else []
+    return F.to_json(F.struct(F.lit("tool").alias("role"), *named, as_col(content).alias("content")))
+
+
 def text_of(message: Column | str) -> Column:
     return blank_to_null(F.coalesce(F.get_json_object(as_col(message), "$.content"), F.lit("")))
 

@@ -275,6 +275,19 @@ def budget_cut(rows: DataFrame, keys: Sequence[str], position: str, size: str =
         "closes", F.col("spent_before") + F.col(size) >= cap)
 
 
+# Fixed value: what follows the row that spends the budget.
+OMITTED = "\n... (remaining hunks omitted — total size limit reached)"
+
+
+def context_parts(rows: DataFrame, keys: Sequence[str], position: str, shown: str = "shown", size: str = "charged",
+                  cap: int = K.TOTAL_DIFF_CHARS, notice: str = OMITTED) -> DataFrame:
+    """(keys, position, part_no, part): what is shown of each change set, row by row, with the notice about omitted hunks
+    after the row that spends the budget, also if that is the last one."""
+    cut = budget_cut(rows, keys, position, size, cap)
+    parts = F.array_compact(F.array(F.col(shown), F.when(F.col("closes"), F.lit(notice))))
+    return cut.select(*keys, position, F.posexplode(parts).alias("part_no", "part"))
+
+
 def file_view(diffs: DataFrame, keys: Sequence[str] = ("path",), staged: bool | None = None,
               limit: int = K.FILE_DIFF_CHARS) -> DataFrame:
     """Diff of a file: staged, unstaged, or both under titles; cut at ``limit`` characters.  ``side`` is given."""
@@ -376,3 +389,30 @@ def batch_plan(files: DataFrame, total: int = K.TOTAL_DIFF_CHARS, limit: int = K
     tight = files.where((ratio < 0.3) & (F.col("total_chars") > 2 * limit)).withColumn("_size", size)
     return tight.withColumn("start_hunk", F.explode(F.sequence(F.lit(1), F.col("n_hunks"), F.col("_size")))).withColumn(
         "end_hunk", F.least(F.col("start_hunk") + F.col("_size") - 1, F.col("n_hunks"))).drop("_size")
+
+
+def batch_requests(plan: DataFrame, hunks: DataFrame, keys: Sequence[str], wording: str = (
+        "Describe hunks %s-%s of %s from '%s' in two to four sentences.\n\n")) -> DataFrame:
+    """One request per batch of ``batch_plan``, with the texts of its hunks.
+
+    ``hunks`` holds ``hunk_no`` (from 1) and ``patch``.  Hunks find their batch by its number, which follows from the batch's size.
+    """
+    keys = list(keys)
+    size = F.max(F.col("end_hunk") - F.col("start_hunk") + 1)
+    sized = plan.groupBy(*keys).agg(size.alias("_size"), F.max("n_hunks").alias("_of"))
+    titled = F.concat(F.lit("Hunk "), F.col("hunk_no").cast("string"), F.lit(":\n"), F.col("patch"))
+    start = (F.floor((F.col("hunk_no") - 1) / F.col("_size")) * F.col("_size") + 1).cast("int")
+    texts = hunks.join(sized, keys).withColumn("start_hunk", start).groupBy(*keys, "start_hunk").agg(
+        F.max("hunk_no").cast("int").alias("end_hunk"), F.max("_of").alias("n_hunks"),
+        F.sort_array(F.collect_list(F.struct("hunk_no", titled.alias("text")))).alias("_texts"))
+    task = F.format_string(wording, *[F.col(c).cast("string") for c in ("start_hunk", "end_hunk", "n_hunks")], F.col(keys[-1]))
+    return texts.select(*keys, "start_hunk", "end_hunk", "n_hunks", F.concat(
+        task, F.array_join("_texts.text", "\n\n")).alias("request"))
+
+
+def batched_summary(answers: DataFrame, keys: Sequence[str], summary: str = "summary") -> DataFrame:
+    """(keys, summary): the answers to a file's batches as one text, one line per batch."""
+    line = F.format_string("  Hunks %s-%s: %s", F.col("start_hunk").cast("string"), F.col("end_hunk").cast("string"), strip(summary))
+    lines = F.sort_array(F.collect_list(F.struct("start_hunk", line.alias("line"))))["line"]
+    head = F.format_string("[batched summary — %s hunk(s)]\n", F.max("n_hunks").cast("string"))
+    return answers.groupBy(*keys).agg(F.concat(head, F.array_join(lines, "\n")).alias("summary"))

@@ -60,9 +60,12 @@ def remap_hunks(claims: DataFrame, hunks: DataFrame, keys: Sequence[str] = ("pla
 # -- merging -----------------------------------------------------------------------------------------------------
 
 
-def _fingerprint(edges: DataFrame):
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("plan", "u", "v")).alias("x")).first()
-    return row["n"], row["x"]
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node hangs directly under one node that hangs under none."""
+    ends = edges.select("plan", F.col("v").alias("x"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).unionByName(
+        edges.select("plan", F.col("u").alias("x"), F.lit(0).alias("leaf"), F.lit(1).alias("centre")))
+    state = ends.groupBy("plan", "x").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre"))
+    return state.where("leaf > 1 OR (leaf > 0 AND centre > 0)").isEmpty()
 
 
 def _star(edges: DataFrame, minimum: DataFrame) -> DataFrame:
@@ -81,8 +84,9 @@ def overlap_components(claims: DataFrame, max_rounds: int = 50) -> DataFrame:
     edges = durable(
         claims.join(smallest, ["plan", "hunk"]).where(F.col("commit_ix") != F.col("u"))
         .select("plan", F.col("commit_ix").alias("v"), "u").distinct())
-    seen = _fingerprint(edges)
     for _ in range(max_rounds):
+        if _settled(edges):
+            break
         # Large star: each neighbour above u hangs under the smallest node around u.
         both = edges.select("plan", "u", "v").unionByName(
             edges.select("plan", F.col("v").alias("u"), F.col("u").alias("v")))
@@ -95,10 +99,6 @@ def overlap_components(claims: DataFrame, max_rounds: int = 50) -> DataFrame:
         small = _star(down, below).select("plan", F.col("m").alias("u"), "v").where("u <> v").unionByName(
             below.select("plan", F.col("m").alias("u"), F.col("u").alias("v"))).distinct()
         edges = durable(small)
-        now = _fingerprint(edges)
-        if now == seen:
-            break
-        seen = now
     else:
         raise RuntimeError("components did not settle")
     return nodes.join(edges, ["plan", "v"], "left").select(

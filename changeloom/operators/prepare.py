@@ -103,13 +103,17 @@ def pack_plan(sequences: DataFrame, key: str = "example_key", tokens: str = "n_t
                          F.pmod("_start", F.lit(length)).cast("bigint").alias("pack_offset"))
 
 
-def prep_counters(prepared: DataFrame) -> DataFrame:
-    """One row of counts; ``problem``, ``is_augmented`` and ``split`` are given."""
+def counters() -> dict[str, Column]:
+    """Aggregates over prepared rows, of which ``problem``, ``is_augmented`` and ``split`` are given."""
     base = ~F.col("is_augmented")
-    return prepared.agg(
-        F.count_if(base).alias("loaded"), F.count_if(base & F.col("problem").isNotNull()).alias("skipped"),
-        F.count_if(F.col("is_augmented")).alias("augmented"), F.count_if(F.col("split") == "train").alias("train"),
-        F.count_if(F.col("split") == "val").alias("val"))
+    return {"loaded": F.count_if(base), "skipped": F.count_if(base & F.col("problem").isNotNull()),
+            "augmented": F.count_if(F.col("is_augmented")), "train": F.count_if(F.col("split") == "train"),
+            "val": F.count_if(F.col("split") == "val")}
+
+
+def prep_counters(prepared: DataFrame) -> DataFrame:
+    """One row of counts.  Where the rows are written anyway, ``tables.write_counted`` takes the counts in the same pass."""
+    return prepared.agg(*[value.alias(name) for name, value in counters().items()])
 
 
 def leaked_keys(split: DataFrame, base_key: str = "base_key") -> DataFrame:

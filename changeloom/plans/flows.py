@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from changeloom.operators import conversations as M
 from changeloom.operators import diffs as D
 from changeloom.operators import evaluate as E
 from changeloom.operators import label as L
 from changeloom.operators import plans as C
 from changeloom.operators import prepare as P
+from changeloom.session import durable
+from changeloom.sources import tables as T
 
 
 def split_counts(examples: DataFrame, labels: DataFrame, fraction: float = 0.1, seed: int = 42) -> DataFrame:
@@ -75,3 +78,20 @@ def score_predictions(examples: DataFrame, responses: DataFrame, key: str = "exa
     answered = responses.select(key, L.response_content("response").alias("content"))
     results = E.result_rows(examples, E.prediction_status(answered), key)
     return results, E.report_totals(results), E.report_by_language(results)
+
+
+def compact_store(spark, path: str, answers: DataFrame, target: int, pinned: str = "", **limits) -> DataFrame:
+    """Summarise stored conversations until they fit, store the summaries as messages, and return the new rows.
+
+    ``answers`` (conv_id, msg_id, short, shorter) holds the model's summaries.  What is summarised already keeps its
+    summary, so a repeated run with the same answers stores nothing new.
+    """
+    log = T.read_messages(spark, path)
+    view = M.current_view(log)
+    chosen = M.compaction_candidates(view, target, **limits).select("conv_id", "msg_ix")
+    asked = chosen.join(view.select("conv_id", "msg_ix", "msg_id", "content"), ["conv_id", "msg_ix"]).join(answers, ["conv_id", "msg_id"])
+    accepted = asked.withColumn("content", M.accept_summary("msg_id", "content", "short", "shorter", F.lit(pinned))["content"])
+    # The rows are read from the store that they are appended to, so they are cut off from it first.
+    fresh = durable(M.summary_messages(log, accepted))
+    T.append_messages(fresh, path)
+    return fresh

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from changeloom import schemas
@@ -55,9 +55,25 @@ def history_commits(commits: DataFrame) -> DataFrame:
                           (F.size("parents") > 1).alias("is_merge"), "subject", "topo_pos")
 
 
-def read_plan(spark: SparkSession, path: str) -> DataFrame:
-    """Plan documents, one per file."""
-    return spark.read.schema(schemas.PLAN).option("multiLine", "true").json(path)
+def read_plan(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(plans, broken): plan documents, one per file, indented or not, with the file's name as ``file``; files that are no
+    JSON document are set apart as (file, document)."""
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("file"), F.col("value").alias("document"))
+    record = F.from_json("document", f"{schemas.PLAN}, {CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    parsed = files.select("file", "document", F.inline(F.array(record)))
+    broken = F.col(CORRUPT).isNotNull()
+    return parsed.where(~broken).drop("document", CORRUPT), parsed.where(broken).select("file", "document")
+
+
+def write_files(rows: DataFrame, path: str, name: str = "name", content: str = "content") -> None:
+    """One raw text file per row, in a folder of the row's name; the text is ended by a line break."""
+    rows.select(F.col(name).alias("file"), F.col(content).alias("value")).write.partitionBy("file").text(path)
+
+
+def folder_name(path):
+    """Name under which ``write_files`` has stored a file, from its path."""
+    return F.url_decode(F.regexp_extract(path, "/file=([^/]*)/[^/]*$", 1))
 
 
 def plan_document(commits: DataFrame, hunks: DataFrame, keys: list[str]) -> DataFrame:
@@ -78,6 +94,32 @@ def restore_hunks(plans: DataFrame, live: DataFrame, keys: list[str]) -> DataFra
     return live.select(*restored.columns).unionByName(restored)
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content) of raw files."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+def read_files(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
+    """(path, length, content) of raw files.
+
+    The content of a file longer than ``max_bytes`` isn't read: the length is known from the listing, and is pushed down to
+    the reader.  Such files have a NULL content.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    if max_bytes is None:
+        return files.select("path", "length", "content")
+    small = files.where(F.col("length") <= max_bytes).select("path", "length", "content")
+    large = files.where(F.col("length") > max_bytes).select("path", "length", F.lit(None).cast("binary").alias("content"))
+    return small.unionByName(large)
+
+
+def write_counted(rows: DataFrame, path: str, **counters) -> DataFrame:
+    """Write ``rows`` as Parquet and return one row of counters (aggregates), measured in the pass that writes."""
+    seen = Observation()
+    rows.observe(seen, *[value.alias(name) for name, value in counters.items()]).write.mode("overwrite").parquet(path)
+    values = seen.get
+    return rows.sparkSession.createDataFrame([tuple(values[name] for name in counters)], ", ".join(f"{n} bigint" for n in counters))
+
+
+def append_messages(messages: DataFrame, path: str, conv: str = "conv_id", buckets: int = 64) -> None:
+    """Append log rows to a message store, filed by conversation bucket."""
+    messages.withColumn("bucket", F.pmod(F.xxhash64(conv), F.lit(buckets)).cast("int")).write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def read_messages(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"{schemas.STORED_MESSAGE}, msg_ix bigint, bucket int").parquet(path).drop("bucket")
