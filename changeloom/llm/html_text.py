@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 TAG = re.compile(r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[(?:.*?\]\]>|.*\Z)|<[!?][^>]*+>?|"
                  r"<(/?)([A-Za-z][A-Za-z0-9:_-]*+)((?:[^>\"']++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)>?", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-WORD = re.compile(r"[a-z0-9]+")
+WORD = re.compile(r"[a-z]+")
+SMALL_TO_LARGE = re.compile(r"(?<=[a-z])(?=[A-Z])")
+SENTENCE_END = re.compile(r"[.!?…](?=\s|$)|[。！？।؟]")
 
 RAW = frozenset("script style textarea title noscript iframe template svg math xmp noembed noframes object".split())
 END_OF = {tag: re.compile(rf"</{tag}\b[^>]*>?", re.I) for tag in RAW}
@@ -34,10 +36,21 @@ BLOCK = frozenset(
 HELD = BLOCK - frozenset("p hr h1 h2 h3 h4 h5 h6 li dd dt td th tr tbody thead tfoot option body html frame".split())
 FRAME = frozenset("nav aside footer form button select fieldset dialog menu head".split())
 MAIN = frozenset(("article", "main"))
+# Words in class names and ids of frames.  The first need no other word; of the others, which everyday names hold as well, the whole
+# name must say so, or all its other words must name a container.
 FRAME_WORDS = frozenset(
-    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent copyright disqus "
-    "footer gdpr masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted related "
-    "reply replies respond share sharing sidebar social sponsor sponsored subscribe toolbar topbar widget".split())
+    "ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent copyright disqus "
+    "footer gdpr masthead menu modal nav navbar navigation newsletter pager pagination popup respond replies sidebar sponsored toolbar "
+    "topbar widget".split())
+COMMON_WORDS = frozenset(
+    "ad notice notification promo promoted related reply share sharing social sponsor subscribe".split())
+CONTAINERS = frozenset(
+    "area articles banner bar block bottom box button buttons card container content entries footer form group head header icons inline "
+    "inner items left link links list main media module news outer page panel post posts primary right row secondary section site "
+    "slot stories strip tools top unit widget wrap wrapper".split()) | FRAME_WORDS
+# Names with one of these tell the state or the layout of a page, not what the element is.
+STATES = frozenset(
+    "active allowed allow closed disabled enabled has hidden hide is layout no not off on open show with without".split())
 FRAME_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
 
 STOP_WORDS = frozenset(
@@ -48,6 +61,8 @@ STOP_WORDS = frozenset(
 SHORT, LONG = 70, 200
 MOST_LINKS = 0.5
 FEW_STOP_WORDS, MANY_STOP_WORDS = 0.15, 0.28
+# A text with fewer known words is in another language: it is prose if it has a sentence end for every so many characters.
+NO_STOP_WORDS, SENTENCE = 0.02, 200
 
 GOOD, BAD, AMBIGUOUS = 1, -1, 0
 
@@ -59,14 +74,26 @@ class Block(NamedTuple):
     main: int      # number of the article it is in, 0 if in none
 
 
+def _names_frame(name: str) -> bool:
+    """Whether a class name or id, such as ``comment-list``, names a frame; ``has-sidebar`` and ``comments-open`` don't."""
+    words = WORD.findall(SMALL_TO_LARGE.sub(" ", name).lower())
+    if not words or STATES.intersection(words):
+        return False
+    common = COMMON_WORDS.intersection(words)
+    return not FRAME_WORDS.isdisjoint(words) or bool(common) and all(w in CONTAINERS or w in COMMON_WORDS for w in words)
+
+
 def _is_frame(tag: str, attributes: str, in_main: bool) -> bool:
     if tag in FRAME or (tag == "header" and not in_main):
         return True
-    if not attributes or tag in ("html", "body"):
+    if not attributes or tag in ("html", "body") or tag in MAIN:
         return False
     for name, *values in ATTRIBUTE.findall(attributes):
-        words = WORD.findall("".join(values).lower())
-        if any(w in (FRAME_ROLES if name.lower() == "role" else FRAME_WORDS) for w in words):
+        value = "".join(values)
+        if name.lower() == "role":
+            if not FRAME_ROLES.isdisjoint(value.lower().split()):
+                return True
+        elif any(_names_frame(x) for x in value.split()):
             return True
     return False
 
@@ -164,6 +191,8 @@ def first_pass(block: Block) -> int:
         return GOOD
     if density >= FEW_STOP_WORDS:
         return GOOD if length >= LONG else AMBIGUOUS
+    if density < NO_STOP_WORDS and SENTENCE * len(SENTENCE_END.findall(block.text)) >= length:
+        return GOOD if length >= LONG else AMBIGUOUS
     return BAD
 
 

@@ -5,8 +5,9 @@ any characters over host and path (``*-pills.*``).  Each rule has literal tokens
 URL it fits must contain whole.  Token frequencies are counted over all URLs at hand, and a rule is filed under its rarest
 token.  A URL's own tokens fetch the candidates, and regular expressions run on those only.
 
-Everything is a column expression on the row; nothing is shuffled but the token counts (one row per token of a rule).  The index is a
-literal of the plan, so the number of rules is bounded by ``MOST_RULES``.
+Up to ``LITERAL_RULES`` rules are a literal of the plan: everything is a column expression on the row, and nothing is shuffled but
+the token counts (one row per token of a rule).  A longer list becomes a table that the tokens of distinct URLs are joined with;
+the results are the same.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_RULES = 2_000
+LITERAL_RULES = 2_000
 ALLOW, BLOCK = "allow", "block"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -100,10 +101,10 @@ def judged(urls: DataFrame, host_rules: Sequence[Rule], patterns: Sequence[Rule]
     Where none fits, ``pattern`` is the longest pattern that fits and gives the verdict, else the verdict is allow.
     """
     rules = [*host_rules, *patterns]
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"{len(rules)} rules; the plan may hold {MOST_RULES}")
     out = urls.drop("host", "path", "rule", "verdict", "pattern") if url not in ("host", "path", "rule") else urls
     host, path = host_and_path(F.col(url).cast("string"))
+    if len(rules) > LITERAL_RULES:
+        return _judged_by_table(out.select("*", host.alias("host"), path.alias("path")), rules)
     index = rarest(rules, token_counts(urls, rules, url))
     always = index.pop(None, [])
     candidates = _entries(always) if always else None
@@ -125,3 +126,37 @@ def judged(urls: DataFrame, host_rules: Sequence[Rule], patterns: Sequence[Rule]
     return chosen.select(
         *located.columns, F.when(is_host, F.col("_best.text")).alias("rule"),
         F.coalesce("_best.verdict", F.lit(ALLOW)).alias("verdict"), F.when(~is_host, F.col("_best.text")).alias("pattern"))
+
+
+def rule_table(urls: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """(is_host, size, text, verdict, regex, token): rules with their rarest literal token over distinct (host, path); a NULL token
+    where a rule has none."""
+    rows = [(not r.is_pattern, len(r.text), r.text, r.verdict, r.regex(), sorted(set(r.tokens()))) for r in dict.fromkeys(rules)]
+    table = urls.sparkSession.createDataFrame(
+        rows, "is_host boolean, size int, text string, verdict string, regex string, tokens array<string>")
+    held = table.select(F.explode("tokens").alias("token")).distinct()
+    counts = urls.select(F.explode(_tokens(F.col("host"), F.col("path"))).alias("token")).join(held, "token", "left_semi").groupBy(
+        "token").agg(F.count(F.lit(1)).alias("n"))
+    plain = ["is_host", "size", "text", "verdict", "regex"]
+    each = table.select(*plain, F.explode_outer("tokens").alias("token")).join(counts, "token", "left")
+    return each.groupBy(*plain).agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
+
+
+def _judged_by_table(located: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """``judged`` for rules of any number.  Equal URLs are judged once; a URL meets only the rules filed under its tokens."""
+    places = located.select("host", "path").distinct()
+    table = rule_table(places, rules)
+    tokens = places.select("host", "path", F.explode(_tokens(F.col("host"), F.col("path"))).alias("token"))
+    met = tokens.join(table.where("token IS NOT NULL"), "token").drop("token")
+    # Rules without a token are few and fit any URL.
+    always = [r for r in dict.fromkeys(rules) if not r.tokens()]
+    if always:
+        met = met.unionByName(places.select("host", "path", F.inline(_entries(always))))
+    fits = met.where(F.rlike(F.concat("host", "path"), F.col("regex"))).groupBy("host", "path").agg(
+        F.max(F.struct("is_host", "size", "text", "verdict")).alias("_best"))
+    joined = located.join(fits.withColumnsRenamed({"host": "_host", "path": "_path"}),
+                          (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")), "left")
+    is_host = F.col("_best.is_host")
+    return joined.select(
+        *located.columns, F.when(is_host, F.col("_best.text")).alias("rule"),
+        F.coalesce("_best.verdict", F.lit(ALLOW)).alias("verdict"), F.when(~is_host, F.col("_best.text")).alias("pattern"))
