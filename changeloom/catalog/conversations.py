@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from changeloom.catalog.registry import query
+from changeloom.catalog.views import SPOKEN, ascii_sql
 from changeloom.operators import conversations as M
 from changeloom.plans import flows
 from changeloom.sources import tables as S
@@ -215,16 +216,9 @@ def brief_args(t):
     return args.select("event_id", M.brief_args("a").alias("brief"))
 
 
-# Texts in four languages, without the characters that JSON itself would escape.
-SPOKEN = "SELECT doc_id, translate(text, concat(chr(34), chr(92), chr(9), chr(10), chr(13)), '     ') AS plain FROM documents"
-
-
 @query("m16_ascii_args", oracle=f"""
     SELECT doc_id, CASE WHEN length(j) > 80 THEN concat(substr(j, 1, 77), '...') ELSE j END AS brief FROM (
-        SELECT doc_id, concat('{{"text":"', array_to_string(list_transform(string_split(plain, ''), lambda c: CASE
-            WHEN c = '' OR unicode(c) < 128 THEN c WHEN unicode(c) < 65536 THEN concat('\\u', printf('%04x', unicode(c)))
-            ELSE concat('\\u', printf('%04x', 55296 + (unicode(c) - 65536) // 1024), '\\u', printf('%04x', 56320 + unicode(c) % 1024)) END),
-            ''), '"}}') AS j FROM ({SPOKEN}) p) x""")
+        SELECT doc_id, concat('{{"text":"', {ascii_sql('plain')}, '"}}') AS j FROM ({SPOKEN}) p) x""")
 def ascii_args(t):
     args = t.sql(SPOKEN.replace("FROM documents", "FROM {documents}"))
     text = F.concat(F.lit('{"text":"'), F.col("plain"), F.lit('"}'))

@@ -204,9 +204,9 @@ def extract(t):
         CASE WHEN problem IN ('not_a_list', 'invalid') THEN problem END AS eval_error
     FROM {answers} WHERE expected IS NOT NULL""")
 def label_validation(t):
-    return t.answers.where("expected IS NOT NULL").select(
-        "ex_id", commit_list_error("expected").alias("label_error"),
-        commit_list_error("expected", allow_empty=True).alias("eval_error"))
+    found = extract_json_object(t.answers.select("ex_id", F.col("content").alias("text")), "text").where("raw_json IS NOT NULL")
+    return found.select("ex_id", commit_list_error("raw_json").alias("label_error"),
+                        commit_list_error("raw_json", allow_empty=True).alias("eval_error"))
 
 
 def _attempts(t):

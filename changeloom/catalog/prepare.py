@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from changeloom.catalog.label import FILE_LIST_CTE, KEY_SQL, USER_SQL, draw_ctes, records
 from changeloom.catalog.registry import query
+from changeloom.catalog.views import SPOKEN, ascii_sql
 from changeloom.functions import constants as K
+from changeloom.functions.jsontext import commit_list_error, extract_json_object
 from changeloom.functions.text import truncate
 from changeloom.operators import label as L
 from changeloom.operators import prepare as P
@@ -46,8 +48,24 @@ def sft_triple(t):
     SELECT ex_id, CASE WHEN kind = 6 THEN '{"commits":[],"gitignore":[]}' ELSE obj END AS assistant_text FROM {answers}
     WHERE problem IS NULL OR problem = 'empty'""")
 def assistant_from_json(t):
-    return t.answers.where("problem IS NULL OR problem = 'empty'").select(
-        "ex_id", P.assistant_text_of_json("expected").alias("assistant_text"))
+    found = extract_json_object(t.answers.select("ex_id", F.col("content").alias("text")), "text")
+    usable = found.where(F.col("raw_json").isNotNull() & commit_list_error("raw_json", allow_empty=True).isNull())
+    return usable.select("ex_id", P.assistant_text_of_json("raw_json").alias("assistant_text"))
+
+
+@query("p1_ascii_answer", oracle=f"""
+    SELECT doc_id, md5(concat('{{"commits":[{{"subject":"docs: ', lang, '","files":["', lang, '.md"],"body":"', {ascii_sql('plain')},
+        '","issues":[]}}],"gitignore":[]}}')) AS answer_md5
+    FROM (SELECT doc_id, lang, plain FROM documents JOIN ({SPOKEN}) s USING (doc_id)) d WHERE lang IS NOT NULL AND plain IS NOT NULL""")
+def ascii_answer(t):
+    texts = t.sql(SPOKEN.replace("SELECT doc_id", "SELECT doc_id, lang").replace("FROM documents", "FROM {documents}"))
+    commit = F.struct(F.concat(F.lit("docs: "), F.col("lang")).alias("subject"), F.array(F.concat("lang", F.lit(".md"))).alias("files"),
+                      F.col("plain").alias("body"), F.array().cast("array<struct<message:string,path:string>>").alias("issues"))
+    label = F.struct(F.array(commit).alias("commits"), F.array().cast("array<string>").alias("gitignore"))
+    usable = texts.where("lang IS NOT NULL AND plain IS NOT NULL").select("doc_id", label.alias("label"), F.array().cast(
+        "array<string>").alias("changed_files"), F.lit("").alias("diff"))
+    answer = P.sft_messages(ascii_only=True)[2]["content"]
+    return usable.select("doc_id", F.md5(answer).alias("answer_md5"))
 
 
 @query("p2_truncate", oracle="""

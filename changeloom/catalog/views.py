@@ -181,3 +181,15 @@ VIEWS: dict[str, str] = {
         FROM (SELECT event_id, user_id, event_type, props, event_id % 6 AS kind, CAST(event_id % 90 AS STRING) AS k,
                 concat(chr(96), chr(96), chr(96)) AS fence FROM {events}) e""",
 }
+
+
+# Texts in four languages, without the characters that JSON itself would escape.
+SPOKEN = "SELECT doc_id, translate(text, concat(chr(34), chr(92), chr(9), chr(10), chr(13)), '     ') AS plain FROM documents"
+
+
+def ascii_sql(text: str) -> str:
+    """Oracle SQL for a text with other characters than ASCII written as \\uXXXX."""
+    return f"""array_to_string(list_transform(string_split({text}, ''), lambda c: CASE
+            WHEN c = '' OR unicode(c) < 128 THEN c WHEN unicode(c) < 65536 THEN concat('\\u', printf('%04x', unicode(c)))
+            ELSE concat('\\u', printf('%04x', 55296 + (unicode(c) - 65536) // 1024), '\\u', printf('%04x', 56320 + unicode(c) % 1024)) END),
+            '')"""
