@@ -144,6 +144,17 @@ def _walked(cap: int):
     most = 1 << 17
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Blocks have few walks as a rule, so what they give is handed on together.
+        found: list[pa.RecordBatch] = []
+        for part in parts(batches):
+            found.append(part)
+            if sum(p.num_rows for p in found) >= most:
+                yield from pa.Table.from_batches(found).combine_chunks().to_batches()
+                found = []
+        if found:
+            yield from pa.Table.from_batches(found).combine_chunks().to_batches()
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, commits, index = None, [], None
         for batch in batches:
             first = 0
@@ -163,26 +174,31 @@ def _walked(cap: int):
         who = np.arange(entering.num_rows)
         at = np.array([place[s] for s in entering.column(3).to_pylist()])
         pos = entering.column(7).to_numpy()
-        rows: list[tuple] = []
+        seen: list[tuple] = []
+        left: list[tuple] = []
+        held = 0
         while len(at):
-            rows.append((who, at, pos, False))
+            seen.append((who, at, pos))
+            held += len(at)
             after = pos + 1
             inside, leaving = (after < cap) & (up[at] >= 0), (after < cap) & (up[at] < 0) & (up_block[at] >= 0)
             if leaving.any():
-                rows.append((who[leaving], at[leaving], after[leaving], True))
+                left.append((who[leaving], at[leaving], after[leaving]))
             who, at, pos = who[inside], up[at[inside]], after[inside]
-            if sum(len(r[0]) for r in rows) > most:
-                yield from emit(rows, shas, ups, up_block, entering)
-                rows = []
-        yield from emit(rows, shas, ups, up_block, entering)
-
-    def emit(rows: list[tuple], shas: pa.Array, ups: pa.Array, up_block: np.ndarray, entering: pa.RecordBatch):
-        for who, at, pos, leaves in rows:
-            who, at = pa.array(who), pa.array(at)
-            yield pa.RecordBatch.from_arrays(
-                [entering.column(0).take(who), entering.column(6).take(who), (ups if leaves else shas).take(at), pa.array(pos, pa.int32()),
-                 pa.array(up_block[at.to_numpy()] if leaves else np.zeros(len(at)), pa.int64(), mask=np.full(len(at), not leaves))],
-                names=["repo", "head", "sha", "pos", "next_block"])
+            if held >= most:
+                yield rows(seen, shas, None, entering)
+                seen, held = [], 0
+        if seen:
+            yield rows(seen, shas, None, entering)
+        if left:
+            yield rows(left, ups, up_block, entering)
+
+    def rows(steps: list[tuple], names: pa.Array, blocks: np.ndarray | None, entering: pa.RecordBatch) -> pa.RecordBatch:
+        who, at, pos = (np.concatenate(x) for x in zip(*steps, strict=True))
+        next_block = pa.nulls(len(at), pa.int64()) if blocks is None else pa.array(blocks[at], pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [entering.column(0).take(pa.array(who)), entering.column(6).take(pa.array(who)), names.take(pa.array(at)),
+             pa.array(pos, pa.int32()), next_block], names=["repo", "head", "sha", "pos", "next_block"])
 
     return run
 
@@ -270,7 +286,14 @@ def balanced_draw(candidates: DataFrame, count: int, repo: str = "repo", draw: s
     are taken while they fit, and only the level in which the count runs out is ranked by hash, block by block.
     """
     limit = count if max_per_repo is None else min(count, max_per_repo)
-    picked = first_rows(candidates, [repo], hash_block(draw, REPO_DIGITS), [F.col(draw)], limit, "pick")
+    # Each map task hands on its first rows of a block, and each block its first rows, so a repository's last ranking is
+    # over a fixed number of rows.
+    def first(rows, keys):
+        ranked = rows.withColumn("pick", F.row_number().over(Window.partitionBy(*keys).orderBy(draw)))
+        return ranked.where(F.col("pick") <= limit)
+
+    blocked = first(candidates.withColumn("_block", hash_block(draw, REPO_DIGITS)), [repo, "_block"]).drop("_block")
+    picked = durable(first(blocked, [repo]).withColumn("pick", F.col("pick").cast("bigint")))
     # At most ``limit`` rows, whatever the number of candidates.
     levels = picked.groupBy("pick").agg(F.count(F.lit(1)).alias("_rows")).withColumn(
         "_start", F.coalesce(F.sum("_rows").over(Window.orderBy("pick").rowsBetween(Window.unboundedPreceding, -1)),
@@ -282,26 +305,26 @@ def balanced_draw(candidates: DataFrame, count: int, repo: str = "repo", draw: s
     return levelled.where(fits).unionByName(chosen).drop("_start", "_rows")
 
 
-def original_commits(ranges: DataFrame, chain: DataFrame, commits: DataFrame, commit_files: DataFrame) -> DataFrame:
+def original_commits(ranges: DataFrame, chain: DataFrame, commits: DataFrame, commit_files: DataFrame,
+                     most: int | None = None) -> DataFrame:
     """Non-merge commits of each range, newest first, with subject and files.  Ranges of merges only are dropped.
 
-    The list of a head is made once, for its longest range; shorter ranges are its beginnings.  Files are grouped for
-    commits on those lists only.
+    Every commit of the chain is described once; the entries of a head are what follows it on the chain, a frame of at most
+    ``most`` positions (by default as many as the longest range has), and shorter ranges are its beginnings.
     """
-    heads = ranges.groupBy("repo", "head_commit", "head_pos").agg(F.max("n_commits").alias("_most"))
-    members = heads.withColumn("pos", F.explode(F.sequence("head_pos", F.col("head_pos") + F.col("_most") - 1))).join(
-        chain.select("repo", "pos", "sha"), ["repo", "pos"])
-    plain = commits.where(~F.col("is_merge")).select("repo", "sha", "subject")
-    wanted = members.select("repo", "sha").distinct().join(plain, ["repo", "sha"])
-    files = commit_files.join(wanted, ["repo", "sha"], "left_semi").groupBy("repo", "sha").agg(
+    if most is None:
+        most = ranges.agg(F.max("n_commits")).first()[0] or 1
+    on_chain = chain.select("repo", "pos", "sha")
+    plain = commits.where(~F.col("is_merge")).select("repo", "sha", "subject", F.lit(True).alias("_plain"))
+    files = commit_files.join(on_chain, ["repo", "sha"], "left_semi").groupBy("repo", "sha").agg(
         F.sort_array(F.collect_list("path")).alias("files"))
-    described = wanted.join(files, ["repo", "sha"], "left").withColumn(
-        "files", F.coalesce("files", F.array().cast("array<string>")))
-    lists = members.join(described, ["repo", "sha"]).groupBy("repo", "head_commit", "head_pos").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "sha", "subject", "files"))).alias("_entries"))
+    entry = F.struct("pos", "sha", "subject", F.coalesce("files", F.array().cast("array<string>")).alias("files"))
+    described = on_chain.join(plain, ["repo", "sha"], "left").join(files, ["repo", "sha"], "left")
+    ahead = Window.partitionBy("repo").orderBy("pos").rangeBetween(0, most - 1)
+    lists = described.select("repo", F.col("pos").alias("head_pos"), F.collect_list(F.when(F.col("_plain"), entry)).over(ahead).alias("_entries"))
     inside = F.filter("_entries", lambda e: e["pos"] < F.col("head_pos") + F.col("n_commits"))
-    listed = ranges.select("repo", "head_commit", "n_commits", "head_pos").distinct().join(
-        lists, ["repo", "head_commit", "head_pos"]).withColumn("_entries", inside).where(F.size("_entries") > 0)
+    listed = ranges.select("repo", "head_commit", "n_commits", "head_pos").distinct().join(lists, ["repo", "head_pos"]).withColumn(
+        "_entries", inside).where(F.size("_entries") > 0)
     return listed.select("repo", "head_commit", "n_commits", F.transform("_entries", lambda e: F.struct(
         e["sha"].alias("sha"), e["subject"].alias("subject"), e["files"].alias("files"))).alias("original_commits"))
 
