@@ -42,12 +42,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+# Rows in an Arrow batch at most.
+BATCH_ROWS = 512
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Give this package to the Python workers, once per Spark application.
+    """Give this package to the Python workers, once per Spark application, and keep their batches short.
 
-    The driver may have it on its own path only.  Spark copies the archive to every executor, also to later ones.
+    The driver may have it on its own path only.  Spark copies the archive to every executor, also to later ones.  Rows carry
+    whole texts, so a session that allows longer Arrow batches gets ``BATCH_ROWS``; workers live on between stages, and what the
+    largest batch took counts against an executor's memory until the end.
     """
-    context = spark.sparkContext
+    context, rows = spark.sparkContext, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     if getattr(context, "_changeloom_shipped", False):
         return
     package = Path(__file__).resolve().parent
