@@ -7,14 +7,16 @@ text is cut into Python strings.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
 # Texts are worked on in runs of about this many bytes, whatever the size of the batch.  A longer text is its own run.
-RUN_BYTES = 1 << 21
+RUN_BYTES = 1 << 18
 # Longer stretches of bytes are hashed by BLAKE2: a polynomial modulo 2**64 has equal values for some long regular ones.
 LONG_BYTES = 256
 
@@ -52,6 +54,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on between stages and would keep what the largest batch took."""
+    pa.default_memory_pool().release_unused()
+    trim = _c_library()
+    if trim:
+        trim(0)
+
+
+@lru_cache(maxsize=1)
+def _c_library():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library
+        return None
+
+
 def runs(column: pa.Array, most: int = RUN_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a string column into runs of rows: (first row, end row, bytes, offsets).  NULL is an empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -69,6 +87,7 @@ def runs(column: pa.Array, most: int = RUN_BYTES) -> Iterator[tuple[int, int, np
         end = min(end, n)
         yield first, end, bytes_[offsets[first]:offsets[end]], offsets[first:end + 1] - offsets[first]
         first = end
+    give_back()
 
 
 class Words:
