@@ -125,16 +125,68 @@ def split_by(documents: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame
 def fetched(units: DataFrame, texts: Callable[[np.ndarray], DataFrame], unit: Sequence[str]) -> DataFrame:
     """(u, text) of the distinct units u, and of a few others that the bit map lets through.  A unit that several rows share
     has all their texts."""
-    return texts(bit_map(units)).select(F.struct(*unit).alias("u"), "text").distinct()
+    # Dealt by unit, which serves both the distinct rows and the join that follows.
+    return texts(bit_map(units)).select(F.struct(*unit).alias("u"), "text").repartition("u").distinct()
+
+
+def bits_of(tokens: np.ndarray) -> bytes:
+    """Map of the lowest bits of a set's tokens; it has two to four bits per token, so it is small beside the text."""
+    size = max(64, 2 << int(len(tokens) - 1).bit_length()) if len(tokens) else 64
+    found = np.zeros(size, bool)
+    found[(tokens & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(found, bitorder="little").tobytes()
+
+
+def may_be_similar(n: int, one: bytes, m: int, two: bytes) -> bool:
+    """Whether sets of n and m tokens with these maps can have a similarity of 0.75.
+
+    Each bit that differs comes from a token of only one of the sets, so they share (n + m - differing) / 2 tokens at most.  The
+    longer map is folded to the length of the shorter, whose bits are the lower ones of the same hash.
+    """
+    a, b = int.from_bytes(one, "little"), int.from_bytes(two, "little")
+    long, short = len(one), len(two)
+    if long < short:
+        a, b, long, short = b, a, short, long
+    while long > short:
+        long //= 2
+        a = (a >> 8 * long) | (a & ((1 << 8 * long) - 1))
+    return SHARE * (n + m - (a ^ b).bit_count()) >= 2 * OF_SUM * (n + m)
+
+
+def promising(pairs: DataFrame, texts: Callable[[np.ndarray], DataFrame], unit: Sequence[str],
+              sets: Callable[[pa.Array], Iterator[np.ndarray]]) -> DataFrame:
+    """The pairs that the maps of their sets leave open; maps are moved instead of texts, and no similar pair is lost."""
+    units = pairs.select(F.explode(F.array("a", "b")).alias("u"))
+    near = texts(bit_map(units)).select(*unit, "text")
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = list(sets(batch.column(len(unit))))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:len(unit)], pa.array([len(x) for x in found], pa.int64()), pa.array(map(bits_of, found), pa.binary())],
+                names=[*unit, "n", "bits"])
+
+    maps = near.mapInArrow(sketch, ", ".join(f"{c} bigint" for c in unit) + ", n bigint, bits binary").select(
+        F.struct(*unit).alias("u"), F.struct("n", "bits").alias("map")).repartition("u")
+    both = pairs.join(maps.select(F.col("u").alias("a"), F.col("map").alias("map_a")), "a").join(
+        maps.select(F.col("u").alias("b"), F.col("map").alias("map_b")), "b")
+
+    @F.arrow_udf("boolean")
+    def open_(n: pa.Array, one: pa.Array, m: pa.Array, two: pa.Array) -> pa.Array:
+        columns = (x.to_pylist() for x in (n, one, m, two))
+        return pa.array([may_be_similar(*x) for x in zip(*columns)], pa.bool_())
+
+    return durable(both.where(open_("map_a.n", "map_a.bits", "map_b.n", "map_b.bits")).select("a", "b").distinct())
 
 
 def verified(pairs: DataFrame, texts: Callable[[np.ndarray], DataFrame], unit: Sequence[str],
              sets: Callable[[pa.Array], Iterator[np.ndarray]]) -> DataFrame:
     """Pairs (a, b) whose sets have a similarity of 0.75 or more.
 
-    ``texts(bit map)`` gives (unit, text) of all units in the map at least; ``sets`` the sorted tokens of each text.  Texts
-    take less room in a shuffle than their hashes.
+    ``texts(bit map)`` gives (unit, text) of all units in the map at least; ``sets`` the sorted tokens of each text.  Texts, which take
+    less room in a shuffle than their hashes, are moved for promising pairs only.
     """
+    pairs = promising(pairs, texts, unit, sets)
     found = fetched(pairs.select(F.explode(F.array("a", "b")).alias("u")), texts, unit)
     with_a = pairs.join(found.select(F.col("u").alias("a"), F.col("text").alias("text_a")), "a")
     with_b = with_a.join(found.select(F.col("u").alias("b"), F.col("text").alias("text_b")), "b")

@@ -65,3 +65,21 @@ def test_word_cache_is_bounded(monkeypatch):
     words = bpe.Vocabulary(Path(bpe.default_path()).read_text(encoding="utf-8"))
     words.encode("\n".join(f"w{i}" for i in range(20_000)))
     assert len(words.seen) <= 1000
+
+
+def test_maps_never_rule_out_a_similar_pair():
+    rng = np.random.default_rng(1)
+    ruled_out = 0
+    for _ in range(4000):
+        n = int(rng.integers(1, 400))
+        one = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        kept = one[rng.random(len(one)) < rng.choice([0.1, 0.7, 0.9, 1.0])]
+        two = np.unique(np.concatenate((kept, rng.integers(0, 1 << 63, int(rng.integers(0, n // 3 + 2))).astype(np.uint64))))
+        if not len(two):
+            continue
+        both = len(np.intersect1d(one, two))
+        similar = 4 * both >= 3 * (len(one) + len(two) - both)
+        may = setjoin.may_be_similar(len(one), setjoin.bits_of(one), len(two), setjoin.bits_of(two))
+        assert may or not similar
+        ruled_out += not may
+    assert ruled_out > 1000
