@@ -31,3 +31,17 @@ def test_each_diff_is_moved_once_whatever_number_of_records_it_goes_into(spark):
     whole = H.assemble_examples(ranges, diffs.join(texts, "diff_id").drop("diff_id"), originals, ignores, repos, max_chars=200)
     assert sorted(map(str, out.collect())) == sorted(map(str, whole.collect()))
     assert out.select("head_commit").distinct().count() == 5
+
+
+def test_lists_of_original_commits_are_not_shuffled(spark):
+    chain = spark.createDataFrame([(1, "h", f"s{i}", i) for i in range(5)], "repo int, head string, sha string, pos int")
+    commits = spark.createDataFrame([(1, f"s{i}", f"t{i}", i == 2) for i in range(5)], "repo int, sha string, subject string, is_merge boolean")
+    files = spark.createDataFrame([(1, "s1", "b"), (1, "s1", "a"), (1, "zz", "c")], "repo int, sha string, path string")
+    ranges = H.default_branch_ranges(chain, max_commits=2)
+    out = H.original_commits(ranges, chain, commits, files)
+    found = {(r.head_commit, r.n_commits): [(c.sha, c.subject, c.files) for c in r.original_commits] for r in out.collect()}
+    assert found == {("s0", 1): [("s0", "t0", [])], ("s0", 2): [("s0", "t0", []), ("s1", "t1", ["a", "b"])],
+                     ("s1", 1): [("s1", "t1", ["a", "b"])], ("s1", 2): [("s1", "t1", ["a", "b"])],
+                     ("s2", 2): [("s3", "t3", [])], ("s3", 1): [("s3", "t3", [])]}
+    above = plan_of(out).split("Window [collect_list")[0]
+    assert "Exchange" not in above and "Join" not in above
