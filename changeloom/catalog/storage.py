@@ -124,7 +124,7 @@ def plan_files(t):
     path = S.scratch_path(t.spark, "plan-files")
     S.write_files(plans.select(F.col("ex_id").cast("string").alias("name"), text.alias("content")), path)
     good, broken = S.read_plan(t.spark, path)
-    name = S.folder_name(F.col("file"))
+    name = S.stored_name(F.col("file"))
     live = t.spark.createDataFrame([], f"plan string, {S.schemas.HUNK}")
     restored = S.restore_hunks(good.withColumn("plan", name), live, ["plan"])
     none = F.lit(None).cast("string")
@@ -150,7 +150,7 @@ def raw_files(t):
     """Pages written as raw files and read back by the binary reader; of large files only the length is read."""
     path = S.scratch_path(t.spark, "raw-files")
     S.write_files(t.sql(RAW_PAGES.replace("FROM pages", "FROM {pages}").replace("chr(1)", "chr(0)")), path, content="html")
-    files = S.read_files(t.spark, path, max_bytes=6000).withColumn("path", S.folder_name(F.col("path")))
+    files = S.read_files(t.spark, path, max_bytes=6000).withColumn("path", S.stored_name(F.col("path")))
     shown = R.readable_content(files, limit=3000)
     return shown.select(F.col("path").alias("name"), F.when(F.col("content").isNull(), F.concat(
         F.lit("large: "), F.col("length").cast("string"))).otherwise(F.col("shown")).alias("shown"))

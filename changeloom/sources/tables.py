@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,14 +71,74 @@ def read_plan(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return parsed.where(~broken).drop("document", CORRUPT), parsed.where(broken).select("file", "document")
 
 
-def write_files(rows: DataFrame, path: str, name: str = "name", content: str = "content") -> None:
-    """One raw text file per row, in a folder of the row's name; the text is ended by a line break."""
-    rows.select(F.col(name).alias("file"), F.col(content).alias("value")).write.partitionBy("file").text(path)
+def _local_folder(spark: SparkSession, path: str) -> str | None:
+    """The folder as tasks open it, if it lies in a mounted file system; None for any other store."""
+    scheme, _, rest = path.partition(":")
+    if "/" not in scheme and rest:
+        return re.sub("^/*", "/", rest) if scheme == "file" else None
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    return path if default.startswith("file:") and path.startswith("/") else None
+
+
+def _written_by(folder: str):
+    """Writes (file, value) rows sorted by file, one file for each run of a name; files appear when the task is done."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        attempt = f"{folder}/.attempt-{context.taskAttemptId()}-{uuid.uuid4().hex}"
+        here, out, n = None, None, 0
+        try:
+            for batch in batches:
+                for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if name != here:
+                        if out:
+                            out.close()
+                        else:
+                            os.makedirs(attempt)
+                        here, out, n = name, open(f"{attempt}/file={name}.txt", "wb"), n + 1
+                    out.write(value or b"")
+                    out.write(b"\n")
+        finally:
+            if out:
+                out.close()
+        if out:
+            try:
+                os.rename(attempt, f"{folder}/task-{context.partitionId()}")
+            except OSError:
+                # Another attempt of this task was first.
+                if not os.path.isdir(f"{folder}/task-{context.partitionId()}"):
+                    raise
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["files"])
+
+    return run
+
 
+def write_files(rows: DataFrame, path: str, name: str = "name", content: str = "content") -> None:
+    """One raw text file per row, under the row's name; the text is ended by a line break.
 
-def folder_name(path):
+    Spark's own writer makes a folder for each name, and reaches local folders by several processes per file.  In a mounted
+    file system tasks write the files themselves, each task into one folder, which appears when it is complete.  Other stores
+    are left to Spark's writer.  ``stored_name`` reads the names of both.
+    """
+    rows = rows.select(F.col(name).cast("string").alias("file"), F.col(content).cast("string").alias("value"))
+    folder = _local_folder(rows.sparkSession, path)
+    if folder is None:
+        rows.write.partitionBy("file").text(path)
+        return
+    if os.path.isdir(folder) and os.listdir(folder):
+        raise FileExistsError(folder)
+    os.makedirs(folder, exist_ok=True)
+    # Names are escaped as Spark escapes values of partition columns.
+    escaped = F.nullif(F.col("file"), F.lit(""))
+    for char in "%" + "".join(map(chr, range(1, 32))) + "\x7f\"#'*/:=?\\{[]^":
+        escaped = F.replace(escaped, F.lit(char), F.lit(f"%{ord(char):02X}"))
+    named = rows.select(F.coalesce(escaped, F.lit("__HIVE_DEFAULT_PARTITION__")).alias("file"), F.encode("value", "UTF-8").alias("value"))
+    named.sortWithinPartitions("file").mapInArrow(_written_by(folder), "files bigint").agg(F.sum("files")).collect()
+
+
+def stored_name(path):
     """Name under which ``write_files`` has stored a file, from its path."""
-    return F.url_decode(F.regexp_extract(path, "/file=([^/]*)/[^/]*$", 1))
+    return F.url_decode(F.regexp_extract(path, "/file=([^/]*?)(?:\\.txt|/[^/]*)$", 1))
 
 
 def plan_document(commits: DataFrame, hunks: DataFrame, keys: list[str]) -> DataFrame:

@@ -45,3 +45,17 @@ def test_lists_of_original_commits_are_not_shuffled(spark):
                      ("s2", 2): [("s3", "t3", [])], ("s3", 1): [("s3", "t3", [])]}
     above = plan_of(out).split("Window [collect_list")[0]
     assert "Exchange" not in above and "Join" not in above
+
+
+def test_raw_files_take_a_folder_for_each_task_not_for_each_name(spark, tmp_path):
+    texts = {"a.gz": "x", "b:/c %41": "é\ny", "c[1]{2}": "", **{f"n{i}": f"{i}" for i in range(40)}}
+    rows = spark.createDataFrame([(k, v) for k, v in texts.items()] + [("none", None)], "name string, content string").coalesce(2)
+    tables.write_files(rows, f"{tmp_path}/out")
+    files = tables.read_files(spark, f"{tmp_path}/out").select(tables.stored_name(F.col("path")).alias("name"), F.col("content").cast("string").alias("text"))
+    assert {r.name: r.text for r in files.collect()} == {k: v + "\n" for k, v in texts.items()} | {"none": "\n"}
+    assert len(os.listdir(f"{tmp_path}/out")) == 2
+
+
+def test_raw_files_in_stores_that_are_not_mounted_go_by_spark(spark):
+    assert tables._local_folder(spark, "file:///a/b") == "/a/b" and tables._local_folder(spark, "/a/b") == "/a/b"
+    assert tables._local_folder(spark, "hdfs://host/a") is None and tables._local_folder(spark, "viewfs://x/a") is None
