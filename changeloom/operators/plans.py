@@ -23,7 +23,13 @@ def unknown_hunks(claims: DataFrame, hunks: DataFrame, on: Sequence[str] = ("pla
 
 
 def double_assigned(claims: DataFrame, on: Sequence[str] = ("plan", "hunk"), commit: str = "commit_ix") -> DataFrame:
-    """Hunks claimed by more than one commit."""
+    """Hunks claimed by more than one commit.
+
+    Rows are dealt by hunk before commits are counted, into as many parts as the session has shuffle partitions.  Adaptive
+    execution would join parts by their compressed size, and columns of numbers are many times larger in memory.
+    """
+    parts = int(claims.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    claims = claims.select(*on, commit).repartition(parts, *on)
     return claims.groupBy(*on).agg(F.count_distinct(commit).alias("n_commits")).where("n_commits > 1")
 
 

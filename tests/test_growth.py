@@ -59,3 +59,10 @@ def test_raw_files_take_a_folder_for_each_task_not_for_each_name(spark, tmp_path
 def test_raw_files_in_stores_that_are_not_mounted_go_by_spark(spark):
     assert tables._local_folder(spark, "file:///a/b") == "/a/b" and tables._local_folder(spark, "/a/b") == "/a/b"
     assert tables._local_folder(spark, "hdfs://host/a") is None and tables._local_folder(spark, "viewfs://x/a") is None
+
+
+def test_claims_are_dealt_by_number_before_commits_are_counted(spark):
+    claims = spark.createDataFrame([(1, 1, 5), (1, 2, 5), (1, 2, 5), (1, 2, 6), (None, 3, 5), (None, 4, 5)], "plan int, commit_ix int, hunk int")
+    out = P.double_assigned(claims)
+    assert {tuple(r) for r in out.collect()} == {(1, 5, 2), (None, 5, 2)}
+    assert "REPARTITION_BY_NUM" in plan_of(out)
