@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from changeloom.catalog.registry import query
 from changeloom.operators import plans as P
+from changeloom.session import durable
 
 HUNK_TABLE = """
     SELECT DISTINCT plan, hunk FROM {claims} WHERE hunk % 7 <> 0
@@ -49,14 +50,14 @@ COMPONENT_CTES = """
 @query("c5_overlap_components", oracle=f"""
     WITH RECURSIVE {COMPONENT_CTES} SELECT plan, commit_ix, component FROM comp""")
 def overlap_components(t):
-    return P.overlap_components(t.claims)
+    return P.overlap_components(durable(t.claims))
 
 
 @query("c5_merge_groups", oracle=f"""
     WITH RECURSIVE {COMPONENT_CTES} SELECT plan, component, count(*) AS n_commits FROM comp GROUP BY plan, component
     HAVING count(*) > 1""")
 def merge_groups(t):
-    return P.merge_groups(P.overlap_components(t.claims))
+    return P.merge_groups(P.overlap_components(durable(t.claims)))
 
 
 @query("c6_component_hunks", oracle=f"""
@@ -66,7 +67,8 @@ def merge_groups(t):
           FROM {{claims}} c JOIN comp ON comp.plan = c.plan AND comp.commit_ix = c.commit_ix)
     SELECT plan, component, hunk, first_commit, hunk AS first_pos FROM r WHERE k = 1""")
 def component_hunks(t):
-    return P.component_hunks(t.claims.withColumn("pos", F.col("hunk")), P.overlap_components(t.claims))
+    claims = durable(t.claims)
+    return P.component_hunks(claims.withColumn("pos", F.col("hunk")), P.overlap_components(claims))
 
 
 @query("c6_component_issues", oracle=f"""
@@ -75,9 +77,10 @@ def component_hunks(t):
         CASE WHEN c.hunk % 3 = 0 THEN '' ELSE 'unused' END AS message
     FROM {{claims}} c JOIN comp ON comp.plan = c.plan AND comp.commit_ix = c.commit_ix""")
 def component_issues(t):
-    issues = t.claims.select("plan", "commit_ix", F.col("hunk").alias("pos"), F.expr("concat('f', hunk % 5)").alias("path"),
+    claims = durable(t.claims)
+    issues = claims.select("plan", "commit_ix", F.col("hunk").alias("pos"), F.expr("concat('f', hunk % 5)").alias("path"),
                              F.when(F.col("hunk") % 3 != 0, "unused").alias("message"))
-    return P.component_issues(issues, P.overlap_components(t.claims))
+    return P.component_issues(issues, P.overlap_components(claims))
 
 
 @query("c7_dependent_splits", oracle="""

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,12 +80,89 @@ def _star(edges: DataFrame, minimum: DataFrame) -> DataFrame:
     return edges.join(minimum, ["plan", "u"])
 
 
-def overlap_components(claims: DataFrame, max_rounds: int = 50) -> DataFrame:
+# Claims of a plan that one task links at a time; larger plans are linked by all tasks, in rounds.
+PLAN_CLAIMS = 1 << 18
+
+
+def overlap_components(claims: DataFrame, max_rounds: int = 50, most: int = PLAN_CLAIMS) -> DataFrame:
     """(plan, commit_ix, component): commits that share hunks, directly or through others.
 
-    The component is named by its smallest commit, which is also the order of the merged plan.  Edges run from each
-    claiming commit to the smallest claimant of the hunk, never between all pairs, and are contracted to stars in a
-    logarithmic number of rounds (alternating large and small stars).  Every round is cut from its lineage.
+    The component is named by its smallest commit, which is also the order of the merged plan.  Components never reach
+    beyond their plan, so a plan of at most ``most`` claims is linked at once where its rows meet.  Larger plans take the
+    rounds of ``_linked_in_rounds``.  ``claims`` is read more than once: hand over a stored table if it is costly.
+    """
+    claims = claims.select("plan", "commit_ix", "hunk")
+    large = durable(claims.where("plan IS NOT NULL").groupBy("plan").agg(F.count(F.lit(1)).alias("n")).where(
+        F.col("n") > most).select("plan"))
+    # Claims of no plan link nothing.
+    small = claims.where("plan IS NOT NULL")
+    rows = [claims.where("plan IS NULL").select("plan", "commit_ix", F.col("commit_ix").alias("component")).distinct()]
+    if not large.isEmpty():
+        rows.append(_linked_in_rounds(small.join(F.broadcast(large), "plan", "left_semi"), max_rounds))
+        small = small.join(F.broadcast(large), "plan", "left_anti")
+    kinds = {f.name: f.dataType.simpleString() for f in claims.schema}
+    linked = small.repartition("plan").sortWithinPartitions("plan", "hunk").mapInArrow(
+        _linked, f"plan {kinds['plan']}, commit_ix {kinds['commit_ix']}, component {kinds['commit_ix']}")
+    return reduce(DataFrame.unionByName, [linked, *rows])
+
+
+# Rows in a batch that is handed on, at least, unless it is the last one.
+LINKED_ROWS = 4096
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of plans whose claims come in order of plan and hunk, plan by plan."""
+    kinds, out = [], ([], [], [])
+    plan, hunk, near, above = None, None, None, {}
+
+    def top(v):
+        while above[v] != v:
+            above[v] = v = above[above[v]]
+        return v
+
+    def close():
+        commits = list(above)
+        out[0].extend([plan] * len(commits))
+        out[1].extend(commits)
+        out[2].extend(map(top, commits))
+
+    def taken():
+        batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)],
+                                           names=["plan", "commit_ix", "component"])
+        for c in out:
+            c.clear()
+        return batch
+
+    for batch in batches:
+        kinds = [batch.column(c).type for c in (0, 1, 1)]
+        for p, v, h in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            if p != plan:
+                close()
+                plan, hunk, above = p, None, {}
+                if len(out[0]) >= LINKED_ROWS:
+                    yield taken()
+            if v not in above:
+                above[v] = v
+            if v is None or h is None:
+                continue
+            if h != hunk:
+                hunk, near = h, v
+                continue
+            a, b = top(near), top(v)
+            if a < b:
+                above[b] = a
+            elif b < a:
+                above[a] = b
+    close()
+    if out[0]:
+        yield taken()
+
+
+def _linked_in_rounds(claims: DataFrame, max_rounds: int) -> DataFrame:
+    """Components of plans of any size.
+
+    Edges run from each claiming commit to the smallest claimant of the hunk, never between all pairs, and are contracted to
+    stars in a logarithmic number of rounds (alternating large and small stars).  Every round is cut from its lineage.
     """
     nodes = claims.select("plan", F.col("commit_ix").alias("v")).distinct()
     smallest = claims.groupBy("plan", "hunk").agg(F.min("commit_ix").alias("u"))

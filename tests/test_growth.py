@@ -66,3 +66,25 @@ def test_claims_are_dealt_by_number_before_commits_are_counted(spark):
     out = P.double_assigned(claims)
     assert {tuple(r) for r in out.collect()} == {(1, 5, 2), (None, 5, 2)}
     assert "REPARTITION_BY_NUM" in plan_of(out)
+
+
+CLAIMS = [(1, 9, 1), (1, 4, 1), (1, 4, 2), (1, 2, 2), (1, 7, 3), (1, None, 3), (1, 8, None), (2, 1, 1), (2, 1, 1), (2, 3, 1), (None, 5, 1),
+          (None, 6, 1), (3, 5, 1), (3, 6, 2), (3, 6, 3), (3, 5, 3), (3, 4, 9)]
+LINKED = {(1, 9, 2), (1, 4, 2), (1, 2, 2), (1, 7, 7), (1, None, None), (1, 8, 8), (2, 1, 1), (2, 3, 1), (None, 5, 5), (None, 6, 6),
+          (3, 5, 5), (3, 6, 5), (3, 4, 4)}
+
+
+def test_small_plans_are_linked_without_rounds(spark, monkeypatch):
+    def rounds(*_):
+        raise AssertionError("rounds")
+
+    monkeypatch.setattr(P, "_linked_in_rounds", rounds)
+    out = P.overlap_components(spark.createDataFrame(CLAIMS, "plan int, commit_ix bigint, hunk int"))
+    rows = [tuple(r) for r in out.collect()]
+    assert set(rows) == LINKED and len(rows) == len(LINKED)
+
+
+def test_large_plans_are_linked_in_rounds(spark):
+    out = P.overlap_components(spark.createDataFrame(CLAIMS, "plan int, commit_ix bigint, hunk int"), most=4)
+    rows = [tuple(r) for r in out.collect()]
+    assert set(rows) == LINKED and len(rows) == len(LINKED)
