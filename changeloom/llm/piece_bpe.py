@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 600_000
 # Longer words are encoded anew each time.
 CACHE_CHARS = 48
 # So many words of a text are looked up at a time; longer texts are cut by a pattern instead of all at once.
@@ -105,6 +105,8 @@ class PieceModel:
 
         joinable = re.escape("".join(c for c in inside if c != SPACE))
         self.words = re.compile(f"{SPACE}*[{joinable}]+|{SPACE}+|." if joinable else f"{SPACE}+|.", re.DOTALL)
+        # One word with a space in front, by far the most frequent chunk.
+        self.whole = re.compile(f"{SPACE}[{joinable}]+" if joinable else "(?!)").fullmatch
         self.chunks = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.seen: dict[str, bytes] = {}
         surface = model.trainer_spec.unk_surface
@@ -151,7 +153,7 @@ class PieceModel:
                 return True
 
     def may_follow(self, left: int, right: int) -> bool:
-        key = left << 32 | right
+        key = left * len(self.names) + right
         known = self.follows.get(key)
         if known is None:
             if len(self.follows) >= CACHE_ENTRIES:
@@ -162,7 +164,8 @@ class PieceModel:
     def last_pieces(self, word: str) -> list[tuple[int, int] | None]:
         """For every prefix of a word the one piece that ends its encoding, as (rank, length)."""
         last: list[tuple[int, int] | None] = [None] * (len(word) + 1)
-        done, known_pairs = -1, self.follows.get
+        # Keys of pairs stay below 2 ** 30 for 32,768 pieces, where Python's integers are fastest.
+        done, known_pairs, n = -1, self.follows.get, len(self.names)
         for at, found in self.automaton.iter(word):
             if at == done:
                 continue
@@ -170,7 +173,7 @@ class PieceModel:
             start = at + 1 - length
             if start:
                 before = last[start][0]
-                known = known_pairs(before << 32 | piece)
+                known = known_pairs(before * n + piece)
                 if not (self.may_follow(before, piece) if known is None else known):
                     continue
             last[at + 1] = found
@@ -179,19 +182,25 @@ class PieceModel:
 
     def word(self, word: str) -> list[int]:
         """Ids of one word: spaces in front, then characters of pieces."""
-        last = self.last_pieces(word)
-        ranks, at = [], len(word)
-        while at:
-            r, length = last[at]
-            ranks.append(r)
-            at -= length
-        spaces = 0
+        last, ids = self.last_pieces(word), self.ids
+        found, at = [], len(word)
         if word.startswith(SPACE + SPACE):
+            ranks = []
+            while at:
+                r, length = last[at]
+                ranks.append(r)
+                at -= length
+            spaces = 0
             while ranks and ranks[-1] == self.space_rank:
                 spaces += 1
                 ranks.pop()
-        ids = self.ids
-        return self._space_run(spaces) + [ids[r] for r in reversed(ranks)]
+            return self._space_run(spaces) + [ids[r] for r in reversed(ranks)]
+        while at:
+            r, length = last[at]
+            found.append(ids[r])
+            at -= length
+        found.reverse()
+        return found
 
     def _space_run(self, n: int) -> list[int]:
         """Ids of n spaces: of all neighbours whose union is a piece, those furthest left are joined first."""
@@ -217,6 +226,8 @@ class PieceModel:
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of spaces and what follows up to the next space, as little-endian 32-bit integers."""
+        if self.whole(chunk):
+            return array("I", self.word(chunk)).tobytes()
         words = self.words.findall(chunk)
         if len(words) == 1:
             return self._ids(chunk)
@@ -265,7 +276,11 @@ class PieceModel:
             first = next((i for i in numbers if self.text_of[i]), None)
             if first is not None and self.is_normal[first] and raw.startswith(b" "):
                 raw = raw[1:]
-        return raw.decode("utf-8", "changeloom-each-byte").encode("utf-8")
+        try:
+            raw.decode("utf-8")
+        except UnicodeDecodeError:
+            return raw.decode("utf-8", "changeloom-each-byte").encode("utf-8")
+        return raw
 
 
 @lru_cache(maxsize=2)

@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from changeloom.llm import piece_bpe
 from changeloom.operators import history as H
 from changeloom.operators import plans as P
 from changeloom.sources import tables
@@ -88,3 +89,13 @@ def test_large_plans_are_linked_in_rounds(spark):
     out = P.overlap_components(spark.createDataFrame(CLAIMS, "plan int, commit_ix bigint, hunk int"), most=4)
     rows = [tuple(r) for r in out.collect()]
     assert set(rows) == LINKED and len(rows) == len(LINKED)
+
+
+def test_a_chunk_of_one_word_is_not_cut_into_words():
+    with open(piece_bpe.default_path(), "rb") as file:
+        model = piece_bpe.PieceModel(file.read())
+    cut, model.words = model.words, None
+    word = model._chunk("▁reading")
+    model.words = cut
+    assert word == model.encode("reading") and model.decode(word) == b"reading"
+    assert model.decode(model.encode("  a\xff \u6f22  b ")) == "  a\xff \u6f22  b ".encode()
