@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import unicodedata
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -15,8 +17,11 @@ from pyspark.sql import functions as F
 
 from changeloom import schemas
 from changeloom.functions.text import is_blank
+from changeloom.session import ship_package
 
 CORRUPT = "_corrupt_record"
+# Names of files leave a task in batches of so many, contents in batches of about so many bytes.
+LISTED, READ_BYTES = 4096, 1 << 20
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -60,11 +65,106 @@ def history_commits(commits: DataFrame) -> DataFrame:
                           (F.size("parents") > 1).alias("is_merge"), "subject", "topo_pos")
 
 
+# Names of files that Spark's readers unpack.
+PACKED = "\\.(gz|bz2|deflate|lz4|snappy|zst|zstd)$"
+
+
+def _shown(entry: os.DirEntry) -> bool:
+    """Whether Spark's readers see a file or folder."""
+    name = entry.name
+    if name.startswith(("_metadata", "_common_metadata")) and entry.is_dir():
+        return True
+    return not (name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_"))
+
+
+def _entries(folder: str) -> Iterator[os.DirEntry]:
+    with os.scandir(folder) as found:
+        yield from filter(_shown, found)
+
+
+def _quoted(path: str) -> str:
+    """A path as it stands in a URI of Java: characters that are not allowed there, and space and controls of all scripts."""
+    def code(match):
+        char = match[0]
+        if ord(char) < 128 or unicodedata.category(char) in ("Cc", "Zs", "Zl", "Zp"):
+            return "".join(f"%{byte:02X}" for byte in char.encode())
+        return char
+
+    return re.sub("[^A-Za-z0-9_!.~'()*,;:$&+=/@-]", code, path)
+
+
+def _in_root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries of the given folders, without those of folders below them."""
+    for batch in batches:
+        for folder in batch.column(0).to_pylist():
+            yield from _in_batches((entry.path, entry.is_dir()) for entry in _entries(folder))
+
+
+def _in_batches(rows: Iterator[tuple[str, bool]]) -> Iterator[pa.RecordBatch]:
+    for part in iter(lambda: list(islice(rows, LISTED)), []):
+        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*part), (pa.string(), pa.bool_()))], names=["path", "is_dir"])
+
+
+def _below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files as they are, and all files of the folders."""
+    def walk(folder):
+        for entry in _entries(folder):
+            if entry.is_dir():
+                yield from walk(entry.path)
+            else:
+                yield entry.path, False
+
+    for batch in batches:
+        yield from _in_batches((x for path, is_dir in zip(*(c.to_pylist() for c in batch.columns)) for x in (
+            walk(path) if is_dir else [(path, False)])))
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bytes of each file that isn't empty, in batches of about ``READ_BYTES``."""
+    def out(paths, texts):
+        return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(texts, pa.binary())], names=["file", "content"])
+
+    for batch in batches:
+        paths, texts, held = [], [], 0
+        for path in batch.column(0).to_pylist():
+            with open(path, "rb") as file:
+                text = file.read()
+            if not text:
+                continue
+            paths.append(f"file:{_quoted(path)}")
+            texts.append(text)
+            held += len(text)
+            if held >= READ_BYTES:
+                yield out(paths, texts)
+                paths, texts, held = [], [], 0
+        if paths:
+            yield out(paths, texts)
+
+
+def _whole_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(file, document) of every file in a folder, as Spark's text reader gives them.
+
+    Spark's own reader lists files on the driver, which keeps an entry for each.  In a mounted file system tasks list folders and
+    read their files.  Other stores, and folders with packed files, are left to Spark's reader.
+    """
+    folder = _local_folder(spark, path)
+    if folder is not None and os.path.isdir(folder):
+        ship_package(spark)
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        root = spark.range(1, numPartitions=1).select(F.lit(folder.rstrip("/") or "/").alias("path"))
+        top = root.mapInArrow(_in_root, "path string, is_dir boolean")
+        files = top.repartition(n, "path").mapInArrow(_below, "path string, is_dir boolean").select("path")
+        if files.where(F.col("path").rlike(PACKED)).isEmpty():
+            read = files.repartition(n, "path").mapInArrow(_contents, "file string, content binary")
+            return read.select("file", F.col("content").cast("string").alias("document"))
+    return spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("file"), F.col("value").alias("document"))
+
+
 def read_plan(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(plans, broken): plan documents, one per file, indented or not, with the file's name as ``file``; files that are no
     JSON document are set apart as (file, document)."""
-    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), F.col("value").alias("document"))
+    files = _whole_texts(spark, path)
     record = F.from_json("document", f"{schemas.PLAN}, {CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
     parsed = files.select("file", "document", F.inline(F.array(record)))
     broken = F.col(CORRUPT).isNotNull()

@@ -164,6 +164,30 @@ def test_plan_files_of_any_layout(spark, tmp_path):
     assert [r.file.rsplit("/", 1)[1] for r in broken.collect()] == ["cut.json"]
 
 
+def test_plan_files_are_listed_by_tasks_as_spark_lists_them(spark, tmp_path):
+    def as_spark_reads(path):
+        found = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+        return found.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("document"))
+
+    def rows(found):
+        return sorted((r[0], bytes(r[1])) for r in found.select("file", F.col("document").cast("binary")).collect())
+
+    for name, text in {"a.json": b"{}", "below/x y%41+\u00e9.json": b"x\r\ny\n", "empty": b"", "_hidden": b"-", "_a=b": b"ab", ".h": b"-",
+                       "file=a%2Fb.txt": b"\xff\xfe", "below/deep/_metadata": b"-", "below/.no/x": b"-", "_no/x": b"-", "k=v/z": b"z"}.items():
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(text)
+    for path in (str(tmp_path / "in"), f"file://{tmp_path}/in"):
+        found = tables._whole_texts(spark, path)
+        # The driver holds no list of the files.
+        assert "Scan text" not in found._jdf.queryExecution().executedPlan().toString() and found.inputFiles() == []
+        assert rows(found) == rows(as_spark_reads(path)) and len(rows(found)) == 5
+    # What Spark unpacks is still unpacked.
+    import gzip
+
+    (tmp_path / "in" / "packed.gz").write_bytes(gzip.compress(b"packed"))
+    assert b"packed" in [text for _, text in rows(tables._whole_texts(spark, str(tmp_path / "in")))]
+
+
 def test_counters_come_from_the_write(spark, tmp_path):
     rows = [(None, False, "train"), ("bad", False, None), (None, True, "train"), (None, False, "val")]
     df = spark.createDataFrame(rows, "problem string, is_augmented boolean, split string")
