@@ -172,3 +172,28 @@ def test_checkpoint_dir_comes_from_the_session(spark):
 
     ensure_checkpoint_dir(spark)
     assert spark.sparkContext.getCheckpointDir()
+
+
+def test_shuffles_go_once_their_rows_are_kept(spark):
+    import time
+
+    from changeloom.llm.components import components
+    from changeloom.session import RELEASE, durable
+
+    def shuffles():
+        status = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+        return {int(x) for x in str(status.keys().mkString(",")).split(",") if x}
+
+    before, setting = shuffles(), spark.conf.get(RELEASE, None)
+    rows = spark.range(1000).withColumn("a", F.col("id") % 100)
+    # Both frames stay referenced, so that no collection of garbage can have taken the files.
+    dealt = rows.repartition("a").groupBy("a").count()
+    kept = durable(dealt)
+    linked = components(rows.select("a", F.col("id").alias("b")))
+    for _ in range(50):
+        if not shuffles() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffles() - before and spark.conf.get(RELEASE, None) == setting
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, dealt.collect())) == [(a, 10) for a in range(100)]
+    assert linked.count() == 900
