@@ -197,3 +197,33 @@ def test_shuffles_go_once_their_rows_are_kept(spark):
     assert not shuffles() - before and spark.conf.get(RELEASE, None) == setting
     assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, dealt.collect())) == [(a, 10) for a in range(100)]
     assert linked.count() == 900
+
+
+def test_lists_of_commits_are_moved_to_their_records_and_texts_only(spark):
+    import re
+
+    key = "repo string, base_commit string, head_commit string"
+    shas = [f"s{i}" for i in range(6)]
+    ranges = spark.createDataFrame([("r", shas[i + n], shas[i], i, n) for i in range(4) for n in (1, 2)], f"{key}, head_pos int, n_commits int")
+    diffs = spark.createDataFrame([("r", shas[i + n], shas[i], i % 2, False) for i in range(4) for n in (1, 2)], f"{key}, diff_id bigint, has_binary boolean")
+    texts = spark.createDataFrame([(d, f"diff --git a/f{d}.py b/f{d}.py\n--- a/f{d}.py\n+++ b/f{d}.py\n" + "+x\n" * (1 + 99 * d)) for d in (0, 1)],
+                                  "diff_id bigint, diff string")
+    originals = ranges.select("repo", "head_commit", "n_commits", F.array(F.struct(F.col("head_commit").alias("sha"), F.lit("m").alias(
+        "subject"), F.array(F.lit("f")).alias("files"))).alias("original_commits"))
+    ignores = spark.createDataFrame([("r", shas[2], ["*.x"])], "repo string, sha string, existing_gitignore array<string>")
+    repos = spark.createDataFrame([("r", "url", "main")], "repo string, remote_url string, branch string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = H.assemble_examples(ranges, diffs, originals, ignores, repos, max_chars=200, texts=texts)
+        plan = out._jdf.queryExecution().explainString(
+            spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        rows = out.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    moved = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+    assert moved and sum("original_commits" in columns for columns in moved) == 2
+    # The longer text is over the limit; its records go.
+    assert sorted((r.head_commit, r.n_commits, r.existing_gitignore) for r in rows) == [
+        ("s0", 1, []), ("s0", 2, ["*.x"]), ("s2", 1, []), ("s2", 2, [])]
+    assert all(r.diff.endswith("+x\n") and r.changed_files == ["f0.py"] and r.original_commits[0].sha == r.head_commit for r in rows)
